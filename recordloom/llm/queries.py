@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 
 QUERIES = {
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
 SQL = {
+    "op5_ngram_join": ngram_join.OP5_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
 }
