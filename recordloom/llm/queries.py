@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitpack, bpe, ngram_join, quality, substring_dedup
+from . import bitpack, bpe, ngram_join, quality, secrets, substring_dedup
 
 QUERIES = {
     "op3_bit_packing": bitpack.op3_bit_packing,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_secrets": secrets.op6_secrets,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
