@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bitpack, bpe, ngram_join, quality, secrets, substring_dedup
+from . import bitpack, bpe, ngram_join, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op3_bit_packing": bitpack.op3_bit_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_secrets": secrets.op6_secrets,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
