@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bitpack, bpe, fingerprints, ngram_join, quality, secrets, substring_dedup, toxicity
+from . import bitpack, bpe, fingerprints, ngram_join, packing, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_retrieval_packing": packing.op1_retrieval_packing,
     "op2_weighted_sampling": fingerprints.op2_weighted_sampling,
     "op3_bit_packing": bitpack.op3_bit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
