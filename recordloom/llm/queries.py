@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, bpe, fingerprints, ngram_join, packing, quality, secrets, substring_dedup, toxicity
+from . import bitpack, bpe, fingerprints, licenses, ngram_join, packing, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_retrieval_packing": packing.op1_retrieval_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_secrets": secrets.op6_secrets,
+    "op7_licenses": licenses.op7_licenses,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
