@@ -65,11 +65,10 @@ def statistics(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, woff = T.word_spans(buf, off)
 
     def per_row(flag: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
-        return total[off[1:]] - total[off[:-1]]
+        return np.diff(np.searchsorted(np.flatnonzero(flag), off))
 
     blank = per_row(T._SPACE[buf])
-    word_chars = per_row((buf & 0xC0) != 0x80) - blank
+    word_chars = np.diff(off) - per_row((buf & 0xC0) == 0x80) - blank
     n_words = np.diff(woff)
     n_symbols = per_row(_SYMBOL[buf])
     # windows of three words that their text has again

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are gathered into blocks of about so many bytes before numpy sees them.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
