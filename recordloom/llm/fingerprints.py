@@ -73,7 +73,7 @@ def fingerprints(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     mixed = T.mix(term)
     i1, i2 = (mixed & U64(1023)).astype(np.int64), ((mixed >> U64(10)) & U64(1023)).astype(np.int64)
     salt = (mixed >> U64(20)).astype(np.uint32)
-    high = (mixed >> U64(32)).astype(np.uint32)
+    high = (T.mix(mixed) >> U64(32)).astype(np.uint32)  # of t = 0, as a weight of 1 has
     for x in range(0, len(term), STEP):
         y = min(len(term), x + STEP)
         v = one[i1[x:y]]
