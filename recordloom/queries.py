@@ -303,7 +303,7 @@ def content_metadata(spark, d):
     return c.select("doc_id", F.col("c.len").alias("len"), F.col("c.pieces").alias("pieces"))
 
 
-@query("SELECT count(text) AS pieces, count(text) - count(DISTINCT text) AS dedup_hits, sum(strlen(text)) AS logical_bytes, (SELECT sum(n) FROM (SELECT DISTINCT text, strlen(text) AS n FROM documents)) AS novel_bytes FROM documents WHERE text <> ''")
+@query("SELECT count(text) AS pieces, count(text) - count(DISTINCT text) AS dedup_hits, CAST(sum(strlen(text)) AS BIGINT) AS logical_bytes, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT DISTINCT text, strlen(text) AS n FROM documents)) AS novel_bytes FROM documents WHERE text <> ''")
 def whole_dedup(spark, d):
     b = _t(spark, d, "documents").where("text is not null").select(F.encode("text", "UTF-8").alias("body"), F.col("doc_id").alias("seq"))
     return content.dedup_metrics(content.pieces(content.carved(b, Carve("whole"))))
@@ -323,7 +323,7 @@ def carve_messages(spark, d):
     return c.select("conv_id", "turn", F.size(F.filter("spans", lambda s: s["foldable"])).cast("long").alias("pieces"))
 
 
-@query("""SELECT (SELECT sum(n) FROM (SELECT count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)) AS pieces,
+@query("""SELECT (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)) AS pieces,
  (SELECT count(*) FROM (SELECT DISTINCT role, text FROM conversations)) AS distinct_pieces""")
 def dedup_ratio(spark, d):
     m = content.dedup_metrics(content.pieces(content.carved(_turns(spark, d))))
@@ -380,7 +380,7 @@ def refold_live_pieces(spark, d):
     return c.where("conv_id % 3 <> 0").select("piece").distinct().agg(F.count("*").alias("live_pieces"))
 
 
-@query("""SELECT sum(CASE WHEN live THEN n END) AS live_bytes, sum(CASE WHEN NOT live THEN n END) AS dead_bytes, count(*) FILTER (live) AS live_pieces, count(*) FILTER (NOT live) AS dead_pieces
+@query("""SELECT CAST(sum(CASE WHEN live THEN n END) AS BIGINT) AS live_bytes, CAST(sum(CASE WHEN NOT live THEN n END) AS BIGINT) AS dead_bytes, count(*) FILTER (live) AS live_pieces, count(*) FILTER (NOT live) AS dead_pieces
  FROM (SELECT text, strlen(text) AS n, bool_or(conv_id % 3 <> 0) AS live FROM conversations GROUP BY text)""")
 def liveness(spark, d):
     c = _t(spark, d, "conversations").select("conv_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("piece"), F.octet_length("text").cast("long").alias("len"))
@@ -484,8 +484,8 @@ _PLAIN = {
     "subquery_in": ("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) AND p_size < 10", "part lineitem"),
     "values_case": ("SELECT k, CASE WHEN k > 1 THEN coalesce(v, 'none') ELSE nullif(v, 'a') END AS v FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) t(k, v)", ""),
     "functions_string": ("SELECT doc_id, upper(lang) AS u, length(text) AS n, left(text, 5) AS l, replace(source, 'src', 's') AS r, lpad(lang, 4, '*') AS p, concat_ws('-', lang, source) AS c, md5(text) AS m, reverse(source) AS v, split_part(source, 'c', 2) AS s FROM documents", "documents"),
-    "functions_math": ("SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) < 0.02 AS near, floor(l_quantity) AS f, round(sqrt(l_extendedprice), 4) AS s, round(power(l_discount, 2), 8) AS p, sign(l_tax) AS g, l_orderkey % 7 AS m FROM lineitem WHERE l_orderkey < 200", "lineitem"),
-    "functions_time": ("SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(quarter FROM o_orderdate) AS INT) AS q FROM orders", "orders"),
+    "functions_math": ("SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) < 0.02 AS near, CAST(floor(l_quantity) AS BIGINT) AS f, round(sqrt(l_extendedprice), 4) AS s, round(power(l_discount, 2), 8) AS p, CAST(sign(l_tax) AS INT) AS g, l_orderkey % 7 AS m FROM lineitem WHERE l_orderkey < 200", "lineitem"),
+    "functions_time": ("SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(quarter FROM o_orderdate) AS INT) AS q FROM orders", "orders"),
 }
 
 
