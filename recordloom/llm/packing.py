@@ -91,11 +91,12 @@ def _summed(t: pa.Table) -> pa.Table:
 def _key(idf: np.ndarray, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A term of each document, drawn consistently with probability by squared idf."""
     doc, term, _ = _terms(ids, off)
-    u = (T.mix(term.astype(np.uint64) + U64(1)) >> U64(11)).astype(np.float64) / (1 << 53)
-    cost = -np.log(np.maximum(u, 1e-300)) / np.maximum(idf[term], 1e-6) ** 2
-    order = np.lexsort((cost, doc))
+    u = (T.mix(np.arange(1, len(idf) + 1, dtype=np.uint64)) >> U64(11)).astype(np.float64) / (1 << 53)
+    cost = (-np.log(np.maximum(u, 1e-300)) / np.maximum(idf, 1e-6) ** 2).astype(np.float32)
+    # positive floats sort as their bits do, so cost and term are one integer
+    ranked = (cost.view(np.uint32).astype(np.uint64) << U64(32)) | np.arange(len(idf), dtype=np.uint64)
     at = np.searchsorted(doc, np.arange(len(off) - 1))  # every document has its end id
-    return term[order[at]]
+    return (np.minimum.reduceat(ranked[term], at) & U64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _keyed(idf, bits: int, full: bool):

@@ -75,13 +75,12 @@ def cut(buf: np.ndarray, off: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     blank = T._SPACE[buf]
-    latin = _ALPHA[buf]
-    lead = np.flatnonzero(buf[:-1] == 0xC3)
-    second = buf[lead + 1]
-    latin[lead[(second != 0x97) & (second != 0xB7)] + 1] = True
-    mark = _MARK[buf]
     begin = edge[:-1].copy()
-    begin[1:] |= (latin[:-1] & mark[1:]) | (mark[:-1] & (_ALPHA[buf[1:]] | (buf[1:] == 0xC3)) & ~_exception(buf))
+    mark = np.flatnonzero(_MARK[buf])
+    last = mark[mark > 0] - 1
+    begin[last[_ends_latin(buf, last)] + 1] = True
+    after = mark[mark < n - 1] + 1
+    begin[after[_starts_latin(buf, after)]] = True
     if spaced:
         lone = np.zeros(n, bool)
         lone[1:-1] = blank[1:-1] & ~blank[:-2] & ~blank[2:]
@@ -103,13 +102,16 @@ def cut(buf: np.ndarray, off: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.
     return starts, np.flatnonzero(stop), np.searchsorted(starts, off)
 
 
-def _exception(buf: np.ndarray) -> np.ndarray:
-    """For each byte but the first: it leads a multiplication or division sign."""
-    out = np.zeros(len(buf) - 1, bool)
-    lead = np.flatnonzero(buf[:-1] == 0xC3)
-    lead = lead[(lead > 0)]
-    out[lead[(buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7)] - 1] = True
-    return out
+def _starts_latin(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a Latin letter (ASCII, or of the block after it) starts at a byte."""
+    second = buf[np.minimum(at + 1, len(buf) - 1)]
+    return _ALPHA[buf[at]] | ((buf[at] == 0xC3) & (second != 0x97) & (second != 0xB7))
+
+
+def _ends_latin(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether one ends there."""
+    byte = buf[at]
+    return _ALPHA[byte] | ((buf[np.maximum(at - 1, 0)] == 0xC3) & (at > 0) & (byte != 0x97) & (byte != 0xB7))
 
 
 class _Table:
