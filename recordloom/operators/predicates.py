@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument
 from ..types import SLOT, Value
 
-OPS = ("eq", "ne", "lt", "lte", "gt", "gte")
+OPS = ("eq", "lt", "gt", "ne", "gte", "lte")
 
 
 def _compare(op: str, a: Column, b: Column) -> Column:
-    return {"eq": a == b, "ne": a != b, "lt": a < b, "lte": a <= b, "gt": a > b, "gte": a >= b}[op]
+    return {"lt": a < b, "eq": a == b, "gt": a > b, "lte": a <= b, "ne": a != b, "gte": a >= b}[op]
 
 
 def literal(value: Value) -> Column:

@@ -43,7 +43,7 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
 _NEWEST = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events"
 _EVENT = ["user_id", "event_id", "event_type"]
 
-# ------------------------------------------------------------- version resolution
+# version resolution
 
 
 @query(f"SELECT user_id, event_id, event_type, value FROM ({_NEWEST}) WHERE rn = 1")
@@ -92,7 +92,7 @@ def explain_scope(spark, d):
     return resolve.scope(e).withColumnRenamed("part", "day")
 
 
-# --------------------------------------------------------------- scans and paging
+# scans and paging
 
 
 def _orders(spark, d):
@@ -141,7 +141,7 @@ def page_byte_budget(spark, d):
     return page.select("doc_id", F.sum("len").over(w).alias("run"), F.row_number().over(w).alias("k")).where("run <= 100000 or k = 1").select("doc_id")
 
 
-# --------------------------------------------------------------------- predicates
+# predicates
 
 
 def _order_records(spark, d):
@@ -207,7 +207,7 @@ def pred_float_bits(spark, d):
     return r.select("k", predicates.Attr("f", "eq", Value.float(0.0)).column().alias("equal"))
 
 
-# ------------------------------------------------------------- lens and projection
+# lens and projection
 
 
 def _event_records(spark, d) -> DataFrame:
@@ -265,7 +265,7 @@ def zone_maps(spark, d):
     return introspect.zones(_event_records(spark, d)).withColumn("tag", F.col("tag").cast("int"))
 
 
-# ------------------------------------------------------------------------ content
+# content
 
 
 def _doc_pieces(spark, d, size: int = 1024) -> DataFrame:
@@ -350,7 +350,7 @@ def piece_semi_join(spark, d):
     return docs.join(docs.where("doc_id % 3 = 0").select("piece"), "piece", "left_semi").select("piece").distinct()
 
 
-# -------------------------------------------------------------------- maintenance
+# maintenance
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE CAST(ts AS DATE) >= (SELECT min(CAST(ts AS DATE)) FROM events) + 1 AND CAST(ts AS DATE) <= (SELECT min(CAST(ts AS DATE)) FROM events) + 3) WHERE rn = 1")
@@ -416,7 +416,7 @@ def part_distribution(spark, d):
     return n.selectExpr("min(n) AS least", "cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY n) AS bigint) AS p50", "cast(percentile_disc(0.95) WITHIN GROUP (ORDER BY n) AS bigint) AS p95", "max(n) AS most")
 
 
-# ---------------------------------------------------------------- importers, SQL
+# importers, SQL
 
 
 @query("SELECT printf('span/%032d/%020d/%016d', user_id, epoch_us(ts) * 1000, event_id) AS id FROM events")
@@ -442,7 +442,7 @@ def dialect_functions(spark, d):
     return e.select("event_id", dialect.date_bin(900_000_000, F.col("ts")).cast("timestamp_ntz").alias("bin"), dialect.gcd(F.col("event_id"), F.lit(360)).alias("g"), dialect.lcm(F.col("event_id") + 1, F.lit(12)).alias("l"))
 
 
-# -------------------------------------------------- inherited SQL, in one dialect
+# inherited SQL, in one dialect
 
 _PLAIN = {
     "join_inner": ("SELECT o_orderpriority, count(*) AS n, CAST(round(sum(l_extendedprice * 100)) AS BIGINT) AS cents FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderpriority", "orders lineitem"),

@@ -78,11 +78,16 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
     return named.drop("place").unionByName(rows.where("skipped"))
 
 
-CONTENT_ATTRIBUTES = ("gen_ai.system_instructions", "gen_ai.input.messages", "gen_ai.output.messages", "gen_ai.tool.definitions")
+CONTENT_ATTRIBUTES = tuple(f"gen_ai.{x}" for x in ("input.messages", "output.messages", "system_instructions", "tool.definitions"))
+
+
+_TIGHT = (",", ":")
+_STABLE = json.JSONEncoder(ensure_ascii=False, separators=_TIGHT, sort_keys=True)
 
 
 def stable_json(v: Any) -> bytes:
-    return json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    """Compact JSON with sorted keys."""
+    return _STABLE.encode(v).encode()
 
 
 def time_ns(v: Any) -> int:
@@ -107,12 +112,12 @@ def span_record(span: Mapping[str, Any]) -> tuple[str, list[tuple[str, Value]],
 
     trace, own = digits("traceId", 32), digits("spanId", 16)
     parent = digits("parentSpanId", 16) if span.get("parentSpanId") else None
-    start, end = time_ns(span["startTimeUnixNano"]), time_ns(span["endTimeUnixNano"])
-    if start < 0 or end < start:
+    start, end = (time_ns(span[f"{edge}TimeUnixNano"]) for edge in ("start", "end"))
+    if not 0 <= start <= end:
         raise InvalidArgument("a span's times must be ordered and not negative")
-    status = span.get("status") or {}
     attrs = [("otel.trace_id", Value.str(trace)), ("otel.span_id", Value.str(own))]
     attrs += [("otel.parent_span_id", Value.str(parent))] if parent else []
+    status = span.get("status") or {}
     attrs += [
         ("otel.name", Value.str(str(span["name"]))),
         ("otel.kind", Value.str(str(span.get("kind", "INTERNAL")))),
@@ -166,11 +171,11 @@ def call_records(call: Mapping[str, Any], prefix: str = "app") -> list[tuple[str
     own = call.get("attributes") if isinstance(call.get("attributes"), Mapping) else {}
     base += [(k, Value.of(own[k])) for k in sorted(own) if isinstance(own[k], str | bool | int | float)]
     out = []
-    for kind, key in (("system", "systemInstructions"), ("input", "inputMessages"), ("output", "outputMessages")):
-        body = call.get(key)
+    for kind, what in (("system", "Instructions"), ("input", "Messages"), ("output", "Messages")):
+        body = call.get(kind + what)
         if body is None or body == []:
             continue
-        out.append((f"{member}/{ts:013d}/{response}#{kind}", [*base, (f"{prefix}.kind", Value.str(kind))], json.dumps(body, separators=(",", ":"), ensure_ascii=False, sort_keys=True).encode()))
+        out.append((f"{member}/{ts:013d}/{response}#{kind}", [*base, (f"{prefix}.kind", Value.str(kind))], stable_json(body)))
     return out
 
 

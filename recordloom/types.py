@@ -157,18 +157,18 @@ class Value:
     # the wire form of the query contract
 
     def encode(self) -> dict[str, Any]:
-        t, v = self.tag, self.raw
-        if t == 0:
-            return {"type": "string", "value": v}
-        if t in (1, 4, 6):
-            return {"type": {1: "i64", 4: "u64", 6: "timestampNs"}[t], "decimal": str(v)}
-        if t == 2:
-            return {"type": "f64", "bitsHex": f"{v & (1 << 64) - 1:016x}"}
-        if t == 3:
-            return {"type": "bool", "value": v}
-        if t == 5:
-            return {"type": "binary", "base64": base64.b64encode(v).decode()}
-        return {"type": "null"}
+        v = self.raw
+        kind, key, form = {
+            0: ("string", "value", lambda: v),
+            1: ("i64", "decimal", lambda: str(v)),
+            2: ("f64", "bitsHex", lambda: f"{v % (1 << 64):016x}"),
+            3: ("bool", "value", lambda: v),
+            4: ("u64", "decimal", lambda: str(v)),
+            5: ("binary", "base64", lambda: base64.b64encode(v).decode()),
+            6: ("timestampNs", "decimal", lambda: str(v)),
+            7: ("null", "", None),
+        }[self.tag]
+        return {"type": kind, key: form()} if form else {"type": kind}
 
     @staticmethod
     def decode(x: dict[str, Any]) -> Value:

@@ -22,7 +22,7 @@ def layer(r):
         if r and sel % 13 == 0:
             yield slot, None
             continue
-        attrs = [("kind", ["activity", "generation", "build"][(slot + 2 * r) % 3]), ("score", slot * 17 - r * 29 - 200), ("ratio", (slot - r) / 8), ("active", (slot + r) % 2 == 0), ("epoch", Value.uint((1 << 64) - 1 - slot * 16 - r)), ("raw", bytes([0, slot, r, 255])), ("at", Value.timestamp_ns(-1_700_000_000_000_000_000 + slot * 100 + r))]
+        attrs = [("kind", ["plan", "call", "tool"][(slot + 2 * r) % 3]), ("score", slot * 17 - r * 29 - 200), ("ratio", (slot - r) / 8), ("active", (slot + r) % 2 == 0), ("epoch", Value.uint((1 << 64) - 1 - slot * 16 - r)), ("raw", bytes([0, slot, r, 255])), ("at", Value.timestamp_ns(-1_700_000_000_000_000_000 + slot * 100 + r))]
         attrs += [("nil", None)] if (slot + r) % 4 == 0 else []
         attrs += [("tag", f"first-{slot}"), ("tag", f"second-{r}")]
         contents = {"body": (f"common prefix {'shared ' * 32}|slot={slot}|revision={r}|" + "tail" * ((slot + r) % 11)).encode()}

@@ -111,24 +111,24 @@ def test_dialect(spark):
 
 
 SPAN = {
-    "traceId": "0123456789abcdef" * 2,
-    "spanId": "0123456789abcdef",
-    "parentSpanId": "fedcba9876543210",
     "name": "chat",
+    "traceId": "00112233445566778899aabbccddeeff",
     "kind": "CLIENT",
+    "spanId": "a1b2c3d4e5f60718",
     "startTimeUnixNano": "1700000000000000001",
+    "parentSpanId": "8877665544332211",
     "endTimeUnixNano": ["1700000000", 43],
-    "status": {"code": "OK", "message": "done"},
-    "attributes": [["gen_ai.request.model", "m"], ["gen_ai.response.finish_reasons", ["stop", "tool_call"]], ["gen_ai.input.messages", [{"role": "user"}]]],
-    "events": [{"name": "choice", "attributes": {"index": 0}}],
+    "status": {"message": "done", "code": "OK"},
+    "attributes": {"model": "m", "reasons": ["stop", "length"], "gen_ai.input.messages": [{"role": "user"}]},
     "links": [],
+    "events": [{"attributes": {"index": 0}, "name": "choice"}],
 }
 
 
 def test_spans():
     id, attrs, contents = importers.span_record(SPAN)
-    assert id == f"span/{SPAN['traceId']}/01700000000000000001/0123456789abcdef"
-    assert [n for n, _ in attrs][-3:] == ["gen_ai.request.model", "gen_ai.response.finish_reasons", "gen_ai.response.finish_reasons"]
+    assert id == f"span/{SPAN['traceId']}/01700000000000000001/a1b2c3d4e5f60718"
+    assert [n for n, _ in attrs][-3:] == ["model", "reasons", "reasons"]
     assert contents == {"gen_ai.input.messages": b'[{"role":"user"}]', "otel.events": b'[{"attributes":{"index":0},"name":"choice"}]', "otel.links": b"[]"}
     for bad in ({"traceId": "X" * 32}, {"endTimeUnixNano": 1}, {"spanId": "1"}):
         with pytest.raises(InvalidArgument):

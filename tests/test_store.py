@@ -19,7 +19,7 @@ def corpus(spark, tmp_path_factory):
         Batch()
         .put(
             "alpha",
-            [("tag", "first"), ("signed", V.int(-(1 << 63))), ("float", V.bits(1 << 63)), ("enabled", True), ("unsigned", V.uint((1 << 64) - 1)), ("raw", b"\0\xff"), ("at", V.timestamp_ns(-1)), ("nullable", None), ("tag", "second")],
+            [("tag", "first"), ("low", V.int(-(1 << 63))), ("float", V.bits(1 << 63)), ("on", True), ("high", V.uint((1 << 64) - 1)), ("blob", b"\0\xff"), ("at", V.timestamp_ns(-1)), ("nullable", None), ("tag", "second")],
             {"body": b"alpha body", "empty": b""},
             Carve("whole"),
         )
@@ -55,8 +55,8 @@ def test_golden_queries(corpus):
 
 def test_scalars_and_order_survive(corpus):
     r = corpus[1].get("alpha")
-    assert [n for n, _ in r.attrs] == ["tag", "signed", "float", "enabled", "unsigned", "raw", "at", "nullable", "tag"]
-    assert dict(r.attrs[1:8]) == {"signed": Value.int(-(1 << 63)), "float": Value.bits(1 << 63), "enabled": Value.bool(True), "unsigned": Value.uint((1 << 64) - 1), "raw": Value.binary(b"\0\xff"), "at": Value.timestamp_ns(-1), "nullable": Value.null()}
+    assert [n for n, _ in r.attrs] == ["tag", "low", "float", "on", "high", "blob", "at", "nullable", "tag"]
+    assert dict(r.attrs[1:8]) == {"low": Value.int(-(1 << 63)), "float": Value.bits(1 << 63), "on": Value.bool(True), "high": Value.uint((1 << 64) - 1), "blob": Value.binary(b"\0\xff"), "at": Value.timestamp_ns(-1), "nullable": Value.null()}
     assert corpus[1].read_content("alpha") == b"alpha body"
     assert corpus[1].read_content("alpha", "empty") == b""
     assert corpus[2].get("beta") is None and corpus[2].read_content("nobody") is None
