@@ -184,3 +184,38 @@ def attributes(table: DataFrame, types: Mapping[str, str]) -> DataFrame:
     are absent."""
     made = [F.when(F.col(c).isNotNull(), attr(c, t, F.col(c))) for c, t in types.items()]
     return table.withColumn("attrs", F.filter(F.array(*made), lambda a: a.isNotNull()))
+
+
+class SpanExporter:
+    """Takes finished spans: every export is durable before it returns, and staged
+    spans become a part at ``flush_spans`` of them or after ``flush_seconds``."""
+
+    def __init__(self, store: Any, flush_spans: int = 512, flush_seconds: float = 5.0):
+        import time
+
+        self._clock = time.monotonic
+        self.store, self.flush_spans, self.flush_seconds = store, flush_spans, flush_seconds
+        self._pending, self._since = 0, self._clock()
+
+    def export(self, spans: list[Mapping[str, Any]]) -> int:
+        """Maps all spans before it stages any; returns how many were taken."""
+        from .store import Batch
+
+        batch = Batch()
+        for s in spans:
+            id, attrs, contents = span_record(s)
+            batch.put(id, attrs, contents)
+        self.store.apply(batch)
+        self.store.sync()
+        self._pending += len(spans)
+        if self._pending >= self.flush_spans or self._clock() - self._since >= self.flush_seconds:
+            self.force_flush()
+        return len(spans)
+
+    def force_flush(self) -> None:
+        self.store.flush()
+        self._pending, self._since = 0, self._clock()
+
+    def shutdown(self) -> None:
+        self.store.sync()
+        self.force_flush()

@@ -163,3 +163,19 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema("id string, body string, ts long").json(str(tmp_path / "in"))
         into(s, stream, str(tmp_path / "ck"), once=True).awaitTermination()
         assert s.read_content("a") == b"[2]" and s.exists("b") and len(s.commit.parts) == 1
+
+
+def test_exporter_cadence(spark, tmp_path):
+    with Store.open(spark, tmp_path / "s") as s:
+        x = importers.SpanExporter(s, flush_spans=3, flush_seconds=1e9)
+        spans = [{**SPAN, "spanId": f"{k:016x}"} for k in range(4)]
+        x.export(spans[:2])
+        assert not s.commit.parts and (s.root / "_staged.json").exists() and len(s.scan_ids()) == 2
+        x.export(spans[2:3])
+        assert len(s.commit.parts) == 1
+        with pytest.raises(InvalidArgument):
+            x.export([spans[3], {**SPAN, "traceId": "?"}])
+        assert len(s.scan_ids()) == 3
+        x.export(spans[3:])
+        x.shutdown()
+        assert len(s.commit.parts) == 2 and s.read_content(s.scan_ids()[0], "otel.links") == b"[]"
