@@ -32,6 +32,9 @@ SHINGLE = 2
 STEP = 1024
 #: Text bytes of a range of neighbouring doc_ids, on average.
 RANGE_BYTES = 24 << 20
+#: At most so many ranges, which the driver keeps; beyond, they grow. A range is
+#: sorted on disk and streamed, so it needn't fit a task's memory.
+RANGES = 16_384
 
 
 @functools.cache
@@ -133,7 +136,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     are cut into ranges at quantiles, and the greatest document of a range goes to
     the next range up as well, as a helper. A null doc_id counts as the greatest."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(S.MAX_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, -(-S.total_bytes(docs) // RANGE_BYTES))
+    parts = min(RANGES, max(1, -(-S.total_bytes(docs) // RANGE_BYTES)))
     bounds = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
     cuts = np.unique(np.array(bounds, np.int64))
 

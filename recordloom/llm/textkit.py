@@ -46,7 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         sc.setCheckpointDir(at)
-    return at.rstrip("/")
+    # as a full URI, so that workers and Spark mean the same file system
+    place = sc._jvm.org.apache.hadoop.fs.Path(at)
+    at = place.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+    return at if "://" in at or not at.startswith("file:") else "file://" + at[5:]
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
@@ -67,7 +70,7 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-# ---------------------------------------------------------------- text buffers
+# text buffers
 
 
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +187,15 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         a = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, a + _STEP, "right")))
         b = int(ends[j - 1])
+        if b - a > _STEP:  # one word longer than a step: summed piece by piece
+            up, _ = powers.upto(_STEP)
+            total = 0
+            for x in range(a, b, _STEP):
+                part = values[buf[x : min(b, x + _STEP)]]
+                total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(powers.base, x - a, 1 << 64)
+            out[i:j] = mix(np.array([(total + b - a) & ((1 << 64) - 1)], np.uint64))
+            i = j
+            continue
         up, down = powers.upto(b - a + 1)
         acc = np.empty(b - a + 1, np.uint64)
         acc[0] = 0
@@ -218,7 +230,7 @@ def unit_hash(texts: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
 
 
-# ----------------------------------------------------- sorted integers as blobs
+# sorted integers as blobs
 
 
 def pack_sorted(v: np.ndarray) -> bytes:
@@ -276,7 +288,7 @@ def unpack_bits(blob: bytes, width: int, n: int) -> np.ndarray:
     return out
 
 
-# ------------------------------------------------------------- block exchange
+# block exchange
 
 
 def block_key(ids: np.ndarray, texts_bytes: int) -> str:
@@ -289,7 +301,7 @@ def block_key(ids: np.ndarray, texts_bytes: int) -> str:
 def _filesystem(root: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
+    return fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
 
 
 def read_replies(root: str, column: str, key: str) -> pa.Table | None:

@@ -429,3 +429,14 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in got} and set(parent) <= set(got)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hashes_of_words_longer_than_a_step(monkeypatch):
+    import numpy as np
+
+    texts = [b"ab", b"x" * 1000, b"ab" + b"y" * 700, b"", b"x" * 999 + b"y"]
+    buf, off = np.frombuffer(b" ".join(texts), np.uint8), np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts, ends = off[:-1], off[:-1] + [len(t) for t in texts]
+    want = T.word_hashes(buf, starts, ends)
+    monkeypatch.setattr(T, "_STEP", 64)
+    assert (T.word_hashes(buf, starts, ends) == want).all() and len(set(want.tolist())) == 5
