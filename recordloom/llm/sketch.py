@@ -33,7 +33,7 @@ ROWS = "block string, shard long, n long, cells binary, twice binary"
 REPLY = "block string, shard long, bits binary"
 
 #: Bytes of text a block holds in the operators that exchange blocks.
-EXCHANGE_BYTES = 6 << 20
+EXCHANGE_BYTES = 4 << 20
 #: Entries a shard gets, on average.
 SHARD_ENTRIES = 3_000_000
 

@@ -9,6 +9,7 @@ texts: long texts are hashed piecewise at word ends, never cut.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import os
@@ -70,6 +71,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives memory that blocks have freed back to the system: a worker lives long,
+    and what its allocators keep would count against the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 # text buffers
 
 
@@ -114,9 +126,11 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
                 break
             held.append(batch.slice(start, stop - start))
             yield pa.Table.from_batches(held)
+            release()
             held, size, done, start = [], 0, int(total[stop - 1]), stop
     if held:
         yield pa.Table.from_batches(held)
+        release()
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
