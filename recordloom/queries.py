@@ -412,7 +412,6 @@ def verify_hash(spark, d):
 @query("SELECT min(n) AS least, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, max(n) AS most FROM (SELECT count(*) AS n FROM events GROUP BY CAST(ts AS DATE))")
 def part_distribution(spark, d):
     n = _t(spark, d, "events").groupBy(F.to_date("ts")).agg(F.count("*").alias("n"))
-    n.createOrReplaceTempView("__parts")
     return n.selectExpr("min(n) AS least", "cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY n) AS bigint) AS p50", "cast(percentile_disc(0.95) WITHIN GROUP (ORDER BY n) AS bigint) AS p95", "max(n) AS most")
 
 
