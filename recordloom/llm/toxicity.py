@@ -35,6 +35,8 @@ STEPS = (40, 150)
 RATE = 0.1
 L1 = 0.2
 LEAST = 3
+#: Features summed at a time: bounds the driver's temporaries.
+CHUNK = 1 << 20
 THRESHOLD = 0.3
 
 _STOP = np.zeros(256, bool)
@@ -109,10 +111,15 @@ def train(feature: np.ndarray, word_sentence: np.ndarray, sentence_row: np.ndarr
     rows, sentences = len(label), len(sentence_row)
     total = weight.sum()
     flat = feature.ravel()
-    owner = np.repeat(word_sentence, feature.shape[1]).astype(np.int32)
-    bags_with = np.bincount(np.unique(flat + (sentence_row[owner] << BITS)) & ((1 << BITS) - 1), minlength=1 << BITS)
+    owner = np.repeat(word_sentence.astype(np.int32), feature.shape[1])
+    bags_with = np.zeros(1 << BITS, np.int32)
+    edges = np.searchsorted(sentence_row, np.arange(rows + 1))
+    cuts = np.searchsorted(owner, edges)
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        bags_with[np.unique(flat[a:b])] += 1
     keep = bags_with[flat] >= LEAST
     flat, owner = flat[keep], owner[keep]
+    del keep
     share = float((weight * label).sum() / total)
     bias = float(np.log(max(share, 1e-3) / max(1.0, sentences / rows))) - 2
     out = np.zeros(1 << BITS)
@@ -121,15 +128,20 @@ def train(feature: np.ndarray, word_sentence: np.ndarray, sentence_row: np.ndarr
         used = np.unique(flat)
         place[used] = np.arange(len(used))
         f, w = place[flat], out[used]
+        parts = [slice(i, i + CHUNK) for i in range(0, len(f), CHUNK)]
         m, v = np.zeros_like(w), np.zeros_like(w)
         mb = vb = 0.0
         for step in range(1, steps + 1):
-            z = np.bincount(owner, w[f], sentences) + bias
+            z = np.full(sentences, bias)
+            for part in parts:
+                z += np.bincount(owner[part], w[f[part]], sentences)
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             survive = np.bincount(sentence_row, np.logaddexp(0, z), rows)
             one = np.maximum(-np.expm1(-survive), 1e-9)
             dz = p * (np.where(label == 1, -np.exp(-survive) / one, 1.0) * weight / total)[sentence_row]
-            g, gb = np.bincount(f, dz[owner], len(used)), float(dz.sum())
+            g, gb = np.zeros(len(used)), float(dz.sum())
+            for part in parts:
+                g += np.bincount(f[part], dz[owner[part]], len(used))
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             c1, c2 = 1 - 0.9**step, 1 - 0.99**step
@@ -168,19 +180,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE[1]).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE[0]))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(_gather, "doc_id long, toxic int, feature binary, sentence binary").toArrow().sort_by("doc_id")
     label = rows.column("toxic").to_numpy()
-    feature = [np.frombuffer(x, np.int32).reshape(-1, PER_WORD) for x in rows.column("feature").to_pylist()]
     word_sentence, sentence_row, base = [], [], 0
     for i, x in enumerate(rows.column("sentence").to_pylist()):
         own = np.frombuffer(x, np.int32)
         n = int(own[-1]) + 1 if len(own) else 0
-        word_sentence.append(own + base)
-        sentence_row.append(np.full(n, i, np.int64))
+        word_sentence.append(own + np.int32(base))
+        sentence_row.append(np.full(n, i, np.int32))
         base += n
     if not counts.get(1) or not base:
         return Model(np.zeros(1 << BITS, np.float32), -20.0)
+    feature = np.frombuffer(b"".join(x for c in rows.column("feature").chunks for x in c.to_pylist()), np.int32).reshape(-1, PER_WORD)
+    del rows
     have = {k: max(1, int((label == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(k, 0) / have[k] for k in label.tolist()])
-    return train(np.concatenate(feature), np.concatenate(word_sentence), np.concatenate(sentence_row), label, weight)
+    model = train(feature, np.concatenate(word_sentence), np.concatenate(sentence_row), label, weight)
+    T.release()
+    return model
 
 
 def held_out(doc_id: int | None) -> bool:
