@@ -2,10 +2,11 @@
 
 Method: documents are routed to shards by their most telling terms, so that related
 ones meet; each shard holds a BM25 inverted index of its documents. A seed document
-opens a window; the index returns the unused documents that score best for the
-seed's rarest terms, and they fill the window greedily. A document that doesn't fit
-is cut, and its rest is the next seed. Terms are token ids, so their document
-counts, taken over the whole corpus, are a table no larger than the vocabulary.
+opens a window; the index returns the shard's unused documents that score best for
+all of the seed's distinct terms, and they fill the window greedily. A document
+that doesn't fit is cut, and its rest is the next seed. Terms are token ids, so
+their document counts, taken over the whole corpus, are a table no larger than the
+vocabulary.
 
 A shard has about SHARD_TOKENS ids. Documents are routed by a consistent sample of
 their terms, weighted by idf; a term that draws more than one shard's worth is
@@ -35,8 +36,8 @@ from .textkit import U64
 
 WINDOW = 4096
 SHARD_TOKENS = 2_000_000
-#: Terms of a seed that are looked up: its rarest.
-QUERY_TERMS = 32
+#: A term that more than one in DENSE of a shard's documents have is kept as a row of weights.
+DENSE = 8
 K1, B = 1.2, 0.75
 _RANGE = 4096
 
@@ -117,23 +118,35 @@ class Index:
         doc, term, tf = _terms(ids, off)
         size = np.diff(off)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1.0)))
-        order = np.lexsort((doc, term))
+        order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         term_s = term[order]
         self.terms = term_s[np.append(True, term_s[1:] != term_s[:-1])]
         self.first = np.searchsorted(term_s, np.append(self.terms, np.iinfo(np.int64).max))
-        rare = np.lexsort((term, -idf[term], doc))
-        at = np.searchsorted(doc, np.arange(len(size) + 1))
-        self.query = [term[rare[a : min(b, a + QUERY_TERMS)]] for a, b in zip(at.tolist(), at[1:].tolist())]
         self.n = len(size)
+        self.at = np.searchsorted(doc, np.arange(self.n + 1))
+        self.slot = np.searchsorted(self.terms, term)  # of each document's distinct terms, all of which are looked up
+        common = np.flatnonzero(np.diff(self.first) * DENSE > self.n)
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        row = self.row[self.slot]
+        self.dense[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all distinct terms of the seed."""
+        slot = self.slot[self.at[seed] : self.at[seed + 1]]
+        row = self.row[slot]
+        score = self.dense[row[row >= 0]].sum(0)
+        parts = [slice(int(self.first[s]), int(self.first[s + 1])) for s in slot[row < 0].tolist()]
+        if parts:
+            score += np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
+        return score
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents, best first; those without a common term last."""
-        slot = np.searchsorted(self.terms, self.query[seed])
-        parts = [slice(int(self.first[s]), int(self.first[s + 1])) for s in slot.tolist()]
-        score = np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
         left = np.flatnonzero(unused)
-        return left[np.argsort(-score[left], kind="stable")]
+        return left[np.argsort(-self.scores(seed)[left], kind="stable")]
 
 
 def plan(ids: np.ndarray, off: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:

@@ -230,6 +230,30 @@ def test_seeds_bring_their_kind():
     assert sum(p[2] for p in plan) == 320
 
 
+def test_seeds_are_scored_by_all_their_terms():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, 400, n) for n in rng.integers(1, 300, 60)]
+    rows[1] = np.append(np.arange(1000, 1040), np.arange(300))  # many rare ids of its own, the rest in common
+    rows[2] = np.arange(300)
+    idf = rng.uniform(0.1, 3, 1100)
+    idf[1000:] = 5
+    off = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    index = packing.Index(np.concatenate(rows).astype(np.uint64), off, idf, 150.0)
+    for seed in range(60):
+        want = []
+        for r in rows:
+            tf = collections.Counter(r.tolist())
+            norm = packing.K1 * (1 - packing.B + packing.B * len(r) / 150.0)
+            want.append(math.fsum(idf[x] * tf[x] * (packing.K1 + 1) / (tf[x] + norm) for x in set(rows[seed].tolist()) if x in tf))
+        got = index.ranked(seed, np.ones(60, bool))
+        assert (np.diff(np.array(want)[got]) < 1e-9).all() and np.allclose(index.scores(seed), want)
+    assert 0 < len(index.dense) < len(index.terms)  # both common and rare ones
+
+
 def bag(t):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
     return collections.Counter(zip(w, w[1:])) if len(w) > 1 else collections.Counter(w)
