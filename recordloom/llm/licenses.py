@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,50 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "reserved": "All rights reserved.",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files, to deal in the Software without restriction, including without limitation the rights to use,
-        copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
-        whom the Software is furnished to do so, subject to the following conditions""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies""",
-    "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-        following conditions are met""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
+        an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "MPL-2.0-title": "Mozilla Public License Version 2.0",
+    "EPL-1.0-title": "Eclipse Public License - v 1.0",
+    "EPL-2.0-title": "Eclipse Public License - v 2.0",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "EPL-1.0-header": """All rights reserved. This program and the accompanying materials are made available under the terms of the
+        Eclipse Public License v1.0 which accompanies this distribution, and is available at
+        http://www.eclipse.org/legal/epl-v10.html""",
+    "EPL-2.0-header": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+        which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "BSD-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
 }
 
+_GNU = """{this} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name}General Public
+    License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any
+    later version. {this} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+    implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name}General Public License for
+    more details."""
+for _name, _kind, _version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
+    _this = "This library" if _name == "LGPL-2.1" else "This program"
+    TEMPLATES[f"{_name}-header"] = _GNU.format(this=_this, colon=":" if _version == "3" else ";", name=_kind, version=_version)
+for _name, _rest in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-ND", "-NoDerivatives"), ("BY-NC", "-NonCommercial"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives")):
+    TEMPLATES[f"CC-{_name}-4.0-notice"] = f"This work is licensed under a Creative Commons Attribution{_rest} 4.0 International License."
+for _id in """0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-3-Clause
+    BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0
+    CDDL-1.1 CECILL-2.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.2 GFDL-1.3 GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only
+    GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only
+    LGPL-2.1-or-later LGPL-3.0 LGPL-3.0+ LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA ODbL-1.0
+    OFL-1.1 OSL-3.0 PSF-2.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 Vim WTFPL X11 Zlib ZPL-2.1""".split():
+    TEMPLATES[f"SPDX:{_id}"] = f"SPDX-License-Identifier: {_id}"
+#: Whole texts, one file each.
+TEMPLATES |= {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of two sequences, ascending in both."""
@@ -120,16 +155,26 @@ def _matches(words: list[int], template: list[int], need: int) -> list[tuple[int
     """(first word, end, words matched) of the template's matches, not overlapping.
     ``words`` are codes, -1 for words no template has."""
     span = max(len(template), int(STRETCH * len(template)))
-    own = set(template)
+    own = Counter(template)
     found: list[tuple[int, int, int]] = []
     last = 0
+    have = dict.fromkeys(own, 0)  # of words[low:high]; bound is what of it the template has
+    low = high = bound = 0
     for p in [i for i, w in enumerate(words) if w in own]:
         if p < last:
             continue
-        window = words[p : p + span]
-        if sum((Counter(w for w in window if w in own) & Counter(template)).values()) < need:
+        for w in words[high : p + span]:
+            if w in own:
+                have[w] += 1
+                bound += have[w] <= own[w]
+        for w in words[low:p]:
+            if w in own:
+                bound -= have[w] <= own[w]
+                have[w] -= 1
+        low, high = p, max(high, min(p + span, len(words)))
+        if bound < need:
             continue
-        pairs = align(window, template)
+        pairs = align(words[p : p + span], template)
         # the window may begin before the notice does, or end after it
         if len(pairs) >= need:
             first, end = p + pairs[0][0], p + pairs[-1][0] + 1
@@ -155,11 +200,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             row = np.searchsorted(woff, known, "right") - 1
             pair, count = np.unique(row * len(vocabulary) + code[known], return_counts=True)
             row, word = pair // len(vocabulary), pair % len(vocabulary)
+            by_word = np.argsort(word, kind="stable")
+            row, word, count = row[by_word], word[by_word], count[by_word]
+            first = np.searchsorted(word, np.arange(len(vocabulary) + 1))
             ids = t.column("doc_id").to_pylist()
             rows = []
             for name, template, has in compiled:
                 need = max(1, int(np.ceil(coverage * len(template) - 1e-9)))
-                bound = np.bincount(row, np.minimum(count, has[word]), t.num_rows)
+                part = np.concatenate([np.arange(first[w], first[w + 1]) for w in np.flatnonzero(has).tolist()])
+                bound = np.bincount(row[part], np.minimum(count[part], has[word[part]]), t.num_rows)
                 for i in np.flatnonzero(bound >= need).tolist():
                     for a, b, n in _matches(code[woff[i] : woff[i + 1]].tolist(), template, need):
                         rows.append((ids[i], name, n / len(template), n, a, b))

@@ -337,6 +337,22 @@ def test_licenses(docs, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_whole_licenses(spark):
+    texts = licenses.TEMPLATES
+    header = texts["GPL-3.0-header"]
+    rows = [(k, f"some words before {t} and after it") for k, t in enumerate([*texts.values(), "// SPDX-License-Identifier: AGPL-3.0-only", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007"])]
+    found = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].append((r["n_matched"], r["coverage"], r["license"]))
+    for k, name in enumerate([*texts, "SPDX:AGPL-3.0-only", "GPL-3.0-title"]):
+        # the best match, by words and then by coverage, is the license itself, or a text that holds its words too
+        assert max(c for _, c, n in found[k] if n == name) == 1.0
+        if name.startswith(("BSD-", "MIT", "SPDX", "Unlicense", "MPL", "ISC", "AGPL", "LGPL-3.0-text", "GPL")):
+            assert max(found[k])[2] == name
+    assert not any(n == "MIT" for _, _, n in found[list(texts).index("ISC")])
+    assert len(header.split()) > 60
+
+
 def test_patience_alignment_is_an_alignment():
     rng = random.Random(4)
     for _ in range(300):
