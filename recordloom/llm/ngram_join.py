@@ -99,8 +99,8 @@ def _measured(shape: S.Shape, root: str, size: int, percent: int):
                 sets.append(own.tobytes())
             spread = lambda v: [next(it) if ok else None for it in [iter(v)] for ok in alive.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [t.column("doc_id").cast(pa.int64()).combine_chunks(), pa.array(n, pa.int64()), pa.array(spread(k1), pa.int64()), pa.array(spread(k2), pa.int64()), pa.array(spread(sets), pa.binary())],
-                ["doc_id", "n", "k1", "k2", "hashes"],
+                [t.column("doc_id").cast(pa.int64()).combine_chunks(), t.column("text_key").combine_chunks(), pa.array(n, pa.int64()), pa.array(spread(k1), pa.int64()), pa.array(spread(k2), pa.int64()), pa.array(spread(sets), pa.binary())],
+                ["doc_id", "text_key", "n", "k1", "k2", "hashes"],
             )
 
     return run
@@ -300,24 +300,29 @@ def _partial(token: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, m
     return out
 
 
-def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, n_similar (other documents linked directly) and
-    component_id (smallest doc_id reachable by links), for every row of ``docs``.
+def text_key():
+    return F.xxhash64("text")
+
+
+def rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key (``text_key()``), n_shingles, n_similar (other documents linked
+    directly), component_id (smallest doc_id reachable by links) and group_key (one of
+    each set of rows that links connect; null without any), for every row of ``docs``.
 
     Null text has no words; documents without words have an empty set and no
     links; with fewer than ``size`` words the whole sequence is the one shingle.
-    ``docs`` must be a table (the same rows at each reading). doc_id must be
-    unique; a row with null doc_id is left out of the join and returned with its
+    ``docs`` must be a table (the same rows at each reading). Rows of
+    one doc_id are documents of their own; a row with null doc_id is left out of the join and returned with its
     set size, no links and no component."""
     spark = docs.sparkSession
     T.bounded_batches(spark)
-    known = docs.select("doc_id", "text")
+    known = docs.select("doc_id", "text", text_key().alias("text_key"))
     shape = S.Shape.of(S.total_bytes(known) // 6, 1, per_hash=16)
     root = S.answer(known.mapInArrow(S.send(shape, lambda t: _sets(t, size)[0]), S.ROWS), S.merge, "shingles-estimated")
-    at = T.written(known.mapInArrow(_measured(shape, root, size, percent), "doc_id long, n long, k1 long, k2 long, hashes binary"), "shingle-sets")
+    at = T.written(known.mapInArrow(_measured(shape, root, size, percent), "doc_id long, text_key long, n long, k1 long, k2 long, hashes binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
     live = at.where("k1 is not null and doc_id is not null")
-    classes = T.written(live.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "shingle-classes")
-    reps = live.select(F.col("doc_id").alias("rep"), "hashes").join(classes.select("rep"), "rep", "left_semi")
+    classes = T.written(live.groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "shingle-classes")
+    reps = live.select(F.col("row").alias("rep"), "hashes").join(classes.select("rep"), "rep", "left_semi")
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     cut = max(2, int(np.ceil(np.log2(max(1, tokens / SHARD)))))
     counted = (
@@ -343,20 +348,29 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFram
     tiled = T.written(tiles.groupBy("area", "i", "j").applyInArrow(_tile(percent), TILED), "shingle-links")
     joined = components(tiled.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     degree = tiled.groupBy("rep").agg(F.sum("degree").alias("degree"))
-    group = classes.join(degree, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    group = group.select("k1", "k2", "n", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"))
+    joined = joined.withColumnRenamed("node", "rep")
+    least = joined.join(classes.select("rep", "first_id"), "rep").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    group = classes.join(degree, "rep", "left").join(joined.join(least, "component"), "rep", "left")
+    group = group.select("k1", "k2", "n", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("component", "rep").alias("group_key"))
     return (
         at.drop("hashes")
         .join(group, ["k1", "k2", "n"], "left")
         .select(
             "doc_id",
+            "text_key",
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_similar", F.lit(0))).cast("long").alias("n_similar"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+            F.when(F.col("doc_id").isNotNull(), F.col("group_key")).alias("group_key"),
         )
     )
 
 
+def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, n_similar and component_id of ``rows``."""
+    return rows(docs, size, percent).select("doc_id", "n_shingles", "n_similar", "component_id")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(T.table(spark, sf_dir, "documents"))
 

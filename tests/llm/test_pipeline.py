@@ -1,7 +1,7 @@
 """The pipeline, stage by stage, against plain Python on its own input."""
 
 import corpus_pipeline
-from recordloom.llm import quality, secrets, textkit, tokens
+from recordloom.llm import ngram_join, quality, secrets, textkit, tokens
 from recordloom.llm import packing as P
 
 from .test_exact import PLAIN, base_spans, linked, removed, rule_statistics, check_packing
@@ -60,3 +60,17 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b + " end"), (3, c), (4, c), (5, "alone in this table"), (6, None), (7, a + " x"), (8, "twice " * 3 + b[::-1]), (8, "twice " * 3 + b[::-1]), (None, a)]
+    at = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(at)
+    docs = spark.read.parquet(at)
+    counts = sorted((r["doc_id"], r["n_similar"], r["component_id"]) for r in ngram_join.links(docs).collect() if r["doc_id"] is not None)
+    assert counts == [(1, 2, 1), (2, 1, 2), (2, 2, 1), (3, 1, 2), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 0, 6), (7, 2, 1), (8, 1, 8), (8, 1, 8)]
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    want = [(1, a), (2, b), (3, c), (5, "alone in this table"), (6, None), (8, "twice " * 3 + b[::-1]), (None, a)]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in want)
