@@ -404,8 +404,11 @@ def erase_ids(spark, d):
 
 @query("SELECT 0 AS mismatches, count(*) AS checked FROM documents WHERE text IS NOT NULL")
 def verify_hash(spark, d):
+    """Pieces are written with their hashes, and the bytes read again are verified."""
+    from .llm import textkit
+
     b = _t(spark, d, "documents").where("text is not null").select(F.encode("text", "UTF-8").alias("bytes"))
-    p = b.withColumn("piece", content.digest(F.col("bytes")))
+    p = textkit.written(b.withColumn("piece", content.digest(F.col("bytes"))), "pieces")
     return p.agg(F.count_if(content.digest(F.col("bytes")) != F.col("piece")).cast("int").alias("mismatches"), F.count("*").alias("checked"))
 
 

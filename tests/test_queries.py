@@ -56,3 +56,14 @@ def test_pushdown_changes_nothing(spark, pushed):
         assert QUERIES["pred_conjunction"](spark, SF).count() == QUERIES["pred_conjunction"](spark, SF).distinct().count() > 0
     finally:
         spark.conf.unset("spark.sql.parquet.filterPushdown")
+
+
+def test_verify_hash_finds_a_changed_piece(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from recordloom.llm import textkit
+
+    written = textkit.written
+    tampered = lambda df, what: written(df.withColumn("bytes", F.when(F.xxhash64("bytes") % 5 == 0, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("bytes"))), what)
+    monkeypatch.setattr(textkit, "written", tampered)
+    assert QUERIES["verify_hash"](spark, SF).first()["mismatches"] > 0
