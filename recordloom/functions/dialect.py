@@ -80,8 +80,9 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def lcm(a: Column, b: Column) -> Column:
-    g = gcd(a, b)
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise((F.abs(a.cast("long")) / g).cast("long") * F.abs(b.cast("long")))
+    """In whole numbers throughout; zero if either is."""
+    part = F.call_function("div", F.abs(a.cast("long")), F.nullif(gcd(a, b), F.lit(0).cast("long")))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(part * F.abs(b.cast("long")))
 
 
 def register(spark: SparkSession) -> None:

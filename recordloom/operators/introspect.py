@@ -96,7 +96,11 @@ def plan_compaction(parts: list[tuple[int, int]], max_parts: int, max_rows: int,
 
 
 def zones(records: DataFrame) -> DataFrame:
-    """Least and greatest value per numeric (name, tag), and whether NaN spoils them."""
+    """Least and greatest value per numeric (name, tag), and whether NaN spoils them:
+    floats as least_f and greatest_f, the whole-number types, exactly, as least_n and
+    greatest_n (decimal)."""
     a = records.select(F.explode("attrs").alias("a")).where(F.col("a.tag").isin(1, 2, 3, 4, 6))
-    value = F.coalesce(F.col("a.i").cast("double"), F.col("a.f"), F.col("a.b").cast("int").cast("double"), F.col("a.u").cast("double"), F.col("a.ts_ns").cast("double"))
-    return a.groupBy("a.name", "a.tag").agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.max(F.isnan(F.coalesce("a.f", F.lit(0.0)))).alias("poisoned"))
+    whole = F.coalesce(*(F.col(f"a.{c}").cast("decimal(20,0)") for c in ("i", "u", "ts_ns")), F.col("a.b").cast("int").cast("decimal(20,0)"))
+    real = F.when(~F.isnan("a.f"), F.col("a.f"))
+    spoilt = F.max(F.isnan(F.coalesce("a.f", F.lit(0.0)))).alias("poisoned")
+    return a.groupBy("a.name", "a.tag").agg(F.min(whole).alias("least_n"), F.max(whole).alias("greatest_n"), F.min(real).alias("least_f"), F.max(real).alias("greatest_f"), spoilt)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import types as RT
 from .functions import dialect
 from .operators import content, introspect, predicates, resolve
@@ -260,9 +261,11 @@ def project_all_occurrences(spark, d):
     return r.select("id", predicates.first_occurrence("flag", 0)["s"].alias("first_flag"), F.size(F.filter("attrs", lambda a: a["name"].isin("flag"))).cast("long").alias("occurrences"))
 
 
-@query("SELECT 'value' AS name, 2 AS tag, min(value) AS least, max(value) AS greatest, false AS poisoned FROM events UNION ALL SELECT 'user_id', 1, CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), false FROM events")
+@query("""SELECT 'value' AS name, 2 AS tag, NULL::BIGINT AS least_n, NULL::BIGINT AS greatest_n, min(value) AS least_f, max(value) AS greatest_f, false AS poisoned FROM events
+ UNION ALL SELECT 'user_id', 1, CAST(min(user_id) AS BIGINT), CAST(max(user_id) AS BIGINT), NULL, NULL, false FROM events""")
 def zone_maps(spark, d):
-    return introspect.zones(_event_records(spark, d)).withColumn("tag", F.col("tag").cast("int"))
+    z = introspect.zones(_event_records(spark, d))
+    return z.withColumns({"tag": F.col("tag").cast("int"), **{c: F.col(c).cast("long") for c in ("least_n", "greatest_n")}})
 
 
 # content
@@ -405,10 +408,8 @@ def erase_ids(spark, d):
 @query("SELECT 0 AS mismatches, count(*) AS checked FROM documents WHERE text IS NOT NULL")
 def verify_hash(spark, d):
     """Pieces are written with their hashes, and the bytes read again are verified."""
-    from .llm import textkit
-
     b = _t(spark, d, "documents").where("text is not null").select(F.encode("text", "UTF-8").alias("bytes"))
-    p = textkit.written(b.withColumn("piece", content.digest(F.col("bytes"))), "pieces")
+    p = scratch.written(b.withColumn("piece", content.digest(F.col("bytes"))), "pieces")
     return p.agg(F.count_if(content.digest(F.col("bytes")) != F.col("piece")).cast("int").alias("mismatches"), F.count("*").alias("checked"))
 
 
@@ -438,10 +439,10 @@ def sql_params(spark, d):
     return spark.sql(text, args={"p1": 200000.0, "p2": "O"})
 
 
-@query("SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bin, CAST(gcd(event_id, 360) AS BIGINT) AS g, CAST(lcm(event_id + 1, 12) AS BIGINT) AS l FROM events")
+@query("SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bin, CAST(gcd(event_id, 360) AS BIGINT) AS g, CAST(lcm(event_id + 1, 12) AS BIGINT) AS l, CAST(lcm(event_id + 9007199254740993, 2) AS BIGINT) AS large FROM events")
 def dialect_functions(spark, d):
     e = _t(spark, d, "events")
-    return e.select("event_id", dialect.date_bin(900_000_000, F.col("ts")).cast("timestamp_ntz").alias("bin"), dialect.gcd(F.col("event_id"), F.lit(360)).alias("g"), dialect.lcm(F.col("event_id") + 1, F.lit(12)).alias("l"))
+    return e.select("event_id", dialect.date_bin(900_000_000, F.col("ts")).cast("timestamp_ntz").alias("bin"), dialect.gcd(F.col("event_id"), F.lit(360)).alias("g"), dialect.lcm(F.col("event_id") + 1, F.lit(12)).alias("l"), dialect.lcm(F.col("event_id") + (1 << 53) + 1, F.lit(2)).alias("large"))
 
 
 # inherited SQL, in one dialect
@@ -486,7 +487,7 @@ _PLAIN = {
     "subquery_in": ("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) AND p_size < 10", "part lineitem"),
     "values_case": ("SELECT k, CASE WHEN k > 1 THEN coalesce(v, 'none') ELSE nullif(v, 'a') END AS v FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) t(k, v)", ""),
     "functions_string": ("SELECT doc_id, upper(lang) AS u, length(text) AS n, left(text, 5) AS l, replace(source, 'src', 's') AS r, lpad(lang, 4, '*') AS p, concat_ws('-', lang, source) AS c, md5(text) AS m, reverse(source) AS v, split_part(source, 'c', 2) AS s FROM documents", "documents"),
-    "functions_math": ("SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) < 0.02 AS near, CAST(floor(l_quantity) AS BIGINT) AS f, round(sqrt(l_extendedprice), 4) AS s, round(power(l_discount, 2), 8) AS p, CAST(sign(l_tax) AS INT) AS g, l_orderkey % 7 AS m FROM lineitem WHERE l_orderkey < 200", "lineitem"),
+    "functions_math": ("SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) < 0.02 AS near, CAST(floor(l_quantity) AS BIGINT) AS f, round(sqrt(l_extendedprice), 4) AS s, round(power(l_discount, 2), 8) AS p, CAST(sign(l_tax) AS INT) AS g, l_orderkey % 7 AS m FROM lineitem", "lineitem"),
     "functions_time": ("SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(quarter FROM o_orderdate) AS INT) AS q FROM orders", "orders"),
 }
 

@@ -59,6 +59,7 @@ def test_spans_are_the_body(body):
 def test_elements_reach_their_delimiter():
     assert [b'[1 ,{"a":"]"}, "x"]'[a:b] for a, b in json_elements(b'[1 ,{"a":"]"}, "x"]')] == [b"1 ", b'{"a":"]"}', b'"x"']
     assert json_elements(b"[1") is None and json_elements(b"{}") is None and json_elements(b"[]") == []
+    assert json_elements(b"[1,\x0b2]") == [(1, 2), (3, 5)] and json_elements(b"[1,\x0c2]") == [(1, 2), (4, 5)]
 
 
 def test_lens_names():
@@ -104,8 +105,9 @@ def test_float_bits(spark):
 def test_dialect(spark):
     from pyspark.sql import functions as F
 
-    r = spark.range(1).select(dialect.gcd(F.lit(12), F.lit(-18)).alias("g"), dialect.lcm(F.lit(4), F.lit(6)).alias("l"), dialect.trunc_number(F.lit(-1.29), 1).alias("t"), dialect.to_hex(F.lit(255)).alias("h"), dialect.regexp_match(F.lit("a1b2"), "([a-z])([0-9])").alias("m"), dialect.date_bin(900_000_000, F.lit("2024-01-01 10:17:00").cast("timestamp")).cast("string").alias("d")).first()
+    r = spark.range(1).select(dialect.gcd(F.lit(12), F.lit(-18)).alias("g"), dialect.lcm(F.lit(4), F.lit(6)).alias("l"), dialect.lcm(F.lit((1 << 53) + 1), F.lit(2)).alias("large"), dialect.lcm(F.lit(0), F.lit(0)).alias("zero"), dialect.trunc_number(F.lit(-1.29), 1).alias("t"), dialect.to_hex(F.lit(255)).alias("h"), dialect.regexp_match(F.lit("a1b2"), "([a-z])([0-9])").alias("m"), dialect.date_bin(900_000_000, F.lit("2024-01-01 10:17:00").cast("timestamp")).cast("string").alias("d")).first()
     assert (r["g"], r["l"], r["t"], r["h"], r["m"], r["d"]) == (6, 12, -1.2, "ff", ["a", "1"], "2024-01-01 10:15:00")
+    assert (r["large"], r["zero"]) == ((1 << 54) + 2, 0)
     dialect.register(spark)
     assert spark.sql("SELECT to_hex(255) AS h, starts_with('ab', 'a') AS s").first()["h"] == "ff"
 

@@ -61,9 +61,9 @@ def test_pushdown_changes_nothing(spark, pushed):
 def test_verify_hash_finds_a_changed_piece(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    from recordloom.llm import textkit
+    from recordloom import scratch
 
-    written = textkit.written
+    written = scratch.written
     tampered = lambda df, what: written(df.withColumn("bytes", F.when(F.xxhash64("bytes") % 5 == 0, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("bytes"))), what)
-    monkeypatch.setattr(textkit, "written", tampered)
+    monkeypatch.setattr(scratch, "written", tampered)
     assert QUERIES["verify_hash"](spark, SF).first()["mismatches"] > 0
