@@ -7,8 +7,10 @@ in common at either end. The share of the template's words aligned is its covera
 
 Only texts that could reach the coverage are aligned: the template's words that the
 text has, counted with multiplicity, bound what any alignment can match. Within a
-text, alignment is tried from every place where the template may begin, so a text
-may hold a notice several times. Words are lower-cased (ASCII) without marks at
+text, alignment is tried from every place where the template may begin, in windows
+of the template's length first and then of wider ones, up to ``stretch`` times that
+length (None: up to the whole text), so a text may hold a notice several times, and
+one with other words in between. Words are lower-cased (ASCII) without marks at
 their ends.
 """
 
@@ -28,8 +30,9 @@ from . import textkit as T
 from .toxicity import _TRIM
 
 COVERAGE = 0.8
-#: A match spans at most so many times the template's words.
-STRETCH = 1.5
+#: A match spans at most so many times the template's words: what is strewn over
+#: more text than that isn't called a notice.
+STRETCH = 3.0
 
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -151,11 +154,34 @@ def _compiled(items: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[tupl
     return vocabulary, out
 
 
-def _matches(words: list[int], template: list[int], need: int) -> list[tuple[int, int, int]]:
+def _spans(template: int, text: int, stretch: float | None) -> list[int]:
+    """Widths of the windows that are aligned, ascending."""
+    widest = text if stretch is None else min(text, int(max(1.0, stretch) * template))
+    out = [min(template, widest)]
+    while out[-1] < widest:
+        out.append(min(widest, int(out[-1] * 1.5) + 1))
+    return out
+
+
+def _matches(words: list[int], template: list[int], need: int, stretch: float | None = STRETCH) -> list[tuple[int, int, int]]:
     """(first word, end, words matched) of the template's matches, not overlapping.
     ``words`` are codes, -1 for words no template has."""
-    span = max(len(template), int(STRETCH * len(template)))
     own = Counter(template)
+    if sum(min(n, own[w]) for w, n in Counter(words).items() if w in own) < need:
+        return []
+    left, found = list(words), []
+    spans = _spans(len(template), len(words), stretch)
+    for k, span in enumerate(spans):
+        new = _within(left, template, own, need, span, spans[k + 1 :])
+        for first, end, _ in new:
+            left[first:end] = [-1] * (end - first)
+        found += new
+    return sorted(found)
+
+
+def _within(words: list[int], template: list[int], own: Counter, need: int, span: int, wider: list[int]) -> list[tuple[int, int, int]]:
+    """Matches in windows of ``span`` words; a ``wider`` window from where one begins
+    takes its place if more of the template is in it."""
     found: list[tuple[int, int, int]] = []
     last = 0
     have = dict.fromkeys(own, 0)  # of words[low:high]; bound is what of it the template has
@@ -177,15 +203,19 @@ def _matches(words: list[int], template: list[int], need: int) -> list[tuple[int
         pairs = align(words[p : p + span], template)
         # the window may begin before the notice does, or end after it
         if len(pairs) >= need:
-            first, end = p + pairs[0][0], p + pairs[-1][0] + 1
+            first = p + pairs[0][0]
+            pairs = [(p + i - first, j) for i, j in pairs]
+            for w in wider if len(pairs) < len(template) else []:
+                pairs = max(pairs, align(words[first : first + w], template), key=len)
+            first, end = first + pairs[0][0], first + pairs[-1][0] + 1
             found.append((first, end, len(pairs)))
             last = end
     return found
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, stretch: float | None = STRETCH) -> DataFrame:
     """One row per notice found: doc_id, license, coverage, n_matched, start_word and
-    end_word (of the text's words, end exclusive). Null and empty texts have none;
+    end_word (of the text's words, end exclusive; a span may enclose foreign words). Null and empty texts have none;
     rows are independent, so any doc_id, repeated or null, passes through."""
     T.bounded_batches(docs.sparkSession)
     items = tuple((templates or TEMPLATES).items())
@@ -210,7 +240,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 part = np.concatenate([np.arange(first[w], first[w + 1]) for w in np.flatnonzero(has).tolist()])
                 bound = np.bincount(row[part], np.minimum(count[part], has[word[part]]), t.num_rows)
                 for i in np.flatnonzero(bound >= need).tolist():
-                    for a, b, n in _matches(code[woff[i] : woff[i + 1]].tolist(), template, need):
+                    for a, b, n in _matches(code[woff[i] : woff[i + 1]].tolist(), template, need, stretch):
                         rows.append((ids[i], name, n / len(template), n, a, b))
             cols = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]

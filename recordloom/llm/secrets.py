@@ -179,7 +179,8 @@ MORE_RULES = (
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"Bearer [A-Za-z0-9+/_.=-]{20,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    # starts where a run of scheme characters does, so that a long run is read once
+    Rule("url_login", r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^\s/:@]++:[^\s/:@]{3,}+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 

@@ -14,8 +14,8 @@ and each pass reads the documents where they lie.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -146,13 +146,14 @@ def _kept(texts: list[bytes], woff: np.ndarray, gone: np.ndarray) -> Iterator[tu
     for raw, a, b in zip(texts, woff.tolist(), woff[1:].tolist()):
         n = int(gone[a:b].sum())
         words = raw.split()
-        yield n, b" ".join(compress(words, (~gone[a:b]).tolist()) if n else words)
+        yield n, b" ".join(itertools.compress(words, (~gone[a:b]).tolist()) if n else words)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with every word removed that lies in a window of ``width`` words
     also starting in a document with a smaller doc_id; kept words are joined by
-    one space. Adds n_words and n_removed.
+    one space. Adds n_words and n_removed, each with underscores before it until no
+    column of ``docs`` has that name.
 
     ``docs`` must give the same rows in the same order each time it is read: a
     table, not a shuffle (else write it first; a change is noticed and raised).
@@ -161,10 +162,12 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     word come back unchanged, byte for byte. Other columns pass through."""
     T.bounded_batches(docs.sparkSession)
     shape, first, second = _passes(docs.select("doc_id", "text"), width)
-    fields = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed")]
-    docs = docs.select(*[f"`{f.name}`" for f in fields])
     from pyspark.sql.types import LongType, StructField, StructType
 
+    fields = docs.schema.fields
+    taken = {f.name.lower() for f in fields}
+    n_words, n_removed = (next(n for n in itertools.accumulate(itertools.repeat("_"), lambda a, u: u + a, initial=name) if n not in taken) for name in ("n_words", "n_removed"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t in S.exchange_blocks(batches):
             w, gone = _removed(t, key, first, second, shape, width)
@@ -173,10 +176,10 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             old = col.to_pylist()
             text = [x if not n else k.decode() for x, (n, k) in zip(old, kept)]
             t = t.set_column(t.column_names.index("text"), "text", pa.array(text, pa.string()))
-            t = t.append_column("n_words", pa.array(np.diff(w.woff), pa.int64())).append_column("n_removed", pa.array([n for n, _ in kept], pa.int64()))
+            t = t.append_column(n_words, pa.array(np.diff(w.woff), pa.int64())).append_column(n_removed, pa.array([n for n, _ in kept], pa.int64()))
             yield from t.to_batches()
 
-    return docs.mapInArrow(run, StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType())]))
+    return docs.mapInArrow(run, StructType([*fields, StructField(n_words, LongType()), StructField(n_removed, LongType())]))
 
 
 def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:

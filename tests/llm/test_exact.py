@@ -75,6 +75,8 @@ def test_substring_dedup(docs, nothing):
     want = removed(ROWS)
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == {i: (n, g, sha(k)) for i, (n, g, k) in want.items()}
     whole = table(substring_dedup.dedup(docs))
+    # columns of the table keep their values, whatever the operator calls its own
+    assert all(whole[i]["n_words"] == k and whole[i]["block"] == "n" and (whole[i]["_n_words"], whole[i]["n_removed"]) == want[i][:2] for k, (i, _) in enumerate(ROWS))
     assert all(whole[i]["text"] == (t if not want[i][1] else want[i][2]) and whole[i]["kept"] == "x" for i, t in ROWS)
     assert substring_dedup.digest(nothing).count() == 0 and substring_dedup.dedup(nothing).count() == 0
 
@@ -337,6 +339,27 @@ def test_licenses(docs, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_notices_with_words_in_between(spark):
+    """As long as a match isn't strewn over more than ``stretch`` times the template;
+    without a stretch the whole text is aligned."""
+    aside = "Licensed under the (see the file that lies beside this one in the tree) Apache License, Version 2.0."
+    strewn = "Licensed " + "x " * 90 + "under the " + "y " * 90 + "Apache License, Version 2.0."
+    docs = spark.createDataFrame([(1, aside), (2, strewn), (3, f"{aside} Licensed under the Apache License, Version 2.0. {aside}"), (1, aside), (None, aside)], "doc_id long, text string")
+    one = {"Apache-2.0": licenses.TEMPLATES["Apache-2.0"]}
+    found = lambda **k: sorted((r["doc_id"] or 0, r["start_word"], r["end_word"], r["coverage"]) for r in licenses.scan(docs, one, **k).collect())
+    assert found() == [(0, 0, 18, 1.0), (1, 0, 18, 1.0), (1, 0, 18, 1.0), (3, 0, 18, 1.0), (3, 18, 25, 1.0), (3, 25, 43, 1.0)]
+    assert [x for x in found(stretch=None) if x[0] == 2] == [(2, 91, 187, 6 / 7)]
+    assert {x[0] for x in found(stretch=1.5)} == {3}
+
+
+def test_logins_of_any_length(spark):
+    url = "see ftp+x://" + "u" * 300 + ":" + "p" * 500 + "@host and " + "a" * 100_000 + " 1http://me:pw1@h"
+    docs = spark.createDataFrame([(1, url), (1, None), (None, "x://a:b@c")], "doc_id long, text string")
+    got = secrets.scan(docs).collect()
+    assert sorted(r["spans"] for r in got)[-1] == f"url_login:4:{url.index('@host') + 1},url_login:{url.index('1http')}:{url.index('@h', -5) + 1}"
+    assert "p" * 500 not in secrets.redact(docs).where("text is not null").first()["text"]
+
+
 def test_whole_licenses(spark):
     texts = licenses.TEMPLATES
     header = texts["GPL-3.0-header"]
