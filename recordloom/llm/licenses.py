@@ -186,8 +186,9 @@ def _within(words: list[int], template: list[int], own: Counter, need: int, span
     last = 0
     have = dict.fromkeys(own, 0)  # of words[low:high]; bound is what of it the template has
     low = high = bound = 0
+    skip = 0  # a window a few words on holds at most as many more of the template's
     for p in [i for i, w in enumerate(words) if w in own]:
-        if p < last:
+        if p < last or p < skip and words[p] != template[0]:
             continue
         for w in words[high : p + span]:
             if w in own:
@@ -210,6 +211,8 @@ def _within(words: list[int], template: list[int], own: Counter, need: int, span
             first, end = first + pairs[0][0], first + pairs[-1][0] + 1
             found.append((first, end, len(pairs)))
             last = end
+        elif span > len(template):
+            skip = p + need - len(pairs)
     return found
 
 
