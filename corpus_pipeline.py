@@ -68,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = textkit.table(spark, sf_dir, "documents")
+    docs, before = textkit.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = textkit.written(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        at = textkit.fresh_dir(spark, name.replace(" ", "-").lower())
+        with textkit.scope(spark):  # what a stage leaves behind, and its input, go once it is written
+            docs = textkit.written(stage(spark, docs, sf_dir), name, at)
+        textkit.remove(spark, *before)
+        before = [at]
     return docs

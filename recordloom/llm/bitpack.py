@@ -109,7 +109,7 @@ def _encoded(file: str, end_id: int, bounds: np.ndarray, bits: int):
 
 def _write(root: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = T._filesystem(root)
+        system, base = T.filesystem(root)
         system.create_dir(base, recursive=True)
         part, docs, sizes, packed = None, [], [], []
 
@@ -163,7 +163,7 @@ def write(docs: DataFrame, root: str, file: str, end_id: int = END_ID) -> DataFr
 
 def _digests(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = T._filesystem(root)
+        system, base = T.filesystem(root)
         for batch in batches:
             for part, start in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist()):
                 with system.open_input_file(f"{base}/part-{part:09d}.ids") as source:

@@ -13,8 +13,9 @@ counts are summed per pair. What makes that scale:
 3. Shards of the hash range count among representatives how many have each
    shingle, which gives the global order and a second, exact, cut as in 1.
 4. Two linked documents share a shingle among their rarest few (prefix). Those
-   connect representatives to neighbourhoods; a neighbourhood is cut into tiles
-   of at most ``TILE`` documents a side, each a task of its own.
+   connect representatives to neighbourhoods; a neighbourhood, or each of its prefix
+   shingles if that copies fewer sets, is cut into tiles of at most ``TILE``
+   documents a side, each a task of its own.
 5. A tile takes the fragments of the order one after another. A pair is opened
    only by a prefix shingle both have; each fragment adds its partial overlap.
 
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import sketch as S
 from . import textkit as T
 from .components import components
@@ -79,108 +81,94 @@ def _need(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _measured(shape: S.Shape, root: str, size: int, percent: int):
+def _measured(shape: S.Shape, place: tuple[str, int], size: int, percent: int):
     """Per document: set size, and, if it may have a partner, a class key and the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in S.exchange_blocks(batches):
-            h, off = _sets(t, size)
-            n = np.diff(off)
-            maybe = S.repeated(shape, root, key, h) if len(h) else np.zeros(0, bool)
-            total = np.concatenate([[0], np.cumsum(maybe)])
-            shared = total[off[1:]] - total[off[:-1]]
-            alive = (n > 0) & (shared >= _need(n, percent))
-            k1, k2, sets = [], [], []
-            for i in np.flatnonzero(alive).tolist():
-                own = h[off[i] : off[i + 1]]
-                a, b = T.mix(own), T.mix(own ^ U64(0xA5A5A5A55A5A5A5A))
-                k1.append(int(a.sum(dtype=np.uint64).view(np.int64)))
-                k2.append(int(b.sum(dtype=np.uint64).view(np.int64)))
-                sets.append(own.tobytes())
-            spread = lambda v: [next(it) if ok else None for it in [iter(v)] for ok in alive.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [t.column("doc_id").cast(pa.int64()).combine_chunks(), t.column("text_key").combine_chunks(), pa.array(n, pa.int64()), pa.array(spread(k1), pa.int64()), pa.array(spread(k2), pa.int64()), pa.array(spread(sets), pa.binary())],
-                ["doc_id", "text_key", "n", "k1", "k2", "hashes"],
-            )
+        for unit, blocks in X.units(batches):
+            sets = [_sets(t, size) for t in blocks]
+            flags = S.repeated(shape, place, unit, np.concatenate([h for h, _ in sets]))
+            done = 0
+            for t, (h, off) in zip(blocks, sets):
+                maybe = flags[done : done + len(h)]
+                done += len(h)
+                yield _documents(t, h, off, maybe, percent)
 
     return run
 
 
-def _to_shards(cut: int):
-    """Representatives' sets cut by hash range, many documents in one row."""
+def _documents(t: pa.Table, h: np.ndarray, off: np.ndarray, maybe: np.ndarray, percent: int) -> pa.RecordBatch:
+    n = np.diff(off)
+    total = np.concatenate([[0], np.cumsum(maybe)])
+    shared = total[off[1:]] - total[off[:-1]]
+    alive = (n > 0) & (shared >= _need(n, percent))
+    k1, k2, sets = [], [], []
+    for i in np.flatnonzero(alive).tolist():
+        own = h[off[i] : off[i + 1]]
+        a, b = T.mix(own), T.mix(own ^ U64(0xA5A5A5A55A5A5A5A))
+        k1.append(int(a.sum(dtype=np.uint64).view(np.int64)))
+        k2.append(int(b.sum(dtype=np.uint64).view(np.int64)))
+        sets.append(own.tobytes())
+    spread = lambda v: [next(it) if ok else None for it in [iter(v)] for ok in alive.tolist()]
+    return pa.RecordBatch.from_arrays(
+        [t.column("doc_id").cast(pa.int64()).combine_chunks(), t.column("text_key").combine_chunks(), pa.array(n, pa.int64()), pa.array(spread(k1), pa.int64()), pa.array(spread(k2), pa.int64()), pa.array(spread(sets), pa.binary())],
+        ["doc_id", "text_key", "n", "k1", "k2", "hashes"],
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column("rep").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
-            h = np.concatenate(sets)
-            at = np.repeat(np.arange(len(docs)), [len(x) for x in sets])
-            shard = (h >> U64(64 - cut)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            h, at, shard = h[order], at[order], shard[order]
-            edges = np.searchsorted(shard, np.arange((1 << cut) + 1))
-            rows = [(s, docs.tobytes(), at[edges[s] : edges[s + 1]].astype(np.int32).tobytes(), h[edges[s] : edges[s + 1]].tobytes()) for s in np.flatnonzero(np.diff(edges)).tolist()]
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])], ["shard", "docs", "at", "hashes"])
 
-    return run
+UNIT = "unit string, reps array<long>, ns array<long>, copies array<long>, hashes binary"
 
 
-def _counted(t: pa.Table) -> pa.Table:
-    """One shard: how many representatives have each of its shingles; per document
-    the number only it has, and the others with their counts."""
-    docs, ats, hs, base = [], [], [], 0
-    for d, a, h in zip(t.column("docs").to_pylist(), t.column("at").to_pylist(), t.column("hashes").to_pylist()):
-        docs.append(np.frombuffer(d, np.int64))
-        ats.append(np.frombuffer(a, np.int32).astype(np.int64) + base)
-        hs.append(np.frombuffer(h, np.uint64))
-        base += len(docs[-1])
-    doc, at, h = np.concatenate(docs), np.concatenate(ats), np.concatenate(hs)
-    order = np.argsort(h, kind="stable")
-    sh = h[order]
-    new = np.ones(len(sh), bool)
-    new[1:] = sh[1:] != sh[:-1]
-    start = np.flatnonzero(new)
-    count = np.empty(len(sh), np.int64)
-    count[order] = np.diff(np.append(start, len(sh)))[np.cumsum(new) - 1]
-    alone = np.bincount(at[count == 1], minlength=len(doc))
-    many = count > 1
-    at, h, count = at[many], h[many], count[many]
-    order = np.argsort(at, kind="stable")
-    at, h, count = at[order], h[order], count[order]
-    edge = np.searchsorted(at, np.arange(len(doc) + 1))
-    live = np.flatnonzero((alone > 0) | (np.diff(edge) > 0))
-    return pa.table(
-        {
-            "rep": pa.array(doc[live], pa.int64()),
-            "alone": pa.array(alone[live], pa.int64()),
-            "hashes": pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in live.tolist()], pa.binary()),
-            "counts": pa.array([count[edge[i] : edge[i + 1]].astype(np.int32).tobytes() for i in live.tolist()], pa.binary()),
-        }
-    )
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Representatives' sets in rows of some megabytes: units of the exchange."""
+    held, size = [], 0
+
+    def close() -> pa.RecordBatch:
+        reps, ns, copies, sets = zip(*held)
+        lists = [pa.array([list(c)], pa.list_(pa.int64())) for c in (reps, ns, copies)]
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, pa.array([b"".join(sets)], pa.binary())], ["unit", "reps", "ns", "copies", "hashes"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "copies", "hashes"))):
+            held.append(row)
+            size += len(row[3])
+            if size > X.BATCH_BYTES:
+                yield close()
+                held, size = [], 0
+    if held:
+        yield close()
 
 
-def _ordered(percent: int):
+def _shingles(hashes: bytes) -> X.Entries:
+    return np.unique(np.frombuffer(hashes, np.uint64), return_counts=True)
+
+
+def _ordered(percent: int, shift: int):
     """Per representative that may still have a partner: its shared shingles in the
     global order (count, then hash), and how many of them are its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for rep, n, copies, alone, parts in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "copies", "alone", "parts"))):
-                spare = n - _need(n, percent)
-                if alone > spare:
-                    continue
-                h = np.concatenate([np.frombuffer(p["hashes"], np.uint64) for p in parts])
-                c = np.concatenate([np.frombuffer(p["counts"], np.int32) for p in parts])
-                order = np.lexsort((h, c))
-                prefix = min(len(h), spare + 1 - alone)
-                rows.append((rep, n, copies, h[order].tobytes(), c[order].tobytes(), [int(x) for x in h[order][:prefix].view(np.int64)]))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["rep", "n", "copies", "hashes", "counts", "prefix"])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                every = np.frombuffer(row["hashes"], np.uint64)
+                e = _shingles(row["hashes"])
+                count = X.collected(X.Count(), e, shift, row["answers"])[np.searchsorted(e[0], every)]
+                rows, at = [], 0
+                for rep, n, copies in zip(row["reps"], row["ns"], row["copies"]):
+                    h, c = every[at : at + n], count[at : at + n]
+                    at += n
+                    many = c > 1
+                    h, c = h[many], c[many]
+                    alone, spare = n - len(h), n - _need(n, percent)
+                    if alone > spare:
+                        continue
+                    order = np.lexsort((h, c))
+                    prefix = min(len(h), spare + 1 - alone)
+                    rows.append((rep, n, copies, h[order].tobytes(), c[order].astype(np.int32).tobytes(), [int(x) for x in h[order][:prefix].view(np.int64)]))
+                cols = list(zip(*rows)) if rows else [[]] * 6
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["rep", "n", "copies", "hashes", "counts", "prefix"])
 
     return run
 
@@ -190,10 +178,11 @@ TILED = "rep long, degree long, other long"
 
 def _tile(percent: int):
     """One tile: partial overlaps by fragment, summed; links, as degrees (copies
-    counted) and the edges of a spanning forest."""
+    counted) and the edges of a spanning forest. A pair of an area's tile is opened by
+    any prefix shingle both have; one of a shingle's tile if that is their first."""
 
     def run(key, t):
-        i, j = key[1].as_py(), key[2].as_py()
+        own, i, j = (key[k].as_py() for k in (1, 2, 3))
         rep, n, copies, side = (t.column(c).to_numpy() for c in ("rep", "n", "copies", "chunk"))
         order = np.lexsort((rep, side))
         rep, n, copies, side = rep[order], n[order], copies[order], side[order]
@@ -213,7 +202,13 @@ def _tile(percent: int):
         token = np.cumsum(new) - 1
         tokens = int(token[-1]) + 1 if len(token) else 0
         two = i != j
-        opened = _pairs(token[early], doc[early], side, two, m)
+        if own is None:
+            opened = _pairs(token[early], doc[early], side, two, m)
+        else:
+            mine = int(token[np.flatnonzero(h == np.int64(own).view(np.uint64))[0]])
+            before = early & (token < mine)
+            every = _pairs(np.zeros(m, np.int64), np.arange(m), side, two, m)
+            opened = np.setdiff1d(every, _pairs(token[before], doc[before], side, two, m), assume_unique=True)
         if not len(opened):
             return pa.table({"rep": pa.array([], pa.int64()), "degree": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
         a, b = opened // m, opened % m
@@ -316,36 +311,35 @@ def rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     set size, no links and no component."""
     spark = docs.sparkSession
     T.bounded_batches(spark)
+    X.pin_splits(docs)
     known = docs.select("doc_id", "text", text_key().alias("text_key"))
-    shape = S.Shape.of(S.total_bytes(known) // 6, 1, per_hash=16)
-    root = S.answer(known.mapInArrow(S.send(shape, lambda t: _sets(t, size)[0]), S.ROWS), S.merge, "shingles-estimated")
-    at = T.written(known.mapInArrow(_measured(shape, root, size, percent), "doc_id long, text_key long, n long, k1 long, k2 long, hashes binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    out = T.fresh_dir(spark, "linked-documents")
+    with T.scope(spark):
+        return T.written(_rows(known, size, percent), "linked-documents", out)
+
+
+def _rows(known: DataFrame, size: int, percent: int) -> DataFrame:
+    spark = known.sparkSession
+    whole = S.total_bytes(known)
+    shape = S.Shape.of(whole // 6, 1, per_hash=16)
+    place = S.estimate(known, shape, lambda t: _sets(t, size)[0], whole, "shingles-estimated")
+    at = T.written(known.mapInArrow(_measured(shape, place, size, percent), "doc_id long, text_key long, n long, k1 long, k2 long, hashes binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
     live = at.where("k1 is not null and doc_id is not null")
     classes = T.written(live.groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "shingle-classes")
-    reps = live.select(F.col("row").alias("rep"), "hashes").join(classes.select("rep"), "rep", "left_semi")
     tokens = classes.agg(F.sum("n")).first()[0] or 0
+    reps = live.select(F.col("row").alias("rep"), "hashes").join(classes.select("rep", "n", "copies"), "rep")
+    units = T.written_wide(reps.mapInArrow(_united, UNIT), T.fresh_dir(spark, "shingle-units"))
     cut = max(2, int(np.ceil(np.log2(max(1, tokens / SHARD)))))
-    counted = (
-        reps.mapInArrow(_to_shards(cut), "shard long, docs binary, at binary, hashes binary")
-        .groupBy("shard")
-        .applyInArrow(_counted, "rep long, alone long, hashes binary, counts binary")
-        .groupBy("rep")
-        .agg(F.sum("alone").alias("alone"), F.collect_list(F.struct("hashes", "counts")).alias("parts"))
-        .join(classes.select("rep", "n", "copies"), "rep")
-    )
-    ordered = T.written(counted.mapInArrow(_ordered(percent), "rep long, n long, copies long, hashes binary, counts binary, prefix array<long>"), "shingle-orders")
-    heads = ordered.select("rep", F.explode("prefix").alias("token"))
-    star = heads.join(heads.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("k")).where("k > 1"), "token")
-    near = components(star.select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b"))
-    area = near.join(near.groupBy("component").count(), "component").where("count > 1").select(F.col("node").alias("rep"), F.col("component").alias("area"), F.ceil(F.col("count") / TILE).cast("long").alias("chunks"))
-    placed = ordered.join(area, "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks")).withColumn("prefix_n", F.size("prefix").cast("long"))
-    tiles = (
-        placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("with_chunk"))
-        .withColumn("i", F.least("chunk", "with_chunk"))
-        .withColumn("j", F.greatest("chunk", "with_chunk"))
-        .select("area", "i", "j", "rep", "n", "copies", "chunk", "hashes", "counts", "prefix_n")
-    )
-    tiled = T.written(tiles.groupBy("area", "i", "j").applyInArrow(_tile(percent), TILED), "shingle-links")
+    first = min(cut, X.FAN)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((u, _shingles(h)) for b in batches for u, h in zip(b.column("unit").to_pylist(), b.column("hashes").to_pylist()))
+        yield from X.messages(X.Count(), found, 64 - first)
+
+    answers = X.by_unit(X.resolve(units.select("unit", "hashes").mapInArrow(send, X.SENT), X.Count(), 64, first, cut, X.FAN))
+    ordered = units.join(answers, "unit").mapInArrow(_ordered(percent, 64 - first), "rep long, n long, copies long, hashes binary, counts binary, prefix array<long>")
+    ordered = T.written(ordered, "shingle-orders")
+    tiled = T.written(_tiles(ordered).groupBy("area", "token", "i", "j").applyInArrow(_tile(percent), TILED), "shingle-links")
     joined = components(tiled.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     degree = tiled.groupBy("rep").agg(F.sum("degree").alias("degree"))
     joined = joined.withColumnRenamed("node", "rep")
@@ -366,6 +360,37 @@ def rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     )
 
 
+def _tiles(ordered: DataFrame) -> DataFrame:
+    """Representatives placed on tiles (area, token, i, j), each at most TILE a side.
+
+    Prefix shingles connect representatives to areas. An area of m goes on tiles as a
+    whole (token null), each set copied to every chunk of its area, or its shingles
+    each get tiles of their own, each set copied to those of its prefix: whichever
+    copies less. So a large group of near-copies, all of whose pairs must be compared,
+    costs its square over TILE, and a long chain of documents that share a shingle or
+    two with their neighbours costs its length."""
+    chunks = lambda k: F.ceil(F.col(k) / TILE).cast("long")
+    heads = ordered.select("rep", F.explode("prefix").alias("token"))
+    tokens = T.written(heads.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("k")).where("k > 1"), "prefix-shingles")
+    star = heads.join(tokens, "token")
+    near = T.written(components(star.select(F.col("rep").alias("a"), F.col("least").alias("b"))), "neighbourhoods")
+    costs = tokens.join(near.withColumnRenamed("node", "least"), "least").groupBy("component").agg(F.sum(F.col("k") * chunks("k")).alias("by_token"))
+    sizes = near.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
+    areas = sizes.join(costs, "component").select(F.col("component").alias("area"), "m", (F.col("by_token") < F.col("m") * chunks("m")).alias("split"))
+    placed = near.select(F.col("node").alias("rep"), F.col("component").alias("area")).join(areas, "area")
+    whole = placed.where("not split").select("rep", "area", F.lit(None).cast("long").alias("token"), chunks("m").alias("chunks"))
+    single = star.join(placed.where("split").select("rep", "area"), "rep").select("rep", "area", "token", chunks("k").alias("chunks"))
+    return (
+        whole.unionByName(single)
+        .withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
+        .withColumn("with_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .withColumn("i", F.least("chunk", "with_chunk"))
+        .withColumn("j", F.greatest("chunk", "with_chunk"))
+        .join(ordered.withColumn("prefix_n", F.size("prefix").cast("long")).drop("prefix"), "rep")
+        .select("area", "token", "i", "j", "rep", "n", "copies", "chunk", "hashes", "counts", "prefix_n")
+    )
+
+
 def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, n_similar and component_id of ``rows``."""
     return rows(docs, size, percent).select("doc_id", "n_shingles", "n_similar", "component_id")

@@ -1,16 +1,16 @@
 """Which hashes of a corpus occur more than once: a count-min sketch in shards.
 
 A dense sketch wide enough for a large corpus fits no task and no broadcast, so
-each block of documents sends its own sketch sparsely: per row of the sketch the
-ascending cells it touched (about 1.2 bytes each, see ``pack_sorted``) and one bit
-for cells it touched at least twice. Cells are ranges, ranges are shards; a shard
-adds up the blocks and answers each with one bit per cell it sent: estimated
-count of two or more, or not. A cell that two equal hashes share always counts
-two, so nothing repeated is ever missed; unlike hashes in one cell only cause
+each unit of documents sends its own sketch sparsely: the ascending cells it touched
+(two bits and the logarithm of their mean distance each, see ``pack_sorted``) and one
+bit for cells it touched at least twice. Cells are ranges, ranges are shards; a shard
+adds up the units and answers each with one bit per cell it sent: estimated count of
+two or more, or not (see ``exchange``). A cell that two equal hashes share always
+counts two, so nothing repeated is ever missed; unlike hashes in one cell only cause
 extra candidates.
 
 The width follows the number of hashes in the corpus, so that the share of false
-candidates is the same at every size. A hot hash is one cell per block.
+candidates is the same at every size. A hot hash is one cell per unit.
 """
 
 from __future__ import annotations
@@ -20,47 +20,83 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import textkit as T
+from .exchange import MAX_ID, ids_of  # noqa: F401
 from .textkit import U64
 
 _ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)]
 
-ROWS = "block string, shard long, n long, cells binary, twice binary"
-REPLY = "block string, shard long, bits binary"
-
-#: Bytes of text a block holds in the operators that exchange blocks.
-EXCHANGE_BYTES = 4 << 20
 #: Entries a shard gets, on average.
 SHARD_ENTRIES = 3_000_000
 
-MAX_ID = (1 << 63) - 1
-
 
 @dataclass(frozen=True)
 class Shape:
-    """``depth`` rows of 2^``bits`` cells, each row cut into 2^``cut`` shards."""
+    """``depth`` rows of 2^``bits`` cells. A key is a row's number and a cell; all
+    rows together are cut into 2^``cut`` shards."""
 
     bits: int
     depth: int
     cut: int
+    fan: int
 
     @staticmethod
     def of(total: int, depth: int, per_hash: int = 4) -> Shape:
         total = max(total, 1 << 12)
         bits = int(np.ceil(np.log2(total * per_hash)))
-        return Shape(bits, depth, max(2, int(np.ceil(np.log2(max(1, total / SHARD_ENTRIES))))))
+        return Shape(bits, depth, max(3, int(np.ceil(np.log2(depth * total / SHARD_ENTRIES)))), X.FAN)
+
+    @property
+    def width(self) -> int:
+        return self.bits + (self.depth - 1).bit_length()
+
+    @property
+    def first(self) -> int:
+        """Bits by which units cut their messages."""
+        return min(self.cut, self.fan)
 
     def cells(self, h: np.ndarray, row: int) -> np.ndarray:
-        return (h * _ODD[row]) >> U64(64 - self.bits)
+        return ((h * _ODD[row]) >> U64(64 - self.bits)) + (U64(row) << U64(self.bits))
+
+    def entries(self, h: np.ndarray) -> X.Entries:
+        found = [distinct(np.sort(self.cells(h, r))) for r in range(self.depth)]
+        return np.concatenate([c for c, _ in found]), np.concatenate([many for _, many in found])
+
+
+class Sketch(X.Flags):
+    """Entries (cell, whether it was touched twice); the answer is whether it was by
+    all units together."""
+
+    def encode(self, e: X.Entries) -> bytes:
+        return T.joined(T.pack_sorted(e[0]), np.packbits(e[1]).tobytes())
 
+    def decode(self, body: bytes, n: int) -> X.Entries:
+        cells, twice = T.parted(body)
+        return T.unpack_sorted(cells), np.unpackbits(np.frombuffer(twice, np.uint8))[:n].astype(bool)
 
-def ids_of(table: pa.Table) -> np.ndarray:
-    """doc_id as int64; null counts as the greatest id."""
-    return pc.fill_null(table.column("doc_id").cast(pa.int64()), MAX_ID).to_numpy().astype(np.int64)
+    def merge(self, parts: list[X.Entries]) -> X.Entries:
+        every, own = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(every, kind="stable")
+        every, own = every[order], own[order]
+        at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        return every[at], (np.diff(np.append(at, len(every))) > 1) | np.logical_or.reduceat(own, at)
+
+    def final(self, e: X.Entries) -> np.ndarray:
+        return e[1]
+
+    def back(self, merged: X.Entries, answer: np.ndarray, own: X.Entries) -> np.ndarray:
+        return within(merged[0][answer], own[0])
+
+
+def within(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of ``asked`` are among ascending ``values``."""
+    if not len(values):
+        return np.zeros(len(asked), bool)
+    return values[np.minimum(np.searchsorted(values, asked), len(values) - 1)] == asked
 
 
 def total_bytes(docs: DataFrame) -> int:
@@ -77,89 +113,23 @@ def distinct(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_values[at], np.diff(np.append(at, len(sorted_values))) > 1
 
 
-def exchange_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
-    for t in T.blocks(batches, limit=EXCHANGE_BYTES):
-        yield T.block_key(ids_of(t), int(pc.sum(pc.binary_length(t.column("text"))).as_py() or 0)), t
-
-
-def send(shape: Shape, hashes: Callable[[pa.Table], np.ndarray]) -> Callable:
-    """For mapInArrow over (doc_id, text): the blocks' sparse sketches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in exchange_blocks(batches):
-            h = hashes(t)
-            names, shards, ns, cells, twice = [], [], [], [], []
-            for r in range(shape.depth):
-                c, many = distinct(np.sort(shape.cells(h, r)))
-                edges = np.searchsorted(c, np.arange((1 << shape.cut) + 1, dtype=np.uint64) << U64(shape.bits - shape.cut))
-                for s in np.flatnonzero(np.diff(edges)):
-                    a, b = int(edges[s]), int(edges[s + 1])
-                    names.append(key)
-                    shards.append((r << shape.cut) + int(s))
-                    ns.append(b - a)
-                    cells.append(T.pack_sorted(c[a:b]))
-                    twice.append(np.packbits(many[a:b]).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(shards, pa.int64()), pa.array(ns, pa.int64()), pa.array(cells, pa.binary()), pa.array(twice, pa.binary())],
-                ["block", "shard", "n", "cells", "twice"],
-            )
-
-    return run
-
-
-def merge(t: pa.Table) -> pa.Table:
-    """For applyInArrow over one shard: adds the blocks' counts and answers each."""
-    parts = [T.unpack_sorted(x) for x in t.column("cells").to_pylist()]
-    ns = [len(p) for p in parts]
-    own = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(t.column("twice").to_pylist(), ns)]).astype(bool)
-    everything = np.concatenate(parts)
-    cells, many = distinct(np.sort(everything))
-    repeated = np.union1d(cells[many], everything[own])
-    bits = []
-    for p in parts:
-        at = np.minimum(np.searchsorted(repeated, p), max(len(repeated) - 1, 0))
-        bits.append(np.packbits(repeated[at] == p if len(repeated) else np.zeros(len(p), bool)).tobytes())
-    return pa.table({"block": t.column("block"), "shard": t.column("shard"), "bits": pa.array(bits, pa.binary())})
-
-
-def answer(sent: DataFrame, merged: Callable[[pa.Table], pa.Table], what: str) -> str:
-    """Groups what the blocks sent by shard, and writes the answers by block into
-    the shared folder, one small file each; returns the folder."""
-    spark = sent.sparkSession
-    at = T.fresh_dir(spark, what)
-    (sent.groupBy("shard").applyInArrow(merged, REPLY).repartition("block").write.partitionBy("block").parquet(at))
-    return at
-
-
-def replies(root: str, key: str) -> dict[int, np.ndarray]:
-    got = T.read_replies(root, "block", key)
-    if got is None:
-        return {}
-    return dict(zip(got.column("shard").to_pylist(), (np.frombuffer(b, np.uint8) for b in got.column("bits").to_pylist())))
-
-
-def repeated(shape: Shape, root: str, key: str, h: np.ndarray) -> np.ndarray:
-    """Which of ``h``, all the hashes of the block ``key``, may occur twice or more
-    in the corpus: their least estimate over the rows is at least two."""
-    bits = replies(root, key)
-    out = np.ones(len(h), bool)
+def estimate(docs: DataFrame, shape: Shape, hashes: Callable[[pa.Table], np.ndarray], size: int, what: str) -> tuple[str, int]:
+    """Sketches ``docs`` (doc_id, text); returns where ``repeated`` finds the answers."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from X.messages(Sketch(), ((unit, shape.entries(np.concatenate([hashes(t) for t in blocks]))) for unit, blocks in X.units(batches)), shape.width - shape.first)
+
+    return X.file_replies(docs.mapInArrow(send, X.SENT), Sketch(), shape.width, shape.first, shape.cut, shape.fan, size, what)
+
+
+def repeated(shape: Shape, place: tuple[str, int], unit: str, h: np.ndarray) -> np.ndarray:
+    """Which of ``h``, all the hashes of a unit, may occur twice or more in the corpus:
+    their least estimate over the rows is at least two."""
+    e = shape.entries(h)
+    heavy = e[0][X.answers_of(place, unit, Sketch(), e, shape.width - shape.first)]
+    out = np.arange(len(h))
     for r in range(shape.depth):
-        every = shape.cells(h, r)
-        c, _ = distinct(np.sort(every))
-        edges = np.searchsorted(c, np.arange((1 << shape.cut) + 1, dtype=np.uint64) << U64(shape.bits - shape.cut))
-        heavy = np.zeros(len(c), bool)
-        for s in np.flatnonzero(np.diff(edges)):
-            a, b = int(edges[s]), int(edges[s + 1])
-            got = bits.get((r << shape.cut) + int(s))
-            if got is None or len(got) != (b - a + 7) // 8:
-                raise RuntimeError(f"block {key} has changed between two passes; write the documents to a table first")
-            heavy[a:b] = np.unpackbits(got)[: b - a]
-        hot = c[heavy]
-        left = np.flatnonzero(out)
-        if not len(hot):
-            out[:] = False
-            break
-        own = every[left]
-        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-        out[left] = hot[at] == own
-    return out
+        out = out[within(heavy, shape.cells(h[out], r))]
+    found = np.zeros(len(h), bool)
+    found[out] = True
+    return found

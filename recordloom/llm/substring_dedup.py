@@ -1,14 +1,14 @@
 """Substring dedup: words in windows that an earlier document already has.
 
-Method: count-min prefilter. Every block of documents sketches its windows of
+Method: count-min prefilter. Every unit of documents sketches its windows of
 ``width`` words; the merged sketch (sharded, see ``sketch``) overestimates counts,
 so windows estimated once are certainly unrepeated. A second pass over the text
 groups only the windows estimated repeated, exactly (96 hash bits from two
 independent families), and finds which occur in a document with a smaller id.
 A third pass removes the words those windows cover.
 
-The text itself is never shuffled: blocks and shards exchange packed integers,
-and each pass reads the documents where they lie.
+The text itself is never shuffled: units and shards exchange packed integers, in
+hops of linear traffic (``exchange``), and each pass reads the documents where they lie.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exchange as X
 from . import sketch as S
 from . import textkit as T
 from .textkit import U64
@@ -28,118 +29,130 @@ from .textkit import U64
 WIDTH = 13
 DEPTH = 2
 
-SENT = "block string, shard long, n long, low binary, high binary, docs binary"
-
 
 class _Words:
-    """Words and windows of one block."""
+    """Words and windows of one block. Kept between the passes over a unit's blocks,
+    so spans are 32-bit and what follows from them is computed where it is used."""
 
     def __init__(self, table: pa.Table, width: int):
-        self.buf, self.off = T.buffers(table.column("text"))
-        self.starts, self.ends, self.woff = T.word_spans(self.buf, self.off)
-        words = T.word_hashes(self.buf, self.starts, self.ends)
-        self.width = width
-        self.first, self.row = T.windows_in(self.woff, width)
-        every = T.window_hashes(words, width)
-        self.h = every[self.first] if len(self.first) else np.zeros(0, np.uint64)
-
-    def second(self, which: np.ndarray) -> np.ndarray:
-        """32 bits of an independent hash of the windows at ``which``."""
-        words = T.word_hashes(self.buf, self.starts, self.ends, seed=1)
+        self.table, self.width = table, width
+        self.buf, off = T.buffers(table.column("text"))
+        starts, ends, self.woff = T.word_spans(self.buf, off)
+        every = T.window_hashes(T.word_hashes(self.buf, starts, ends), width)
+        first = T.windows_in(self.woff, width)[0]
+        self.h = every[first] if len(first) else np.zeros(0, np.uint64)
+        kind = np.int32 if len(self.buf) < 1 << 31 else np.int64
+        self.starts, self.ends = starts.astype(kind), ends.astype(kind)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        return T.windows_in(self.woff, self.width)
+
+    def second(self, at: np.ndarray) -> np.ndarray:
+        """32 bits of an independent hash of the windows that begin at the words ``at``."""
+        words = T.word_hashes(self.buf, self.starts.astype(np.int64), self.ends.astype(np.int64), seed=1)
         odd = T._family(1)[2]
-        at = self.first[which]
         acc = np.zeros(len(at), np.uint64)
         for j in range(self.width):
             acc += words[at + j] * odd[j % 64] + (U64(j) if j >= 64 else U64(0))
         return T.mix(acc) >> U64(32)
 
 
-class _Candidates:
-    """The windows of a block that are estimated repeated, grouped exactly."""
-
-    def __init__(self, table: pa.Table, key: str, root: str, shape: S.Shape, width: int):
-        self.words = w = _Words(table, width)
-        self.ids = S.ids_of(table)
-        self.which = np.flatnonzero(S.repeated(shape, root, key, w.h)) if len(w.h) else np.zeros(0, np.int64)
-        h, g, doc = w.h[self.which], w.second(self.which), self.ids[w.row[self.which]]
-        order = np.lexsort((doc, g, h))
-        h, g, doc = h[order], g[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        at = np.flatnonzero(new)
-        self.h, self.g, self.least = h[at], g[at], doc[at]
-        group = np.empty(len(h), np.int64)
-        group[order] = np.cumsum(new) - 1
-        self.group = group
-
-    def edges(self, cut: int) -> np.ndarray:
-        return np.append(np.searchsorted(self.h, np.arange(1 << cut, dtype=np.uint64) << U64(64 - cut)), len(self.h))
-
-
-def _send(shape: S.Shape, root: str, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in S.exchange_blocks(batches):
-            c = _Candidates(t, key, root, shape, width)
-            edges = c.edges(shape.cut)
-            rows = []
-            for s in np.flatnonzero(np.diff(edges)):
-                a, b = int(edges[s]), int(edges[s + 1])
-                least = int(c.least[a:b].min())
-                span = (c.least[a:b] - least).astype(np.uint64)
-                size = (max(1, int(span.max()).bit_length()) + 7) // 8 * 8
-                docs = np.array([least, size], np.int64).tobytes() + T.pack_bits(span, size)
-                rows.append((key, int(s), b - a, T.pack_sorted(c.h[a:b]), T.pack_bits(c.g[a:b], 32), docs))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "shard", "n", "low", "high", "docs"])
-
-    return run
-
-
-def _exact(t: pa.Table) -> pa.Table:
-    """One shard: per window sent, whether another block has it in a smaller id."""
-    ns = t.column("n").to_pylist()
-    h = np.concatenate([T.unpack_sorted(x) for x in t.column("low").to_pylist()])
-    g = np.concatenate([T.unpack_bits(x, 32, n) for x, n in zip(t.column("high").to_pylist(), ns)])
-    docs = []
-    for x, n in zip(t.column("docs").to_pylist(), ns):
-        least, size = (int(v) for v in np.frombuffer(x, np.int64, 2))
-        docs.append(T.unpack_bits(x[16:], size, n).astype(np.int64) + least)
-    doc = np.concatenate(docs)
+class Least(X.Flags):
+    """Entries (hash, second hash, least doc_id); the answer is whether a smaller
+    doc_id has the window too."""
+
+    def encode(self, e: X.Entries) -> bytes:
+        h, g, doc = e
+        least = int(doc.min())
+        span = (doc - least).astype(np.uint64)
+        size = (max(1, int(span.max()).bit_length()) + 7) // 8 * 8
+        docs = np.array([least, size], "<i8").tobytes() + T.pack_bits(span, size)
+        return T.joined(T.pack_sorted(h), T.joined(T.pack_bits(g, 32), docs))
+
+    def decode(self, body: bytes, n: int) -> X.Entries:
+        h, rest = T.parted(body)
+        g, docs = T.parted(rest)
+        least, size = (int(v) for v in np.frombuffer(docs, "<i8", 2))
+        return T.unpack_sorted(h), T.unpack_bits(g, 32, n), T.unpack_bits(docs[16:], size, n).astype(np.int64) + least
+
+    def merge(self, parts: list[X.Entries]) -> X.Entries:
+        return least_of(*(np.concatenate(x) for x in zip(*parts)))[0]
+
+    def final(self, e: X.Entries) -> np.ndarray:
+        return np.zeros(len(e[0]), bool)
+
+    def back(self, merged: X.Entries, answer: np.ndarray, own: X.Entries) -> np.ndarray:
+        at = np.searchsorted(merged[0], own[0])
+        while (wrong := merged[1][at] != own[1]).any():  # two windows of one first hash
+            at[wrong] += 1
+        return (merged[2][at] < own[2]) | answer[at]
+
+
+def least_of(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[X.Entries, np.ndarray]:
+    """Distinct windows with their least doc_id, and which of them each one is."""
     order = np.lexsort((doc, g, h))
-    sh, sg, sd = h[order], g[order], doc[order]
-    new = np.ones(len(sh), bool)
-    new[1:] = (sh[1:] != sh[:-1]) | (sg[1:] != sg[:-1])
-    least = sd[np.flatnonzero(new)][np.cumsum(new) - 1]
-    smaller = np.empty(len(sh), bool)
-    smaller[order] = least < sd
-    cuts = np.cumsum([0, *ns])
-    bits = [np.packbits(smaller[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pa.table({"block": t.column("block"), "shard": t.column("shard"), "bits": pa.array(bits, pa.binary())})
-
-
-def _removed(t: pa.Table, key: str, first: str, second: str, shape: S.Shape, width: int) -> tuple[_Words, np.ndarray]:
-    """Which words of the block are covered by a window that an earlier document has."""
-    c = _Candidates(t, key, first, shape, width)
-    w = c.words
-    elsewhere = np.zeros(len(c.h), bool)
-    edges = c.edges(shape.cut)
-    bits = S.replies(second, key) if len(c.h) else {}
-    for s in np.flatnonzero(np.diff(edges)):
-        a, b = int(edges[s]), int(edges[s + 1])
-        elsewhere[a:b] = np.unpackbits(bits[int(s)])[: b - a]
-    hit = elsewhere[c.group] | (c.least[c.group] < c.ids[w.row[c.which]])
-    at = w.first[c.which[hit]]
-    step = np.bincount(at, minlength=len(w.starts) + 1) - np.bincount(at + width, minlength=len(w.starts) + 1)
-    return w, np.cumsum(step[: len(w.starts)]) > 0
-
-
-def _passes(docs: DataFrame, width: int) -> tuple[S.Shape, str, str]:
-    shape = S.Shape.of(S.total_bytes(docs) // 6, DEPTH)
-    hashes = lambda t: _Words(t, width).h
-    first = S.answer(docs.mapInArrow(S.send(shape, hashes), S.ROWS), S.merge, "windows-estimated")
-    second = S.answer(docs.mapInArrow(_send(shape, first, width), SENT), _exact, "windows-exact")
-    return shape, first, second
+    h, g, doc = h[order], g[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    at = np.flatnonzero(new)
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return (h[at], g[at], doc[at]), group
+
+
+class _Candidates:
+    """The windows of a unit that are estimated repeated, grouped exactly."""
+
+    def __init__(self, blocks: list[pa.Table], unit: str, place: tuple[str, int], shape: S.Shape, width: int):
+        self.blocks = [_Words(t, width) for t in blocks]
+        hit = S.repeated(shape, place, unit, np.concatenate([w.h for w in self.blocks]))
+        at = np.cumsum([0, *(len(w.h) for w in self.blocks)])
+        #: Per block the first words of its candidates, and their documents' ids.
+        self.first, self.doc, h, g = [], [], [], []
+        for w, a, b in zip(self.blocks, at.tolist(), at[1:].tolist()):
+            which = np.flatnonzero(hit[a:b])
+            first, row = w.windows()
+            self.first.append(first[which])
+            self.doc.append(S.ids_of(w.table)[row[which]])
+            h.append(w.h[which])
+            g.append(w.second(self.first[-1]) if len(which) else np.zeros(0, np.uint64))
+            w.h = None
+        self.entries, self.group = least_of(np.concatenate(h), np.concatenate(g), np.concatenate(self.doc))
+
+    def gone(self, smaller: np.ndarray) -> Iterator[tuple[_Words, np.ndarray]]:
+        """Per block, which words lie in a window that an earlier document has;
+        ``smaller`` says which of the entries one outside of this unit has."""
+        hit = smaller[self.group] | (self.entries[2][self.group] < np.concatenate(self.doc)) if len(self.group) else np.zeros(0, bool)
+        at = 0
+        for w, first in zip(self.blocks, self.first):
+            begin = first[hit[at : at + len(first)]]
+            at += len(first)
+            n = len(w.starts)
+            step = np.bincount(begin, minlength=n + 1) - np.bincount(begin + w.width, minlength=n + 1)
+            yield w, np.cumsum(step[:n]) > 0
+
+
+class _Passes:
+    """Sketch and exact grouping of a table; then its blocks with the words to go."""
+
+    def __init__(self, docs: DataFrame, width: int):
+        X.pin_splits(docs)
+        size = S.total_bytes(docs)
+        self.width = width
+        self.shape = shape = S.Shape.of(size // 6, DEPTH)
+        self.first = first = S.estimate(docs, shape, lambda t: _Words(t, width).h, size, "windows-estimated")
+        # candidates are fewer than windows, so shards of the same number hold less
+        self.cut = cut = min(shape.cut, shape.first)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from X.messages(Least(), ((unit, _Candidates(blocks, unit, first, shape, width).entries) for unit, blocks in X.units(batches)), 64 - cut)
+
+        self.second = X.file_replies(docs.mapInArrow(send, X.SENT), Least(), 64, cut, shape.cut, shape.fan, size, "windows-exact")
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, np.ndarray]]:
+        for unit, blocks in X.units(batches):
+            c = _Candidates(blocks, unit, self.first, self.shape, self.width)
+            yield from c.gone(X.answers_of(self.second, unit, Least(), c.entries, 64 - self.cut))
 
 
 def _kept(texts: list[bytes], woff: np.ndarray, gone: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -161,16 +174,17 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows of one doc_id never remove each other's words. Texts without a removed
     word come back unchanged, byte for byte. Other columns pass through."""
     T.bounded_batches(docs.sparkSession)
-    shape, first, second = _passes(docs.select("doc_id", "text"), width)
     from pyspark.sql.types import LongType, StructField, StructType
 
     fields = docs.schema.fields
     taken = {f.name.lower() for f in fields}
     n_words, n_removed = (next(n for n in itertools.accumulate(itertools.repeat("_"), lambda a, u: u + a, initial=name) if n not in taken) for name in ("n_words", "n_removed"))
 
+    passes = _Passes(docs.select("doc_id", "text"), width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in S.exchange_blocks(batches):
-            w, gone = _removed(t, key, first, second, shape, width)
+        for w, gone in passes(batches):
+            t = w.table
             col = t.column("text").combine_chunks()
             kept = list(_kept(T.raw_texts(col), w.woff, gone))
             old = col.to_pylist()
@@ -187,11 +201,11 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     space, of every document; see ``dedup``."""
     T.bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    shape, first, second = _passes(docs, width)
+    passes = _Passes(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in S.exchange_blocks(batches):
-            w, gone = _removed(t, key, first, second, shape, width)
+        for w, gone in passes(batches):
+            t = w.table
             kept = [(n, hashlib.sha256(k).hexdigest()) for n, k in _kept(T.raw_texts(t.column("text")), w.woff, gone)]
             yield pa.RecordBatch.from_arrays(
                 [t.column("doc_id").cast(pa.int64()).combine_chunks(), pa.array(np.diff(w.woff), pa.int64()), pa.array([n for n, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.string())],

@@ -1,6 +1,5 @@
 """Shared plumbing of the corpus operators: Arrow text buffers as numpy arrays,
-vectorised word spans and hashes, compact sorted-integer blobs, and the block
-exchange used where a second pass over the text needs an answer from a shard.
+vectorised word spans and hashes, and compact sorted-integer blobs.
 
 Words are maximal runs of bytes other than ``\\x20`` and ``\\x09-\\x0D`` (UTF-8
 never uses those bytes inside a longer sequence). Everything here works on whole
@@ -13,8 +12,6 @@ import ctypes
 import functools
 import hashlib
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import fresh_dir, remove, scope, shared_dir, written  # noqa: F401
+
 #: Texts are gathered into blocks of about so many bytes before numpy sees them.
 BLOCK_BYTES = 4 << 20
 
@@ -39,36 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where the
-    session leaves it unset (tests on one machine) a temporary folder is set."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="recordloom-")
-        sc.setCheckpointDir(at)
-    # as a full URI, so that workers and Spark mean the same file system
-    place = sc._jvm.org.apache.hadoop.fs.Path(at)
-    at = place.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
-    return at if "://" in at or not at.startswith("file:") else "file://" + at[5:]
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and an
-    executor lost later loses nothing."""
-    spark = df.sparkSession
-    at = fresh_dir(spark, what)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+def written_wide(df: DataFrame, at: str) -> DataFrame:
+    """A table of few but wide rows (megabytes each), in row groups of bounded size."""
+    df.write.option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "4").option("parquet.block.size", str(32 << 20)).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a batch of long texts stays small."""
+    """Arrow batches of few rows and bytes, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 _LIBC = ctypes.CDLL(None)
@@ -302,32 +281,18 @@ def unpack_bits(blob: bytes, width: int, n: int) -> np.ndarray:
     return out
 
 
-# block exchange
+def joined(first: bytes, second: bytes) -> bytes:
+    return len(first).to_bytes(8, "little") + first + second
 
 
-def block_key(ids: np.ndarray, texts_bytes: int) -> str:
-    """Name of a block, from the ids it holds: a second pass over the same table
-    forms the same blocks and so finds the answers to them."""
-    return hashlib.blake2b(ids.astype("<i8").tobytes() + str(texts_bytes).encode(), digest_size=12).hexdigest()
+def parted(body: bytes) -> tuple[bytes, bytes]:
+    cut = 8 + int.from_bytes(body[:8], "little")
+    return body[8:cut], body[cut:]
 
 
 @functools.cache
-def _filesystem(root: str):
+def filesystem(root: str):
+    """pyarrow's view of the shared folder, for workers: file system and path."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
-
-
-def read_replies(root: str, column: str, key: str) -> pa.Table | None:
-    """The rows of one ``column=key`` folder of a table partitioned by ``column``
-    in the shared folder; None if the block got no reply."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, base = _filesystem(root)
-    at = f"{base}/{column}={key}"
-    found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
-    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
-    if not files:
-        return None
-    return pa.concat_tables([pq.ParquetFile(system.open_input_file(f)).read() for f in files])

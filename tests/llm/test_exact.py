@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from recordloom.llm import bitpack, bpe, fingerprints, licenses, ngram_join, packing, quality, secrets, substring_dedup, toxicity
+from recordloom.llm import bitpack, bpe, exchange, fingerprints, licenses, ngram_join, packing, quality, secrets, sketch, substring_dedup, toxicity
 from recordloom.llm import textkit as T
 from recordloom.llm import tokens as K
 
@@ -126,6 +126,99 @@ def test_ngram_join_in_tiles(spark, tmp_path, monkeypatch):
     assert {i: (r["n_shingles"], r["n_similar"], r["component_id"]) for i, r in got.items()} == linked(rows)
 
 
+@pytest.fixture
+def hops(monkeypatch):
+    """Shards so small and cuts so coarse that answers take several hops."""
+    monkeypatch.setattr(exchange, "FAN", 2)
+    monkeypatch.setattr(sketch, "SHARD_ENTRIES", 400)
+    monkeypatch.setattr(ngram_join, "SHARD", 20)
+
+
+def test_several_hops_give_the_same(docs, hops):
+    assert sketch.Shape.of(10_000, 2).cut >= 6
+    got = table(substring_dedup.digest(docs))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == {i: (n, g, sha(k)) for i, (n, g, k) in removed(ROWS).items()}
+    got = table(ngram_join.links(docs))
+    assert {i: (r["n_shingles"], r["n_similar"], r["component_id"]) for i, r in got.items()} == linked(ROWS)
+
+
+@pytest.mark.parametrize("codec,depth", [(sketch.Sketch(), 2), (exchange.Count(), 1), (substring_dedup.Least(), 1)], ids=["sketch", "count", "least"])
+def test_codecs_add_up(codec, depth):
+    """Answers through batches of batches are those of one merge of everything."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+
+    def some():
+        key = np.unique(rng.integers(0, 300, 90).astype(np.uint64))
+        if isinstance(codec, sketch.Sketch):
+            return key, rng.random(len(key)) < 0.1
+        if isinstance(codec, exchange.Count):
+            return key, rng.integers(1, 9, len(key))
+        return key // np.uint64(2), key, rng.integers(-5, 1 << 40, len(key))  # two windows of one first hash
+
+    parts = [some() for _ in range(12)]
+    parts = [codec.decode(codec.encode(p), len(p[0])) for p in parts]
+    every = codec.merge(parts)
+    final = codec.final(every)
+    want = [codec.back(every, final, p) for p in parts]
+    halves = [codec.merge(parts[:5]), codec.merge(parts[5:])]
+    top = codec.merge(halves)
+    down = [codec.back(top, codec.final(top), h) for h in halves]
+    down = [codec.unpack(codec.pack(d), len(d)) for d in down]
+    got = [codec.back(halves[k >= 5], down[k >= 5], p) for k, p in enumerate(parts)]
+    assert all((a == b).all() for a, b in zip(want, got))
+
+
+def test_traffic_stays_linear():
+    """Bytes that one window costs in messages of all hops, for inputs of 30 GB to
+    100 TB: the mean distance of a unit's cells grows, by bits; messages don't shrink."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    costs = []
+    for size in (30e9, 1e12, 1e13, 1e14):
+        shape = sketch.Shape.of(int(size) // 6, 2)
+        n, cost, done = exchange.UNIT_BYTES // 6, 0.0, 0
+        e = shape.entries(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        while done < shape.cut:
+            last, done = done, min(shape.cut, done + shape.fan)
+            rows = next(exchange.messages(sketch.Sketch(), iter([("u" * 24, e)]), shape.width - done))
+            sent = rows.nbytes
+            cost += sent / len(e[0]) * 2  # two rows of the sketch
+            # the next hop's units are batches: keys of one group, as many as a batch takes
+            n = int(exchange.BATCH_BYTES / sent * len(e[0]))
+            top = 1 << (shape.width - done)
+            cells = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+            e = cells, np.zeros(len(cells), bool)
+        costs.append(cost)
+    assert costs[-1] < 3.2 * costs[0] and costs[-1] / 6 < 2.2, costs  # text is six bytes a window
+
+
+def test_chains_are_tiled_in_proportion(spark, tmp_path, monkeypatch):
+    """Documents that share prefix shingles with their neighbours only, and some that
+    are near-copies: no area's square, and no link lost."""
+    rng = random.Random(12)
+    part = [[f"s{k}w{rng.randrange(10**6)}" for _ in range(30)] for k in range(141)]
+    rows = [(k, " ".join(part[k] + part[k + 1])) for k in range(140)]
+    for k in range(0, 140, 7):
+        words = rows[k][1].split()
+        rows += [(1000 + 10 * k + j, " ".join([*words[:-1], f"x{j}"])) for j in range(k % 5)]
+    rows += [(5000 + j, " ".join(["hot", "passage", "of", "five", "words", *part[j][:j % 3], "hot"])) for j in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    tiles, kinds = ngram_join._tiles, []
+    monkeypatch.setattr(ngram_join, "_tiles", lambda o: kinds.append(tiles(o)) or kinds[-1].cache())
+    got = table(ngram_join.links(spark.read.parquet(str(tmp_path / "t"))))
+    assert {i: (r["n_shingles"], r["n_similar"], r["component_id"]) for i, r in got.items()} == linked(rows)
+    # a long chain: every set is copied for its prefix, not for its area
+    n = 20_000
+    chain = spark.range(n).selectExpr("id AS rep", "400L AS n", "1L AS copies", "array(id, id + 1) AS prefix", "cast('' AS binary) AS hashes", "cast('' AS binary) AS counts")
+    monkeypatch.setattr(ngram_join, "TILE", 64)
+    assert tiles(chain).count() <= 2 * n
+    assert tiles(chain.limit(50)).where("token is not null").isEmpty()
+
+
 def encoded(name):
     from tokenizers import Tokenizer
 
