@@ -22,7 +22,8 @@ def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; their model is fitted on this stage's
     input, with the table of labels."""
-    return quality.keep(docs, quality.fit(docs, textkit.table(spark, sf_dir, "labels")))
+    measured = textkit.written(quality.measure(docs), "rule-statistics")
+    return quality.keep(docs, quality.fit(measured, textkit.table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

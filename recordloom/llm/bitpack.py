@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranges as R
 from . import sketch as S
 from . import textkit as T
 from . import tokens as K
@@ -31,6 +32,8 @@ BLOCK = 8192
 END_ID = 2
 #: Bytes of text that one file's documents have, on average.
 FILE_BYTES = 32 << 20
+#: A file has at most so many ids, unless one document has more.
+FILE_IDS = 12 << 20
 
 
 def width_of(vocabulary: int) -> int:
@@ -92,7 +95,7 @@ class PackedFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def _encoded(file: str, end_id: int, bounds: np.ndarray, bits: int):
+def _encoded(file: str, end_id: int, cuts: R.Cuts, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = K.library_encoder(file)
         for t in T.blocks(batches):
@@ -100,36 +103,41 @@ def _encoded(file: str, end_id: int, bounds: np.ndarray, bits: int):
             docs = S.ids_of(t)
             packed = [T.pack_bits(np.append(ids[a:b], np.uint32(end_id)), bits) for a, b in zip(off.tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, docs, "left"), pa.int64()), pa.array(docs, pa.int64()), pa.array(np.diff(off) + 1, pa.int64()), pa.array(packed, pa.binary())],
+                [pa.array(cuts.part(docs, t.column("text_hash").to_numpy()), pa.int64()), pa.array(docs, pa.int64()), pa.array(np.diff(off) + 1, pa.int64()), pa.array(packed, pa.binary())],
                 ["part", "doc_id", "n", "packed"],
             )
 
     return run
 
 
-def _write(root: str, bits: int):
+def _name(part: int, number: int) -> str:
+    return f"part-{part:09d}-{number:05d}.ids"
+
+
+def _write(root: str, bits: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = T.filesystem(root)
         system.create_dir(base, recursive=True)
-        part, docs, sizes, packed = None, [], [], []
+        part, number, held, docs, sizes, packed = None, 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate([T.unpack_bits(p, bits, n).astype(np.uint32) for p, n in zip(packed, sizes)])
-            draft, final = f"{base}/.{uuid.uuid4().hex}", f"{base}/part-{part:09d}.ids"
+            draft, final = f"{base}/.{uuid.uuid4().hex}", f"{base}/{_name(part, number)}"
             with system.open_output_stream(draft) as sink:
                 write_file(sink, np.array(docs, np.int64), np.array(sizes, np.int64), ids, bits)
             system.move(draft, final)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([len(ids)], pa.int64())], ["part", "n_docs", "n_ids"])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, number, len(docs), len(ids))], ["part", "number", "n_docs", "n_ids"])
 
         for batch in batches:
             for p, d, n, x in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "packed"))):
-                if p != part:
-                    if docs:
-                        yield close()
-                    part, docs, sizes, packed = p, [], [], []
+                if docs and (p != part or held + n > most):
+                    yield close()
+                    number, held, docs, sizes, packed = (number + 1 if p == part else 0), 0, [], [], []
+                part = p
                 docs.append(d)
                 sizes.append(n)
                 packed.append(x)
+                held += n
         if docs:
             yield close()
 
@@ -138,26 +146,24 @@ def _write(root: str, bits: int):
 
 def write(docs: DataFrame, root: str, file: str, end_id: int = END_ID) -> DataFrame:
     """Encodes every text of ``docs`` (null: empty), appends ``end_id``, and writes
-    files of ascending doc_id under ``root``, each at most about FILE_BYTES of text
-    (more only if one doc_id has more). Returns the files: part, n_docs, n_ids, and
-    start, the ids in all files before. A null doc_id counts as the greatest; rows
-    of one doc_id lie side by side. No rows give no files.
+    files of ascending doc_id under ``root``, each of at most FILE_IDS ids (more only
+    if one document has more). Returns the files: part, number (within the part),
+    n_docs, n_ids, and start, the ids in all files before. A null doc_id counts as the
+    greatest; rows of one doc_id lie side by side. No rows give no files.
 
-    The cuts between files are quantiles of doc_id, so a file holds a fair share
-    however the ids are spread; only packed ids are shuffled."""
+    A part is a range of about FILE_BYTES of text (see ``ranges``), however the ids
+    are spread and however many rows one id has; only packed ids are shuffled."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     T.bounded_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = R.keyed(docs)
     bits = width_of(max(Tokenizer.from_file(file).get_vocab_size(), end_id + 1))
-    files = max(1, -(-S.total_bytes(docs) // FILE_BYTES))
-    known = docs.where("doc_id is not null")
-    bounds = known.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.1 / files) if files > 1 and not known.isEmpty() else []
-    rows = docs.mapInArrow(_encoded(file, end_id, np.unique(np.array(bounds, np.int64)), bits), "part long, doc_id long, n long, packed binary")
-    done = rows.repartition("part").sortWithinPartitions("part", "doc_id", "n", "packed").mapInArrow(_write(root, bits), "part long, n_docs long, n_ids long")
+    cuts = R.cuts(docs, S.total_bytes(docs), FILE_BYTES)
+    rows = docs.mapInArrow(_encoded(file, end_id, cuts, bits), "part long, doc_id long, n long, packed binary")
+    done = rows.repartition("part").sortWithinPartitions("part", "doc_id", "n", "packed").mapInArrow(_write(root, bits, FILE_IDS), "part long, number long, n_docs long, n_ids long")
     done = T.written(done, "id-files")
-    before = F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # one row a file
+    before = F.sum("n_ids").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1))  # one row a file
     return done.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
@@ -165,8 +171,8 @@ def _digests(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = T.filesystem(root)
         for batch in batches:
-            for part, start in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist()):
-                with system.open_input_file(f"{base}/part-{part:09d}.ids") as source:
+            for part, number, start in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "start"))):
+                with system.open_input_file(f"{base}/{_name(part, number)}") as source:
                     f = PackedFile(source)
                     step = 64 * f.block
                     crc = np.empty(f.n_docs, np.int64)
@@ -184,7 +190,7 @@ def _digests(root: str):
 
 def digest(files: DataFrame, root: str) -> DataFrame:
     """Reads the files back: doc_id, start, n_tokens and the CRC-32 of the ids."""
-    spread = files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "part")
+    spread = files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "part", "number")
     return spread.mapInArrow(_digests(root), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -39,7 +39,7 @@ FAN = 12
 #: Bytes of messages in a batch.
 BATCH_BYTES = 4 << 20
 #: Bytes of text in a unit of documents, and in the blocks that it is processed in.
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose answers share a file.
 FILE_BYTES = 512 << 20

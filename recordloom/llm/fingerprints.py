@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges as R
 from . import sketch as S
 from . import textkit as T
 from .textkit import U64
@@ -32,9 +33,6 @@ SHINGLE = 2
 STEP = 1024
 #: Text bytes of a range of neighbouring doc_ids, on average.
 RANGE_BYTES = 24 << 20
-#: At most so many ranges, which the driver keeps; beyond, they grow. A range is
-#: sorted on disk and streamed, so it needn't fit a task's memory.
-RANGES = 16_384
 
 
 @functools.cache
@@ -130,42 +128,42 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """Rows (part, helper, doc_id, text) such that, sorted by part, helper, and
-    descending doc_id (then text), every row that isn't a helper is followed by its
-    next document; the last one's next is the first. One shuffle of the text: ids
-    are cut into ranges at quantiles, and the greatest document of a range goes to
+    """Rows (part, helper, doc_id, text_hash, text) such that, sorted by part, helper,
+    and descending doc_id (then text_hash, text), every row that isn't a helper is
+    followed by its next document; the last one's next is the first. One shuffle of
+    the text, into ranges (see ``ranges``); the greatest document of a range goes to
     the next range up as well, as a helper. A null doc_id counts as the greatest."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(S.MAX_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = min(RANGES, max(1, -(-S.total_bytes(docs) // RANGE_BYTES)))
-    bounds = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = np.unique(np.array(bounds, np.int64))
+    docs = R.keyed(docs)
+    cuts = R.cuts(docs, S.total_bytes(docs), RANGE_BYTES)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = np.searchsorted(cuts, batch.column("doc_id").to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), batch.column("doc_id")], ["part", "doc_id"])
-
-    # one row a range: at most len(cuts) + 1, which the size of a range bounds
-    tops = sorted((r["part"], r["top"]) for r in docs.select("doc_id").mapInArrow(ranges, "part long, doc_id long").groupBy("part").agg(F.max("doc_id").alias("top")).collect())
-    goes: dict[int, list[int]] = {}
-    if tops:
-        for (_, top), (part, _) in zip(tops, tops[1:]):
-            goes.setdefault(top, []).append(part)
-        goes.setdefault(tops[-1][1], []).append(tops[0][0])
+        for b in batches:
+            part = cuts.part(b.column("doc_id").to_numpy(), b.column("text_hash").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column("doc_id"), b.column("text_hash")], ["part", "doc_id", "text_hash"])
+
+    placed = docs.select("doc_id", "text_hash").mapInArrow(ranges, "part long, doc_id long, text_hash long")
+    # one row a range
+    tops = placed.groupBy("part").agg(F.max(F.struct("doc_id", "text_hash")).alias("top")).select("part", "top.*").toArrow().sort_by("part")
+    part, top_id, top_hash = (tops.column(c).to_numpy() for c in ("part", "doc_id", "text_hash"))
+    above = np.roll(part, -1)  # the next range up that has rows; the lowest for the highest
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            part = np.searchsorted(cuts, ids, "left")
-            extra = [(i, p) for i, d in enumerate(ids.tolist()) if d in goes for p in goes[d]]
-            take = pa.array([*range(len(ids)), *(i for i, _ in extra)], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*part.tolist(), *(p for _, p in extra)], pa.int64()), pa.array([0] * len(ids) + [1] * len(extra), pa.int32()), batch.column("doc_id").take(take), batch.column("text").take(take)],
-                ["part", "helper", "doc_id", "text"],
-            )
-
-    placed = docs.mapInArrow(place, "part long, helper int, doc_id long, text string")
-    return placed.repartition("part").sortWithinPartitions("part", "helper", F.desc("doc_id"), "text")
+        sent = set()  # one of several rows that are the same will do
+        for b in batches:
+            ids, hashes = b.column("doc_id").to_numpy(), b.column("text_hash").to_numpy()
+            own = cuts.part(ids, hashes)
+            at = np.searchsorted(part, own)
+            extra = []
+            for i in np.flatnonzero((top_id[at] == ids) & (top_hash[at] == hashes)).tolist():
+                if int(own[i]) not in sent:
+                    sent.add(int(own[i]))
+                    extra.append(i)
+            take = pa.array([*range(len(ids)), *extra], pa.int64())
+            to = np.concatenate([own, above[at[np.array(extra, np.int64)]]])
+            helper = np.repeat(np.array([0, 1], np.int32), [len(ids), len(extra)])
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(helper), *(b.column(c).take(take) for c in ("doc_id", "text_hash", "text"))], ["part", "helper", "doc_id", "text_hash", "text"])
+
+    return docs.mapInArrow(place, "part long, helper int, doc_id long, text_hash long, text string").repartition("part").sortWithinPartitions("part", "helper", F.desc("doc_id"), F.desc("text_hash"), F.desc("text"))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,13 @@
 """Quality rules: rule statistics of every text, judged by an isolation forest.
 
-Method: random trees split a bounded, documented sample of documents on one
+Method: random trees split a bounded, documented sample of all documents on one
 statistic at a time; a document that few splits isolate (short average path) is
-anomalous. How short is too short is calibrated on labelled rows: the threshold
-that finds most rows of quality 0 for the rows of quality 1 it loses, of which
-there are at most ``ALLOWED``. Two base rules reject outright. Statistics are exact, over whole texts.
+anomalous. Statistics within the usual range of labelled good rows count as equal, so
+what is isolated is what lies beyond it. How short a path is too short is calibrated
+on labelled rows: the threshold that finds most rows of quality 0 for the rows of
+quality 1 it loses, of which there are at most ``ALLOWED``. Range and threshold come
+from all labelled rows. Two base rules reject outright. Statistics are exact, over
+whole texts.
 """
 
 from __future__ import annotations
@@ -22,18 +25,19 @@ from . import sketch as S
 from . import textkit as T
 from .textkit import U64
 
-#: Documents the forest is grown on, and labelled rows that set its threshold: the
-#: ones with the least hash of doc_id.
-SAMPLE = 4096
-LABELLED = 6000
+#: Documents the forest is grown on: of all that pass the base rules, the ones with
+#: the least hash of doc_id.
+SAMPLE = 8192
 TREES = 128
 PER_TREE = 256
 #: The threshold may lose at most this share of labelled good rows, and within that
 #: losing one per cent of them weighs as much as missing COST per cent of the poor.
 ALLOWED = 0.02
 COST = 5
-#: Share of good rows beyond the usual range of a statistic.
+#: Share of good rows beyond either end of the usual range of a statistic.
 OUTSIDE = 0.002
+#: Scores are counted in so many bins.
+BINS = 10_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -43,9 +47,10 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"!?")] = True
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Symbols, marks and repeated words a word, repeated lines a line, capitals a
-#: character: rules of which a high value is bad. Length is left to the base rules.
-FEATURES = 5
+#: Symbols, repeated lines a line, repeated words, capitals a character, marks, and
+#: characters a word. Of the last a low value may be bad too. The number of words is
+#: left to the base rules.
+FEATURES = ["symbols", "dup_lines", "repeats", "capitals", "marks", "word_length"]
 
 
 def _repeats(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -95,8 +100,8 @@ def statistics(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lines = np.bincount(line_row, minlength=rows)
     base = np.column_stack([n_words, word_chars, n_symbols, n_dup, n_repeat]).astype(np.int64).reshape(rows, 5)
     w, c = np.maximum(n_words, 1), np.maximum(word_chars, 1)
-    features = np.column_stack([n_symbols / w, n_dup / np.maximum(lines, 1), n_repeat / w, per_row(_UPPER[buf]) / c, per_row(_MARK[buf]) / w])
-    return base, features.reshape(rows, FEATURES)
+    features = np.column_stack([n_symbols / w, n_dup / np.maximum(lines, 1), n_repeat / w, per_row(_UPPER[buf]) / c, per_row(_MARK[buf]) / w, word_chars / w])
+    return base, features.reshape(rows, len(FEATURES))
 
 
 def base_failed(base: np.ndarray) -> np.ndarray:
@@ -155,90 +160,117 @@ class Forest:
         return np.exp2(-path / TREES / self.norm)
 
 
-def _excess(x: np.ndarray, usual: np.ndarray) -> np.ndarray:
-    """How far statistics lie beyond their usual range, on a logarithmic scale."""
-    return np.log1p(np.maximum(x - usual, 0) / np.maximum(usual, 0.01))
-
-
 @dataclass
 class Model:
     forest: Forest
-    usual: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     threshold: float
 
+    def excess(self, x: np.ndarray) -> np.ndarray:
+        """How far statistics lie beyond their usual range, on a logarithmic scale:
+        above it for all, below it for the length of words."""
+        above = np.log1p(np.maximum(x - self.high, 0) / np.maximum(self.high, 0.01))
+        below = np.log1p(np.maximum(self.low[-1:] - x[:, -1:], 0) / np.maximum(x[:, -1:], 0.01))
+        return np.concatenate([above, below], axis=1)
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return self.forest.scores(self.excess(features))
+
     def judge(self, base: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores, and which texts are kept."""
-        score = self.forest.scores(_excess(features, self.usual))
+        score = self.scores(features)
         return score, ~base_failed(base) & (score <= self.threshold)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in T.blocks(batches):
-        base, features = statistics(t.column("text"))
-        yield pa.RecordBatch.from_arrays([t.column("quality").combine_chunks(), pa.array(base_failed(base)), pa.array([x.tobytes() for x in features], pa.binary())], ["quality", "failed", "features"])
-
+MEASURED = ", ".join([*(f"{c} long" for c in BASE), "base_failed boolean", *(f"{c} double" for c in FEATURES)])
 
-def _rows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    got = docs.select("text", "quality").mapInArrow(_measure, "quality int, failed boolean, features binary").toPandas()
-    x = np.array([np.frombuffer(f) for f in got["features"]]).reshape(len(got), FEATURES)
-    return x, got["failed"].to_numpy(bool), got["quality"].fillna(-1).to_numpy()
 
-
-def fit(docs: DataFrame, labels: DataFrame | None) -> Model:
-    """Sets the usual range of each statistic, grows the forest on at most SAMPLE
-    rows that pass the base rules, and sets its threshold, on at most LABELLED rows
-    of ``labels`` (doc_id, quality), chosen by the hash of doc_id; only their ids
-    are broadcast. The range is what all but OUTSIDE of the rows of quality 1 have:
-    within it statistics count as equal, so unusual but good texts stay together and
-    junk, however common, splits off. Without labels any rows set the range, and the
-    threshold is the sample's greatest score."""
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, the base statistics, base_failed and the forest's statistics of every
+    text, null text being empty: all that ``fit`` and ``judge`` need, without text."""
     T.bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    order = F.xxhash64("doc_id")
-    if labels is None:
-        known = docs.select("doc_id").where("doc_id is not null").distinct().withColumn("quality", F.lit(None).cast("int"))
-    else:
-        known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    known = known.orderBy(order, "doc_id").limit(SAMPLE if labels is None else LABELLED)
-    x, failed, quality = _rows(docs.join(F.broadcast(known), "doc_id"))
-    good, poor = ~failed & (quality != 0), ~failed & (quality == 0)
-    usual = np.quantile(x[good], 1 - OUTSIDE, axis=0) if good.any() else np.zeros(FEATURES)
-    excess = _excess(x, usual)
-    # rows come in any order; the forest shall not depend on it
-    ok = excess[~failed]
-    forest = Forest.grow(ok[np.lexsort(ok.T)] if len(ok) <= SAMPLE else ok[np.lexsort(ok.T)][:: -(-len(ok) // SAMPLE)])
-    score = np.sort(forest.scores(excess[good]))
-    if not len(score):
-        return Model(forest, usual, 1.0)
-    if not poor.any():
-        return Model(forest, usual, float(score[-1]))
-    bad = np.sort(forest.scores(excess[poor]))
-    places = np.unique(score[len(score) - 1 - int(ALLOWED * len(score)) :])
-    found = 1 - np.searchsorted(bad, places, "right") / len(bad)
-    lost = 1 - np.searchsorted(score, places, "right") / len(score)
-    gain = found - COST * lost
-    return Model(forest, usual, float(places[len(places) - 1 - int(np.argmax(gain[::-1]))]))
-
-
-def _judged(model, fields: list[str]):
+    kind = dict(docs.dtypes)["doc_id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in T.blocks(batches):
             base, features = statistics(t.column("text"))
-            score, kept = model.value.judge(base, features)
-            columns = [t.column(c).combine_chunks() for c in fields] + [pa.array(base[:, i]) for i in range(5)] + [pa.array(base_failed(base)), pa.array(kept), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, [*fields, *BASE, "base_failed", "kept", "anomaly"])
+            columns = [t.column("doc_id").combine_chunks(), *map(pa.array, base.T), pa.array(base_failed(base)), *map(pa.array, features.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *BASE, "base_failed", *FEATURES])
 
-    return run
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {MEASURED}")
 
 
-def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and the statistics, base_failed, kept and anomaly of every text. Null
-    text has no words and fails the base rules; doc_id may be null or repeated."""
-    T.bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # TREES x 511 nodes at most
-    kind = dict(docs.dtypes)["doc_id"]
+def _matrix(t: pa.Table | pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.column_stack([t.column(c).to_numpy() for c in names]) if t.num_rows else np.zeros((0, len(names)))
+
+
+def fit(measured: DataFrame, labels: DataFrame | None) -> Model:
+    """From the rows of ``measure`` and of ``labels`` (doc_id, quality; of several the
+    greatest counts). The usual range of each statistic is what all but OUTSIDE of
+    the rows of quality 1 that pass the base rules have; the forest is grown on SAMPLE
+    of all rows that pass them; its threshold follows from all labelled rows, counted
+    by score. Without labels all rows set the range, and without rows of quality 0
+    the threshold is the greatest score of quality 1. Give a written table: it is
+    read several times."""
+    spark = measured.sparkSession
+    T.bounded_batches(spark)
+    passing = measured.where("not base_failed")
+    if labels is None:
+        known = passing.withColumn("quality", F.lit(1))
+    else:
+        marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+        known = passing.join(marks, "doc_id")
+    ends = known.where("quality <> 0").agg(*(F.percentile_approx(c, [OUTSIDE, 1 - OUTSIDE], 100_000).alias(c) for c in FEATURES)).first()
+    low, high = (np.array([ends[c][k] if ends[c] else 0.0 for c in FEATURES]) for k in (0, 1))
+    x = _matrix(passing.select("doc_id", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(SAMPLE).select(*FEATURES).toArrow(), FEATURES)
+    model = Model(Forest.grow(x[:0]), low, high, 1.0)
+    x = model.excess(x)
+    model.forest = Forest.grow(x[np.lexsort(x.T)])  # rows come in any order; the forest shall not depend on it
+    held = spark.sparkContext.broadcast(model)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = held.value.scores(_matrix(b, FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(np.ceil(score * BINS).astype(np.int64))], ["quality", "bin"])
+
+    good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
+    for r in known.select("quality", *FEATURES).mapInArrow(binned, "quality int, bin long").groupBy("quality", "bin").count().collect():
+        (bad if r["quality"] == 0 else good)[min(r["bin"], BINS)] += r["count"]
+    model.threshold = _threshold(good, bad)
+    return model
+
+
+def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """From counts by score bin: the best trade of poor rows found for good ones lost."""
+    if not good.any():
+        return 1.0
+    top = int(np.flatnonzero(good)[-1])
+    if not bad.any():
+        return top / BINS
+    lost = 1 - np.cumsum(good) / good.sum()
+    found = 1 - np.cumsum(bad) / bad.sum()
+    gain = np.where(lost <= ALLOWED, found - COST * lost, -np.inf)
+    gain[top + 1 :] = -np.inf
+    return float(np.flatnonzero(gain == gain.max())[-1]) / BINS  # the most lenient of equals
+
+
+
+def judge(measured: DataFrame, model: Model) -> DataFrame:
+    """doc_id and the statistics, base_failed, kept and anomaly of every row of
+    ``measure``. Null text has no words and fails the base rules; doc_id may be null
+    or repeated."""
+    held = measured.sparkSession.sparkContext.broadcast(model)  # TREES x 511 nodes at most
+    kind = dict(measured.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score, kept = held.value.judge(_matrix(b, BASE), _matrix(b, FEATURES))
+            names = ["doc_id", *BASE, "base_failed"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept), pa.array(score)], [*names, "kept", "anomaly"])
+
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, anomaly double"
-    return docs.select("doc_id", "text").mapInArrow(_judged(held, ["doc_id"]), schema)
+    return measured.mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
@@ -256,5 +288,5 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = T.table(spark, sf_dir, "documents")
-    return judge(docs, fit(docs, T.table(spark, sf_dir, "labels")))
+    measured = T.written(measure(T.table(spark, sf_dir, "documents")), "rule-statistics")
+    return judge(measured, fit(measured, T.table(spark, sf_dir, "labels")))

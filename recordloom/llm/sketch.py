@@ -79,11 +79,11 @@ class Sketch(X.Flags):
         return T.unpack_sorted(cells), np.unpackbits(np.frombuffer(twice, np.uint8))[:n].astype(bool)
 
     def merge(self, parts: list[X.Entries]) -> X.Entries:
-        every, own = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(every, kind="stable")
-        every, own = every[order], own[order]
-        at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        return every[at], (np.diff(np.append(at, len(every))) > 1) | np.logical_or.reduceat(own, at)
+        # the flag below the cell, so that a plain sort puts a cell's flagged entry last
+        every = np.sort(np.concatenate([(cell << U64(1)) | twice.astype(np.uint64) for cell, twice in parts]))
+        cell = every >> U64(1)
+        last = np.flatnonzero(np.append(cell[1:] != cell[:-1], True))
+        return cell[last], (np.diff(last, prepend=-1) > 1) | ((every[last] & U64(1)) == 1)
 
     def final(self, e: X.Entries) -> np.ndarray:
         return e[1]
@@ -92,11 +92,20 @@ class Sketch(X.Flags):
         return within(merged[0][answer], own[0])
 
 
+_SIEVE = U64((1 << 22) - 1)
+
+
 def within(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Which of ``asked`` are among ascending ``values``."""
-    if not len(values):
-        return np.zeros(len(asked), bool)
-    return values[np.minimum(np.searchsorted(values, asked), len(values) - 1)] == asked
+    """Which of ``asked`` are among ascending ``values``; a table of their last bits,
+    small enough for the processor's cache, answers no for most of those that aren't."""
+    out = np.zeros(len(asked), bool)
+    if len(values):
+        sieve = np.zeros(1 << 22, bool)
+        sieve[values & _SIEVE] = True
+        maybe = np.flatnonzero(sieve[asked & _SIEVE])
+        own = asked[maybe]
+        out[maybe[values[np.minimum(np.searchsorted(values, own), len(values) - 1)] == own]] = True
+    return out
 
 
 def total_bytes(docs: DataFrame) -> int:

@@ -27,9 +27,11 @@ from .textkit import U64
 
 #: Hashed features.
 BITS = 18
-#: At most so many labelled rows of each label are learnt from, those with the least
-#: hash of doc_id; the learner weighs the labels back to their shares.
+#: At most so many labelled rows of each label, and bytes of their texts, are learnt
+#: from: whole texts in order of a hash of doc_id, those that don't fit passed over;
+#: the learner weighs the labels back to their shares.
 SAMPLE = {1: 1500, 0: 3000}
+SAMPLE_BYTES = {1: 8 << 20, 0: 16 << 20}
 #: Steps with all features, and with those the L1 penalty left.
 STEPS = (40, 150)
 RATE = 0.1
@@ -170,15 +172,28 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the rows of ``labels`` (doc_id, toxic), at most SAMPLE of each
-    label; rows of null doc_id or label are left out, and a doc_id with several
-    labels counts as toxic. With no labelled toxic row nothing is toxic."""
+    """Learns from the rows of ``labels`` (doc_id, toxic), at most SAMPLE rows and
+    SAMPLE_BYTES of each label; rows of null doc_id or label are left out, a doc_id
+    with several labels counts as toxic, and rows with the same doc_id and text count
+    once. With no labelled toxic row nothing is toxic."""
     T.bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE[1]).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE[0]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(_gather, "doc_id long, toxic int, feature binary, sentence binary").toArrow().sort_by("doc_id")
+    # at most SAMPLE ids are broadcast; one id may have any number of rows
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), "doc_id")
+    sizes = texts.groupBy("doc_id", "toxic", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    chosen = []
+    for label in (1, 0):
+        left = SAMPLE_BYTES[label]
+        for r in sizes.where(F.col("toxic") == label).orderBy(order, "doc_id", "h").limit(SAMPLE[label]).collect():
+            if (r["n"] or 0) <= left:
+                left -= r["n"] or 0
+                chosen.append((r["doc_id"], r["h"]))
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long")
+    texts = texts.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "toxic", "h").agg(F.first("text").alias("text"))
+    rows = texts.select("doc_id", "text", "toxic").mapInArrow(_gather, "doc_id long, toxic int, feature binary, sentence binary").toArrow().sort_by("doc_id")
     label = rows.column("toxic").to_numpy()
     word_sentence, sentence_row, base = [], [], 0
     for i, x in enumerate(rows.column("sentence").to_pylist()):

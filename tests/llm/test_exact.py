@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -494,16 +495,57 @@ def rule_statistics(t):
 
 def test_quality(spark, docs, nothing):
     labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i, _ in ROWS] + [(None, 1, 0), (3, None, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, labels)
-    got = table(quality.judge(docs, model))
+    measured = quality.measure(docs)
+    model = quality.fit(measured, labels)
+    got = table(quality.judge(measured, model))
     for i, t in ROWS:
         n, *rest = want = rule_statistics(t)
         r = got[i]
         assert tuple(r[c] for c in quality.BASE) == want
-        assert r["base_failed"] == (n < 50 or 100 * want[4] > 50 * n) and not (r["kept"] and r["base_failed"])
+        assert r["base_failed"] == (n < 50 or 100 * want[4] > 50 * n)
+        assert r["kept"] == (not r["base_failed"] and r["anomaly"] <= model.threshold)
     assert {r["doc_id"] for r in quality.keep(docs, model).collect()} == {i for i, r in got.items() if r["kept"]}
-    empty = quality.fit(nothing, labels)
-    assert quality.judge(nothing, empty).count() == 0 and quality.judge(docs, empty).count() == len(ROWS)
+    empty = quality.fit(quality.measure(nothing), labels)
+    assert quality.judge(quality.measure(nothing), empty).count() == 0 and quality.judge(measured, empty).count() == len(ROWS)
+    assert all(r["kept"] for r in quality.judge(measured, quality.fit(measured, None)).where("not base_failed").collect())
+
+
+def test_paths_are_those_of_a_plain_walk():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.exponential(1, (400, 7)), 1)  # ties
+    forest = quality.Forest.grow(x)
+    asked = np.concatenate([x[:40], rng.exponential(3, (20, 7)), np.zeros((1, 7))])
+
+    def path(tree, row):
+        node = 0
+        while forest.feature[tree, node] >= 0:
+            node = 2 * node + (1 if row[forest.feature[tree, node]] <= forest.value[tree, node] else 2)
+        return forest.value[tree, node]
+
+    mean = [sum(path(t, row) for t in range(quality.TREES)) / quality.TREES for row in asked]
+    n = quality.PER_TREE
+    norm = 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    assert np.allclose(forest.scores(asked), [2 ** (-m / norm) for m in mean])
+    # a leaf's value is its depth, and for what it still holds the mean depth of a tree of as many
+    own = quality.Forest.grow(np.arange(4.0)[:, None])
+    assert all(sorted(own.value[t][own.feature[t] < 0])[-1] <= 2 + 1 for t in range(quality.TREES))
+
+
+def test_threshold_weighs_found_against_lost():
+    import itertools as it
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        good, bad = np.zeros(quality.BINS + 1), np.zeros(quality.BINS + 1)
+        np.add.at(good, rng.integers(0, 60, 300), 1)
+        np.add.at(bad, rng.integers(30, 100, 50), 1)
+        t = quality._threshold(good, bad)
+        value = lambda k: bad[k + 1 :].sum() / 50 - quality.COST * good[k + 1 :].sum() / 300 if good[k + 1 :].sum() <= quality.ALLOWED * 300 else -9  # noqa: B023,E731
+        assert abs(value(round(t * quality.BINS)) - max(map(value, it.chain(range(60))))) < 1e-9
 
 
 def test_forest_isolates_what_is_far():
