@@ -143,7 +143,7 @@ def _shingles(hashes: bytes) -> X.Entries:
     return np.unique(np.frombuffer(hashes, np.uint64), return_counts=True)
 
 
-def _ordered(percent: int, shift: int):
+def _ordered(percent: int, shift: int, place: tuple[str, int]):
     """Per representative that may still have a partner: its shared shingles in the
     global order (count, then hash), and how many of them are its prefix."""
 
@@ -153,7 +153,7 @@ def _ordered(percent: int, shift: int):
                 row = batch.slice(k, 1).to_pylist()[0]
                 every = np.frombuffer(row["hashes"], np.uint64)
                 e = _shingles(row["hashes"])
-                count = X.collected(X.Count(), e, shift, row["answers"])[np.searchsorted(e[0], every)]
+                count = X.answers_of(place, row["unit"], X.Count(), e, shift)[np.searchsorted(e[0], every)]
                 rows, at = [], 0
                 for rep, n, copies in zip(row["reps"], row["ns"], row["copies"]):
                     h, c = every[at : at + n], count[at : at + n]
@@ -336,8 +336,8 @@ def _rows(known: DataFrame, size: int, percent: int) -> DataFrame:
         found = ((u, _shingles(h)) for b in batches for u, h in zip(b.column("unit").to_pylist(), b.column("hashes").to_pylist()))
         yield from X.messages(X.Count(), found, 64 - first)
 
-    answers = X.by_unit(X.resolve(units.select("unit", "hashes").mapInArrow(send, X.SENT), X.Count(), 64, first, cut, X.FAN))
-    ordered = units.join(answers, "unit").mapInArrow(_ordered(percent, 64 - first), "rep long, n long, copies long, hashes binary, counts binary, prefix array<long>")
+    counts = X.file_replies(units.select("unit", "hashes").mapInArrow(send, X.SENT), X.Count(), 64, first, cut, X.FAN, 8 * tokens, "shingle-counts")
+    ordered = units.mapInArrow(_ordered(percent, 64 - first, counts), "rep long, n long, copies long, hashes binary, counts binary, prefix array<long>")
     ordered = T.written(ordered, "shingle-orders")
     tiled = T.written(_tiles(ordered).groupBy("area", "token", "i", "j").applyInArrow(_tile(percent), TILED), "shingle-links")
     joined = components(tiled.select(F.col("rep").alias("a"), F.col("other").alias("b")))

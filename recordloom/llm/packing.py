@@ -8,23 +8,29 @@ that doesn't fit is cut, and its rest is the next seed. Terms are token ids, so
 their document counts, taken over the whole corpus, are a table no larger than the
 vocabulary.
 
-A shard has about SHARD_TOKENS ids. Documents are routed by a consistent sample of
-their terms, weighted by idf; a term that draws more than one shard's worth is
-split over several by the hash of doc_id, so no shard grows with the corpus. Only
-packed ids are shuffled, once.
+Documents are routed by a consistent sample of their terms, weighted by idf: to the
+bucket of the first term drawn; where that bucket has more than a shard's worth, to
+that of the first two, and so on up to LEVELS. So texts that are alike stay together
+however common their terms are. Buckets in order fill shards of about
+``shard_tokens`` ids; one that is still too large is split over several, so no shard
+grows with the corpus. Only packed ids are shuffled, once.
 
 Windows are full, so nothing is padded: what a shard has left at the end is cut
 into sequences of powers of two.
+
+A seed's neighbours come from its own shard. ``search`` finds the best of all
+documents for a stated set of seeds, exactly, at the cost of their product.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +45,9 @@ SHARD_TOKENS = 2_000_000
 #: A term that more than one in DENSE of a shard's documents have is kept as a row of weights.
 DENSE = 8
 K1, B = 1.2, 0.75
+#: Terms a document is routed by, at most, and bits of a bucket's number.
+LEVELS = 4
+BUCKETS = 20
 _RANGE = 4096
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -89,24 +98,92 @@ def _summed(t: pa.Table) -> pa.Table:
     return pa.table({"first": t.column("first").slice(0, 1), "counts": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
 
 
-def _key(idf: np.ndarray, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A term of each document, drawn consistently with probability by squared idf."""
+def _keys(idf: np.ndarray, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """LEVELS terms of each document, drawn consistently with probability by squared
+    idf; the last one again where a document has no more."""
     doc, term, _ = _terms(ids, off)
     u = (T.mix(np.arange(1, len(idf) + 1, dtype=np.uint64)) >> U64(11)).astype(np.float64) / (1 << 53)
     cost = (-np.log(np.maximum(u, 1e-300)) / np.maximum(idf, 1e-6) ** 2).astype(np.float32)
     # positive floats sort as their bits do, so cost and term are one integer
-    ranked = (cost.view(np.uint32).astype(np.uint64) << U64(32)) | np.arange(len(idf), dtype=np.uint64)
+    ranked = ((cost.view(np.uint32).astype(np.uint64) << U64(32)) | np.arange(len(idf), dtype=np.uint64))[term]
     at = np.searchsorted(doc, np.arange(len(off) - 1))  # every document has its end id
-    return (np.minimum.reduceat(ranked[term], at) & U64(0xFFFFFFFF)).astype(np.int64)
+    none, out = np.iinfo(np.uint64).max, []
+    for level in range(LEVELS):
+        least = np.minimum.reduceat(ranked, at)
+        out.append(np.where(least == none, out[-1], least & U64(0xFFFFFFFF)) if level else least & U64(0xFFFFFFFF))
+        ranked = np.where(ranked == least[doc], none, ranked)
+    return np.column_stack(out)
+
+
+@dataclass
+class Routes:
+    """From the terms drawn to shards: per level the buckets too large for it, and of
+    the buckets that are left the first shard and the number of shards."""
+
+    hot: list[np.ndarray]
+    start: np.ndarray
+    parts: np.ndarray
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        h = T.mix(keys[:, 0] + U64(1))
+        out = (h >> U64(64 - BUCKETS)).astype(np.int64)
+        for level, hot in enumerate(self.hot, 1):
+            deeper = hot[out]
+            h = T.mix(h + (keys[:, level] + U64(1)) * U64(0x9E3779B97F4A7C15))
+            out = np.where(deeper, (h >> U64(64 - BUCKETS)).astype(np.int64), out)
+            h = np.where(deeper, h, T.mix(h * U64(3)))
+        return out
+
+    def shard(self, keys: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        b = self.bucket(keys)
+        return self.start[b] + (T.mix(salt.astype(np.uint64)) % self.parts[b].astype(np.uint64)).astype(np.int64)
+
+
+_DRAWN = ", ".join(f"k{i} long" for i in range(LEVELS)) + ", n long"
+
+
+def _drawn(idf, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _keys(idf.value, *_unpacked(batch, bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys.T), batch.column("n")], [*(f"k{i}" for i in range(LEVELS)), "n"])
 
+    return run
+
+
+def _routes(drawn: DataFrame, shard_tokens: int) -> Routes:
+    """The driver holds one figure a bucket, 2^BUCKETS at most."""
+    routes = Routes([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    while True:
 
-def _keyed(idf, bits: int, full: bool):
+        def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = np.column_stack([b.column(f"k{i}").to_numpy() for i in range(LEVELS)]).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(routes.bucket(keys)), b.column("n")], ["bucket", "n"])  # noqa: B023
+
+        loads = drawn.mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("load")).toArrow()
+        load = np.zeros(1 << BUCKETS, np.int64)
+        load[loads.column("bucket").to_numpy()] = loads.column("load").to_numpy()
+        hot = load > shard_tokens
+        if not hot.any() or len(routes.hot) == LEVELS - 1:
+            break
+        routes = Routes([*routes.hot, hot], routes.start, routes.parts)
+    cold = np.where(hot, 0, load)
+    before = np.cumsum(cold) - cold
+    start = before // shard_tokens
+    parts = np.where(hot, -(-load // shard_tokens), 1)
+    more = np.where(hot, parts, 0)
+    start = np.where(hot, start.max() + 1 + np.cumsum(more) - more, start)
+    return Routes(routes.hot, start, parts)
+
+
+def _placed(idf, routes, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                key = pa.array(_key(idf.value, *_unpacked(batch, bits)), pa.int64())
-                columns = [key, batch.column("doc_id"), batch.column("n")] + [batch.column("packed")] * full
-                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "n"] + ["packed"] * full)
+                shard = routes.value.shard(_keys(idf.value, *_unpacked(batch, bits)), batch.column("salt").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *(batch.column(c) for c in ("doc_id", "n", "packed"))], ["shard", "doc_id", "n", "packed"])
 
     return run
 
@@ -228,14 +305,12 @@ def _packed(idf, mean: float, bits: int):
     return run
 
 
-def pack(docs: DataFrame, file: str, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents of ``docs`` (null text: empty, just the end id).
-    A null doc_id counts as the greatest and comes back null; rows of one doc_id are
-    documents of their own. No rows give no pieces."""
+def _table(docs: DataFrame, file: str, end_id: int) -> tuple[DataFrame, int, int, int, np.ndarray]:
+    """Packed ids of all documents (doc_id, n, packed, written), bits an id, ids,
+    documents, and the idf of every id."""
     from tokenizers import Tokenizer
 
-    spark = docs.sparkSession
-    T.bounded_batches(spark)
+    T.bounded_batches(docs.sparkSession)
     bits = width_of(max(Tokenizer.from_file(file).get_vocab_size(), end_id + 1))
     rows = T.written(docs.select("doc_id", "text").mapInArrow(_encode(file, end_id, bits), "doc_id long, n long, packed binary"), "packed-ids")
     total, n_docs = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -244,14 +319,57 @@ def pack(docs: DataFrame, file: str, end_id: int = END_ID) -> DataFrame:
     for r in counts.collect():  # one entry an id of the vocabulary
         got = np.frombuffer(r["counts"], np.int64)
         df[r["first"] : r["first"] + len(got)] = got
-    idf = spark.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))
-    shards = max(1, round(total / SHARD_TOKENS))
-    loads = rows.mapInArrow(_keyed(idf, bits, False), "key long, doc_id long, n long").groupBy("key").agg(F.sum("n").alias("load"))
-    hot = loads.where(F.col("load") > SHARD_TOKENS).withColumn("parts", F.ceil(F.col("load") / SHARD_TOKENS).cast("long"))
-    hot = hot.withColumn("base", F.coalesce(F.sum("parts").over(W.orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + shards)  # at most one row a term
-    keyed = rows.mapInArrow(_keyed(idf, bits, True), "key long, doc_id long, n long, packed binary").join(F.broadcast(hot.select("key", "parts", "base")), "key", "left")
-    shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("key"), F.lit(shards))).otherwise(F.col("base") + F.pmod(F.xxhash64("doc_id"), "parts"))
-    return keyed.select(shard.alias("shard"), "doc_id", "n", "packed").groupBy("shard").applyInArrow(_packed(idf, total / max(1, n_docs), bits), PIECES)
+    return rows, bits, total, n_docs, np.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+
+def pack(docs: DataFrame, file: str, end_id: int = END_ID, shard_tokens: int | None = None) -> DataFrame:
+    """Pieces of all documents of ``docs`` (null text: empty, just the end id).
+    A null doc_id counts as the greatest and comes back null; rows of one doc_id are
+    documents of their own. No rows give no pieces. Larger shards bring seeds nearer
+    to the best neighbours of the corpus and cost more; one shard has them all."""
+    spark = docs.sparkSession
+    rows, bits, total, n_docs, idf = _table(docs, file, end_id)
+    idf = spark.sparkContext.broadcast(idf)
+    drawn = T.written(rows.select("n", "packed").mapInArrow(_drawn(idf, bits), _DRAWN), "drawn-terms")
+    routes = spark.sparkContext.broadcast(_routes(drawn, shard_tokens or SHARD_TOKENS))  # 2^BUCKETS entries
+    placed = rows.withColumn("salt", F.monotonically_increasing_id()).mapInArrow(_placed(idf, routes, bits), "shard long, doc_id long, n long, packed binary")
+    return placed.groupBy("shard").applyInArrow(_packed(idf, total / max(1, n_docs), bits), PIECES)
+
+
+def search(docs: DataFrame, seeds: Column, k: int, file: str, end_id: int = END_ID) -> DataFrame:
+    """Exact retrieval over all documents: (seed, doc_id, score, rank), the ``k``
+    documents of ``docs`` other than itself that have the greatest BM25 for all terms
+    of each document for which ``seeds`` holds (say, doc_id % 50 = 0); ties by doc_id.
+    Every block of documents is scored for every seed, block by block of seeds, and
+    gives its ``k`` best, so the work is their product: for measuring recall, not for
+    packing. Rows without a doc_id are left out."""
+    spark = docs.sparkSession
+    rows, bits, total, n_docs, idf = _table(docs, file, end_id)
+    idf, mean = spark.sparkContext.broadcast(idf), total / max(1, n_docs)
+    known = rows.where("doc_id is not null").withColumn("salt", F.monotonically_increasing_id())
+    blocks = max(1, -(-total // SHARD_TOKENS))
+    asked = known.where(seeds)
+    many = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // SHARD_TOKENS))
+    left = known.select(F.pmod(F.xxhash64("salt"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("part"), F.lit(False).alias("seed"), "doc_id", "salt", "n", "packed")
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("salt"), F.lit(many)).cast("int").alias("part"), F.lit(True).alias("seed"), "doc_id", "salt", "n", "packed")
+
+    def best(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("seed", "ascending"), ("doc_id", "ascending"), ("salt", "ascending")]).combine_chunks()
+        ids, off = _unpacked(t, bits)
+        doc, salt, seed = (t.column(c).to_numpy() for c in ("doc_id", "salt", "seed"))
+        own = int((~seed).sum())
+        index, out = Index(ids, off, idf.value, mean), []
+        for s in range(own, len(doc)):
+            score = index.scores(s)[:own]
+            score[salt[:own] == salt[s]] = -1
+            top = np.argsort(-score, kind="stable")[: k + 1]
+            out += [(int(salt[s]), int(doc[s]), int(doc[x]), float(score[x])) for x in top.tolist() if score[x] > 0][:k]
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.table([pa.array(c, f) for c, f in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["salt", "seed", "doc_id", "score"])
+
+    found = left.unionByName(right).groupBy("block", "part").applyInArrow(best, "salt long, seed long, doc_id long, score double")
+    rank = F.row_number().over(W.partitionBy("salt").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("salt")
 
 
 def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.llm import bitpack, bpe, exchange, fingerprints, licenses, ngram_join, packing, quality, secrets, sketch, substring_dedup, toxicity
 from recordloom.llm import textkit as T
@@ -306,14 +307,71 @@ def check_packing(df, ids):
     return windows
 
 
-def test_packing(docs, nothing, monkeypatch):
+def test_packing(docs, nothing):
     _, ids = encoded(PLAIN)
     check_packing(packing.pack(docs, K.path(PLAIN)), ids)
-    monkeypatch.setattr(packing, "SHARD_TOKENS", 6000)  # several shards, and hot terms
-    check_packing(packing.pack(docs, K.path(PLAIN)), ids)
+    check_packing(packing.pack(docs, K.path(PLAIN), shard_tokens=6000), ids)  # several shards, and hot terms
     assert packing.pack(nothing, K.path(PLAIN)).count() == 0
 
 
+def test_packing_repeated_rows(spark):
+    """A third of all rows are one row; all are packed, in shards that stay small."""
+    rows = [(1, "the same words again " * 5)] * 300 + [(None, None)] * 200 + [(k, f"other words {k} " * 30) for k in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), K.path(PLAIN), shard_tokens=3000).collect()
+    once = collections.Counter(r["doc_id"] for r in got if r["start"] == 0)
+    assert once == {1: 301, None: 200} | {k: 1 for k in range(300) if k != 1}
+    load = collections.Counter()
+    for r in got:
+        load[r["sequence_id"] >> 24] += r["length"]
+    assert max(load.values()) < 9000 and len(load) > 10
+
+
+def test_alike_texts_share_a_shard():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    bases = [rng.integers(10, 500, 200) for _ in range(40)]
+    rows = []
+    for b in bases:
+        for _ in range(10):
+            x = b.copy()
+            x[rng.integers(0, 200, 6)] = rng.integers(10, 500, 6)
+            rows.append(np.append(x, 2))
+    off = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    idf = rng.uniform(0.5, 2, 512)
+    keys = packing._keys(idf, np.concatenate(rows).astype(np.uint64), off)
+    assert all(set(k.tolist()) <= set(r.tolist()) and len(set(k.tolist())) == packing.LEVELS for k, r in zip(keys, rows))
+    everything = np.ones(1 << packing.BUCKETS, bool)
+    routes = packing.Routes([everything] * 2, np.arange(1 << packing.BUCKETS), np.ones(1 << packing.BUCKETS, np.int64))
+    shard = routes.shard(keys, np.arange(400)).reshape(40, 10)
+    together = np.mean([(np.bincount(np.unique(s, return_inverse=True)[1]).max()) for s in shard])
+    assert together > 8 and len(np.unique(shard)) > 35
+
+
+def test_search_is_exhaustive(spark, docs, monkeypatch):
+    import math
+
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 5000)  # many blocks, of documents and of seeds
+    _, ids = encoded(PLAIN)
+    ids = {i: [*x, 2] for i, x in ids.items()}
+    got = collections.defaultdict(list)
+    for r in packing.search(docs, F.col("doc_id") % 2 == 0, 5, K.path(PLAIN)).collect():
+        got[r["seed"]].append((r["rank"], r["doc_id"], r["score"]))
+    n, mean = len(ids), sum(map(len, ids.values())) / len(ids)
+    tf = {i: collections.Counter(x) for i, x in ids.items()}
+    df = collections.Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log1p((n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    for s in (i for i in ids if i % 2 == 0):
+        score = {}
+        for i in ids:
+            norm = packing.K1 * (1 - packing.B + packing.B * len(ids[i]) / mean)
+            score[i] = math.fsum(idf[t] * tf[i][t] * (packing.K1 + 1) / (tf[i][t] + norm) for t in tf[s] if t in tf[i])
+        want = sorted((v for i, v in score.items() if i != s), reverse=True)[:5]
+        mine = sorted(got[s])
+        assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5] and all(abs(score[i] - v) < 1e-9 for _, i, v in mine)
+        assert all(abs(v - w) < 1e-9 for (_, _, v), w in zip(mine, want))
+
+
 def test_seeds_bring_their_kind():
     import numpy as np
 
