@@ -1,5 +1,6 @@
 """N-gram Jaccard join: every pair of documents whose sets of 5-word shingles
-overlap by at least ``percent`` of their union, exactly, without losing a link.
+overlap by at least ``percent`` of their union, without losing a link. Shingles are
+told apart by 64-bit hashes: a link is wrong only where two unlike ones share one.
 
 Method: vertical partitioning. The global order of shingles (rare first) is cut
 into fragments; each fragment counts the overlaps of its own shingles, and the

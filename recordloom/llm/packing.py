@@ -45,6 +45,8 @@ SHARD_TOKENS = 2_000_000
 #: A term that more than one in DENSE of a shard's documents have is kept as a row of weights.
 DENSE = 8
 K1, B = 1.2, 0.75
+#: Bytes of weights added up at a time.
+HELD = 1 << 19
 #: Terms a document is routed by, at most, and bits of a bucket's number.
 LEVELS = 4
 BUCKETS = 20
@@ -67,8 +69,12 @@ def _encode(file: str, end_id: int, bits: int):
 def _unpacked(batch, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """ids of a batch's documents in a row, and their offsets."""
     n = batch.column("n").to_numpy()
-    ids = [T.unpack_bits(p, bits, k) for p, k in zip(batch.column("packed").to_pylist(), n.tolist())]
-    return (np.concatenate(ids) if ids else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(n)])
+    packed = batch.column("packed").to_pylist()
+    if bits % 8 == 0:  # every document ends with a byte, so all are unpacked at once
+        ids = T.unpack_bits(b"".join(packed), bits, int(n.sum()))
+    else:
+        ids = np.concatenate([T.unpack_bits(p, bits, k) for p, k in zip(packed, n.tolist())]) if packed else np.zeros(0, np.uint64)
+    return ids, np.concatenate([[0], np.cumsum(n)])
 
 
 def _terms(ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,6 +213,7 @@ class Index:
         self.row = np.full(len(self.terms), -1)
         self.row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.n))
+        self.held = np.empty((max(1, HELD // max(1, 8 * self.n)), self.n))
         row = self.row[self.slot]
         self.dense[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
 
@@ -214,16 +221,35 @@ class Index:
         """BM25 of every document for all distinct terms of the seed."""
         slot = self.slot[self.at[seed] : self.at[seed + 1]]
         row = self.row[slot]
-        score = self.dense[row[row >= 0]].sum(0)
+        rows = row[row >= 0]
+        score = np.zeros(self.n)
+        for i in range(0, len(rows), len(self.held)):  # through one buffer, which stays in the cache
+            part = rows[i : i + len(self.held)]
+            score += np.take(self.dense, part, axis=0, out=self.held[: len(part)], mode="clip").sum(0)
         parts = [slice(int(self.first[s]), int(self.first[s + 1])) for s in slot[row < 0].tolist()]
         if parts:
             score += np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
         return score
 
-    def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents, best first; those without a common term last."""
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents, best first; those without a common term last. Ordered as
+        far as they are asked for."""
         left = np.flatnonzero(unused)
-        return left[np.argsort(-self.scores(seed)[left], kind="stable")]
+        cost = -self.scores(seed)[left]
+        done = 0
+        while done < len(left):
+            k = 64 if not done else len(left)
+            if done + k < len(left):
+                bound = np.partition(cost, k)[k]
+                best = np.flatnonzero(cost < bound)
+                best = best[np.argsort(cost[best], kind="stable")]
+            else:
+                best = np.argsort(cost, kind="stable")[done:]
+            yield from left[best].tolist()
+            done += len(best)
+            if not len(best):  # more ties than that
+                yield from left[np.argsort(cost, kind="stable")].tolist()
+                return
 
 
 def plan(ids: np.ndarray, off: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -233,14 +259,12 @@ def plan(ids: np.ndarray, off: np.ndarray, index: Index, window: int = WINDOW) -
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence, at, nxt = 0, 0, 0
     seed, done = -1, 0  # the document being placed and how much of it is
-    queue: np.ndarray = np.zeros(0, np.int64)
-    q = 0
+    queue: Iterator[int] = iter(())
     while True:
         if seed < 0:
-            while q < len(queue) and not unused[queue[q]]:
-                q += 1
-            if at and q < len(queue):
-                seed, q = int(queue[q]), q + 1
+            found = next((x for x in queue if unused[x]), -1) if at else -1
+            if found >= 0:
+                seed = found
             else:
                 while nxt < len(size) and not unused[nxt]:
                     nxt += 1
@@ -249,7 +273,7 @@ def plan(ids: np.ndarray, off: np.ndarray, index: Index, window: int = WINDOW) -
                 seed = nxt
             unused[seed], done = False, 0
         if not at:  # it opens the window
-            queue, q = (index.ranked(seed, unused), 0) if int(size[seed]) - done < window else (queue[:0], 0)
+            queue = index.ranked(seed, unused) if int(size[seed]) - done < window else iter(())
         take = min(int(size[seed]) - done, window - at)
         pieces.append((seed, done, take, sequence, at))
         done += take

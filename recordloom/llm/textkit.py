@@ -168,7 +168,8 @@ def _family(seed: int) -> tuple[np.ndarray, _Powers, np.ndarray]:
     return values, _Powers(int(odd[0])), odd[1:]
 
 
-_STEP = 1 << 19
+#: Bytes hashed at a time: what is computed of them fits the processor's cache.
+_STEP = 1 << 15
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -257,6 +258,8 @@ def pack_bits(v: np.ndarray, width: int) -> bytes:
     """Each of ``v`` in ``width`` bits, most significant first."""
     if not width or not len(v):
         return b""
+    if width in (8, 16, 32):
+        return v.astype(f">u{width // 8}").tobytes()
     if width % 8 == 0:
         wide = v.astype(">u8").view(np.uint8).reshape(-1, 8)
         return np.ascontiguousarray(wide[:, 8 - width // 8 :]).tobytes()
@@ -270,6 +273,8 @@ def pack_bits(v: np.ndarray, width: int) -> bytes:
 def unpack_bits(blob: bytes, width: int, n: int) -> np.ndarray:
     if not width or not n:
         return np.zeros(n, np.uint64)
+    if width in (8, 16, 32):
+        return np.frombuffer(blob, f">u{width // 8}", n).astype(np.uint64)
     if width % 8 == 0:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, 8 - width // 8 :] = np.frombuffer(blob, np.uint8, n * width // 8).reshape(n, -1)
