@@ -69,8 +69,12 @@ class Codec(Protocol):
         """The answer to each entry where all entries of its key have come together."""
         ...
 
-    def back(self, merged: Entries, answer: np.ndarray, own: Entries) -> np.ndarray:
-        """The answers to ``own``, one of the parts of ``merged``."""
+    def ready(self, merged: Entries, answer: np.ndarray) -> Entries:
+        """What ``back`` needs of merged entries and their answers."""
+        ...
+
+    def back(self, ready: Entries, own: Entries) -> np.ndarray:
+        """The answers to ``own``, one of the parts that were merged."""
         ...
 
     def pack(self, answer: np.ndarray) -> bytes: ...
@@ -108,8 +112,11 @@ class Count:
     def final(self, e: Entries) -> np.ndarray:
         return e[1]
 
-    def back(self, merged: Entries, answer: np.ndarray, own: Entries) -> np.ndarray:
-        return answer[np.searchsorted(merged[0], own[0])]
+    def ready(self, merged: Entries, answer: np.ndarray) -> Entries:
+        return merged[0], answer
+
+    def back(self, ready: Entries, own: Entries) -> np.ndarray:
+        return ready[1][np.searchsorted(ready[0], own[0])]
 
     def pack(self, answer: np.ndarray) -> bytes:
         return answer.astype("<i4").tobytes()
@@ -140,8 +147,8 @@ def _final(codec: Codec) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         parts = [codec.decode(b, n) for b, n in zip(t.column("body").to_pylist(), t.column("n").to_pylist())]
         merged = codec.merge(parts)
-        answer = codec.final(merged)
-        return pa.table({"unit": t.column("unit"), "shard": t.column("shard"), "bits": pa.array([codec.pack(codec.back(merged, answer, p)) for p in parts], pa.binary())})
+        ready = codec.ready(merged, codec.final(merged))
+        return pa.table({"unit": t.column("unit"), "shard": t.column("shard"), "bits": pa.array([codec.pack(codec.back(ready, p)) for p in parts], pa.binary())})
 
     return run
 
@@ -191,9 +198,9 @@ def resolve(sent: DataFrame, codec: Codec, width: int, done: int, cut: int, fan:
 
     def back(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, parts, e in _merged(codec, rows):
-            answer = collected(codec, e, shift, row["answers"])
+            ready = codec.ready(e, collected(codec, e, shift, row["answers"]))
             own = int(row["unit"].partition("-")[0])
-            bits = [codec.pack(codec.back(e, answer, p)) for p in parts]
+            bits = [codec.pack(codec.back(ready, p)) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(row["units"], pa.string()), pa.array([own] * len(parts), pa.int64()), pa.array(bits, pa.binary())], ["unit", "shard", "bits"])
 
     answers = by_unit(resolve(batches.mapInArrow(send, SENT), codec, width, done, cut, fan))

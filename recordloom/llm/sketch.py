@@ -88,8 +88,12 @@ class Sketch(X.Flags):
     def final(self, e: X.Entries) -> np.ndarray:
         return e[1]
 
-    def back(self, merged: X.Entries, answer: np.ndarray, own: X.Entries) -> np.ndarray:
-        return within(merged[0][answer], own[0])
+    def ready(self, merged: X.Entries, answer: np.ndarray) -> X.Entries:
+        return (merged[0][answer],)
+
+    def back(self, ready: X.Entries, own: X.Entries) -> np.ndarray:
+        hot = ready[0]
+        return hot[np.minimum(np.searchsorted(hot, own[0]), len(hot) - 1)] == own[0] if len(hot) else np.zeros(len(own[0]), bool)
 
 
 _SIEVE = U64((1 << 22) - 1)

@@ -81,11 +81,15 @@ class Least(X.Flags):
     def final(self, e: X.Entries) -> np.ndarray:
         return np.zeros(len(e[0]), bool)
 
-    def back(self, merged: X.Entries, answer: np.ndarray, own: X.Entries) -> np.ndarray:
-        at = np.searchsorted(merged[0], own[0])
-        while (wrong := merged[1][at] != own[1]).any():  # two windows of one first hash
+    def ready(self, merged: X.Entries, answer: np.ndarray) -> X.Entries:
+        return *merged, answer
+
+    def back(self, ready: X.Entries, own: X.Entries) -> np.ndarray:
+        h, g, doc, answer = ready
+        at = np.searchsorted(h, own[0])
+        while (wrong := g[at] != own[1]).any():  # two windows of one first hash
             at[wrong] += 1
-        return (merged[2][at] < own[2]) | answer[at]
+        return (doc[at] < own[2]) | answer[at]
 
 
 def least_of(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[X.Entries, np.ndarray]:

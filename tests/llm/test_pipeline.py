@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
-    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model = quality.fit(quality.measure(docs), spark.read.parquet(f"{SF}/labels.parquet"))
     before = {r["doc_id"]: r for r in docs.collect()}
     for (name, stage), kind in zip(corpus_pipeline.STAGES, ("quality", "near", "substring", "secrets", "packing")):
         docs = textkit.written(stage(spark, docs, SF), "stage")
@@ -74,3 +74,24 @@ def test_near_duplicates_of_repeated_ids(spark, tmp_path):
     assert kept.columns == docs.columns
     want = [(1, a), (2, b), (3, c), (5, "alone in this table"), (6, None), (8, "twice " * 3 + b[::-1]), (None, a)]
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in want)
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    """Every stage takes them, and all but the last give back the columns they got."""
+    words = [f"plain{k} words{k % 97} here{k % 13}" for k in range(400)]
+    long = " ".join(words * 3 + [f"only{k}" for k in range(40_000)])
+    base = " ".join(words[:40])
+    rows = [(1, base), (1, base), (2, None), (None, base + " other end"), (None, None), (3, long), (4, ""), (5, " ".join(words[50:90]) + " password = abcdefghijklmnop"), (6, base.upper())]
+    table = [(i, t, "en", None, 7, "mine", 1, "k", 0) for i, t in rows]
+    at = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept int, text_key string, shard int").repartition(3).write.parquet(at)
+    spark.createDataFrame([(k, 1, 0) for k in range(1, 7)] + [(None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(at)
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = textkit.written(stage(spark, docs, str(tmp_path)), f"stage-{k}")
+        assert docs.columns == columns and docs.where("n_words <> 'mine' or kept <> 1 or shard <> 0").isEmpty()
+    left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted((i or 0) for i, _ in left) == [0, 1, 3, 5] and "[SECRET]" in dict(left)[5]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == {i for i, _ in left}
