@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BudgetTooSmall, InvalidArgument
@@ -27,14 +28,18 @@ def attribute_types(records: DataFrame) -> DataFrame:
     return records.select(F.explode("attrs").alias("a")).select("a.name", "a.tag").distinct()
 
 
+def schema_of(pairs: Iterable[tuple[str, int]], contents: Iterable[str], superset: bool = False) -> Schema:
+    found: dict[str, list[int]] = {}
+    for name, tag in pairs:
+        found.setdefault(name, []).append(tag)
+    attributes = tuple((n, tuple(NAMES[t] for t in sorted(found[n]))) for n in sorted(found, key=str.encode))
+    return Schema(attributes, tuple(sorted(contents, key=str.encode)), superset)
+
+
 def discover(records: DataFrame, superset: bool = False) -> Schema:
     """Collects names and types only: as many rows as there are columns."""
-    found: dict[str, list[int]] = {}
-    for r in attribute_types(records).collect():
-        found.setdefault(r["name"], []).append(r["tag"])
     names = records.select(F.explode("contents").alias("c")).select(F.col("c.name").alias("name")).distinct().collect()
-    attributes = tuple((n, tuple(NAMES[t] for t in sorted(found[n]))) for n in sorted(found, key=str.encode))
-    return Schema(attributes, tuple(sorted((r["name"] for r in names), key=str.encode)), superset)
+    return schema_of(((r["name"], r["tag"]) for r in attribute_types(records).collect()), (r["name"] for r in names), superset)
 
 
 def duplicate_occurrences(records: DataFrame) -> DataFrame:
@@ -99,8 +104,23 @@ def zones(records: DataFrame) -> DataFrame:
     """Least and greatest value per numeric (name, tag), and whether NaN spoils them:
     floats as least_f and greatest_f, the whole-number types, exactly, as least_n and
     greatest_n (decimal)."""
-    a = records.select(F.explode("attrs").alias("a")).where(F.col("a.tag").isin(1, 2, 3, 4, 6))
-    whole = F.coalesce(*(F.col(f"a.{c}").cast("decimal(20,0)") for c in ("i", "u", "ts_ns")), F.col("a.b").cast("int").cast("decimal(20,0)"))
-    real = F.when(~F.isnan("a.f"), F.col("a.f"))
-    spoilt = F.max(F.isnan(F.coalesce("a.f", F.lit(0.0)))).alias("poisoned")
-    return a.groupBy("a.name", "a.tag").agg(F.min(whole).alias("least_n"), F.max(whole).alias("greatest_n"), F.min(real).alias("least_f"), F.max(real).alias("greatest_f"), spoilt)
+    return zones_by(records.select(F.explode(zone_entries()).alias("z")).where(F.col("z.tag").isin(1, 2, 3, 4, 6)))
+
+
+def zone_entries(attrs: str = "attrs") -> Column:
+    """Of each attribute: name, tag, and its value where its type has an order, as a
+    whole number or a float."""
+
+    def entry(a: Column) -> Column:
+        whole = F.coalesce(*(a[c].cast("decimal(20,0)") for c in ("i", "u", "ts_ns")), a["b"].cast("int").cast("decimal(20,0)"))
+        return F.struct(a["name"].alias("name"), a["tag"].cast("int").alias("tag"), whole.alias("n"), a["f"].alias("f"))
+
+    return F.transform(attrs, entry)
+
+
+def zones_by(entries: DataFrame, *keys: str) -> DataFrame:
+    """Zones of ``entries`` (keys, z), by keys and (name, tag)."""
+    real = F.when(~F.isnan("z.f"), F.col("z.f"))
+    bounds = [F.min("z.n").alias("least_n"), F.max("z.n").alias("greatest_n"), F.min(real).alias("least_f"), F.max(real).alias("greatest_f")]
+    spoilt = F.max(F.isnan(F.coalesce("z.f", F.lit(0.0)))).alias("poisoned")
+    return entries.groupBy(*keys, F.col("z.name").alias("name"), F.col("z.tag").alias("tag")).agg(*bounds, spoilt)

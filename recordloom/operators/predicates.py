@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..types import SLOT, Value
+from ..types import SLOT, Value, bits_of
 
 OPS = ("eq", "lt", "gt", "ne", "gte", "lte")
 
@@ -35,6 +35,15 @@ def literal(value: Value) -> Column:
     return F.lit(value.raw)
 
 
+def _same_bits(x: Column, v: Value) -> Column:
+    """Whether a float, NaN being canonical, has the bits of ``v``."""
+    if v.nan:
+        return F.isnan(x) & F.lit(v.raw == bits_of(float("nan")))
+    if v.python == 0:
+        return (x == 0) & ((x.cast("string") == "-0.0") == F.lit(v.raw != 0))
+    return ~F.isnan(x) & (x == F.lit(v.python))
+
+
 def first_occurrence(name: str, tag: int, attrs: Column | None = None) -> Column:
     """The first attribute of a name and type, null without one."""
     attrs = F.col("attrs") if attrs is None else attrs
@@ -65,7 +74,8 @@ class Attr:
         if v.tag == 7:
             test = got.isNotNull() if self.op == "eq" else F.lit(False)
         elif v.tag == 2 and self.op in ("eq", "ne"):
-            test = _compare(self.op, got["fbits"], F.lit(v.raw))
+            same = F.when(got["fbits"].isNotNull(), got["fbits"] == F.lit(v.raw)).when(got["f"].isNotNull(), _same_bits(got["f"], v))
+            test = same if self.op == "eq" else ~same
         elif v.tag == 2:
             x = got["f"]
             test = F.lit(False) if v.nan else ~F.isnan(x) & _compare(self.op, x, F.lit(v.python))
@@ -103,6 +113,28 @@ class ContentExists:
         return _packed(b"\3", str(self.present), self.name.encode())
 
 
+def zone(p: Id | Attr | AttrExists | ContentExists) -> Column | None:
+    """Of a file's statistics (column zones): whether any of its rows can satisfy
+    ``p``; None where zones say nothing. An attribute no row has satisfies nothing,
+    and a NaN neither equals nor orders, but by its bits."""
+    if not isinstance(p, Attr):
+        return None
+    t, v = p.value.tag, p.value
+    if t in (0, 5, 7):
+        return F.exists("zones", lambda z: (z["name"] == p.name) & (z["tag"] == t))
+    kind = "f" if t == 2 else "n"
+    if t == 2 and (v.nan or p.op in ("eq", "ne")):
+        return F.exists("zones", lambda z: (z["name"] == p.name) & (z["tag"] == t))
+    x = F.lit(v.python) if t == 2 else F.lit(str(int(v.raw))).cast("decimal(20,0)")
+
+    def holds(z: Column) -> Column:
+        low, high = z[f"least_{kind}"], z[f"greatest_{kind}"]
+        test = {"eq": (low <= x) & (x <= high), "lt": low < x, "lte": low <= x, "gt": high > x, "gte": high >= x, "ne": (low != x) | (high != x)}[p.op]
+        return (z["name"] == p.name) & (z["tag"] == t) & F.coalesce(test, F.lit(False))
+
+    return F.exists("zones", holds)
+
+
 Predicate = Id | Attr | AttrExists | ContentExists
 
 

@@ -1,8 +1,9 @@
 """Structured scan: live records in id order, page by page, within work budgets.
 
-Budgets decide where a page ends, so they are running sums in id order over a
-prefix of ids that the budgets themselves bound (at most ``max_resolution_entries``
-+ 1 groups); nothing else is ordered globally. A page is all or nothing.
+Budgets decide where a page ends, so they are running sums in id order. A page first
+looks at a prefix of ids that is likely to be enough, by the store's marks, and at a
+larger one only if it wasn't, so its work follows its budgets and not the store. A
+page is all or nothing.
 """
 
 from __future__ import annotations
@@ -128,71 +129,125 @@ class ScanExplanation:
     memtable_entries_in_bounds: int
 
 
-def _bounds(request: ScanRequest, versions: DataFrame) -> DataFrame:
-    last = decode_cursor(request)
-    out = resolve.bounded(versions, request.start, request.end)
-    if last is not None:
-        out = out.where(F.col("id") < last) if request.reverse else out.where(F.col("id") > last)
-    return out
+class Table:
+    """Versions as a plain table, for a scan: every prefix is the whole."""
 
+    def __init__(self, versions: DataFrame):
+        self.versions, self.spark = versions, versions.sparkSession
 
-def explain(versions: DataFrame, request: ScanRequest, parts: int) -> ScanExplanation:
-    """What a scan would consider; resolves nothing and tests no predicate.
-    ``versions`` has a column part, -1 for staged rows."""
+    def _view(self, start: str | None, end: str | None, tests: tuple = ()) -> DataFrame:
+        return resolve.bounded(self.versions, start, end)
+
+    def mark(self, start: str | None, end: str | None, reverse: bool, rows: int) -> str | None:
+        return None
+
+
+def _ends(request: ScanRequest) -> tuple[str | None, str | None]:
+    """Ids [start, end) that a page may return: bounds, id predicates and the cursor."""
+    last = decode_cursor(request)
+    start, end = request.start, request.end
+
+    def above(x: str) -> None:
+        nonlocal start
+        start = x if start is None or x.encode() > start.encode() else start
+
+    def below(x: str) -> None:
+        nonlocal end
+        end = x if end is None or x.encode() < end.encode() else end
+
+    for p in request.predicates:
+        if isinstance(p, predicates.Id):
+            if p.op in ("eq", "gte", "gt"):
+                above(p.value + "\0" * (p.op == "gt"))
+            if p.op in ("eq", "lte", "lt"):
+                below(p.value + "\0" * (p.op != "lt"))
+    if last is not None and request.reverse:
+        below(last)
+    elif last is not None:
+        above(last + "\0")  # the least string after it
+    return start, end
+
+
+def explain(source: Any, request: ScanRequest, parts: int) -> ScanExplanation:
+    """What a scan would consider; resolves nothing and tests no predicate. ``source``
+    is a snapshot, or versions with a column part, -1 for staged rows."""
     request.validate()
-    counts = {r["part"]: r["rows_in_bounds"] for r in resolve.scope(_bounds(request, versions)).collect()}
+    source = Table(source) if isinstance(source, DataFrame) else source
+    start, end = request.start, request.end
+    last = decode_cursor(request)
+    if last is not None:
+        start, end = (start, last) if request.reverse else (last + "\0", end)
+    counts = {r["part"]: r["rows_in_bounds"] for r in resolve.scope(source._view(start, end)).collect()}
     staged = counts.pop(-1, 0)
     limits = {k: getattr(request, k) for k in ("limit", "max_examined", "max_resolution_entries", "max_reconstructed_bytes")}
     return ScanExplanation(request.start, request.end, request.reverse, limits, len(request.predicates), request.attrs, request.contents, parts, len(counts), sum(counts.values()), staged)
 
 
-def scan(versions: DataFrame, fold: DataFrame | None, request: ScanRequest, erased: DataFrame | None = None) -> ScanPage:
-    """One page of live records matching all predicates."""
+def scan(source: Any, fold: DataFrame | None, request: ScanRequest, erased: DataFrame | None = None) -> ScanPage:
+    """One page of live records matching all predicates. ``source`` is a snapshot, or
+    a table of versions."""
     began = time.monotonic_ns()
     request.validate()
     control = request.control or Control()
     control.check("scan")
+    source = Table(source) if isinstance(source, DataFrame) else source
+    start, end = _ends(request)
+    rows = 4 * min(request.limit, request.max_examined, request.max_resolution_entries) + 1024
+    page = None
+    with control.watching(source.spark):
+        while page is None:
+            bound = source.mark(start, end, request.reverse, rows)
+            first, last = (bound + "\0", end) if bound is not None and request.reverse else (start, end if bound is None else bound)
+            page = _page(source._view(first, last, request.predicates), fold, request, erased, control, bound is not None)
+            rows *= 16
+    page.stats.duration_ns = time.monotonic_ns() - began
+    control.check("scan")
+    return page
+
+
+def _page(inside: DataFrame, fold: DataFrame | None, request: ScanRequest, erased: DataFrame | None, control: Control, cut: bool) -> ScanPage | None:
+    """A page from the versions ``inside``; None if they are ``cut`` and don't decide
+    where it ends."""
     way = (lambda c: F.desc(c)) if request.reverse else (lambda c: F.asc(c))
-    inside = _bounds(request, versions)
-    with control.watching(versions.sparkSession):
-        groups = inside.groupBy("id").agg(F.count("*").alias("n"), F.max_by("tomb", "seq").alias("dead"))
-        groups = groups.orderBy(way("id")).limit(request.max_resolution_entries + 1)
-        w = Window.orderBy(way("id")).rowsBetween(Window.unboundedPreceding, 0)
-        groups = groups.select("id", "n", "dead", F.sum("n").over(w).alias("rows"), F.sum((~F.col("dead")).cast("long")).over(w).alias("alive"), F.row_number().over(Window.orderBy(way("id"))).alias("rank"))
-        allowed = groups.where((F.col("rows") <= request.max_resolution_entries) | (F.col("rank") == 1))
-        reached = allowed.where(F.col("alive") <= request.max_examined)
-        edge = reached.agg(F.max_by("id", "rank").alias("last"), F.max("rank").alias("rank")).first()
-        if edge["last"] is None:
-            return ScanPage([], None, ScanStats(duration_ns=time.monotonic_ns() - began))
-        window = inside.where(F.col("id") >= edge["last"] if request.reverse else F.col("id") <= edge["last"])
-        alive = resolve.live(window)
-        hits = alive.where(predicates.conjunction(list(request.predicates)))
-        wanted = [n for n, how in request.contents if how == "bytes"]
-        size = F.aggregate(F.filter("contents", lambda c: c["name"].isin(wanted)), F.lit(0).cast("long"), lambda a, c: a + c["len"]) if wanted else F.lit(0).cast("long")
-        rows = hits.withColumn("__bytes", size).orderBy(way("id")).limit(request.limit).collect()
-        control.check("scan")
-        taken, total, crossed = [], 0, False
-        for r in rows:
-            if taken and total + r["__bytes"] > request.max_reconstructed_bytes:
-                crossed = True
-                break
-            taken.append(r)
-            total += r["__bytes"]
-        full = len(taken) == request.limit or crossed
-        last = taken[-1]["id"] if full else edge["last"]
-        beyond = inside.where(F.col("id") < last if request.reverse else F.col("id") > last)
-        more = not beyond.isEmpty()
-        done = groups.where(F.col("id") >= last if request.reverse else F.col("id") <= last)
-        work = done.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("dead").cast("long")), F.lit(0)).alias("dead"), F.count("*").alias("ids")).first()
-        cut = allowed.agg(F.max("rank")).first()[0] == edge["rank"] and more and not full
-        bodies: dict[tuple[str, str], bytes] = {}
-        if wanted and taken:
-            if fold is None:
-                raise InvalidArgument("this source has no content")
-            bodies = _bodies(window, [r["id"] for r in taken], wanted, fold, erased)
+    groups = inside.groupBy("id").agg(F.count("*").alias("n"), F.max_by("tomb", "seq").alias("dead"))
+    groups = groups.orderBy(way("id")).limit(request.max_resolution_entries + 1)
+    w = Window.orderBy(way("id")).rowsBetween(Window.unboundedPreceding, 0)  # over a prefix
+    groups = groups.select("id", "n", "dead", F.sum("n").over(w).alias("rows"), F.sum((~F.col("dead")).cast("long")).over(w).alias("alive"), F.row_number().over(Window.orderBy(way("id"))).alias("rank"))
+    allowed = (F.col("rows") <= request.max_resolution_entries) | (F.col("rank") == 1)
+    reached = allowed & (F.col("alive") <= request.max_examined)
+    edge = groups.agg(F.max_by("id", F.when(reached, F.col("rank"))).alias("last"), F.max(F.when(reached, F.col("rank"))).alias("rank"), F.max(F.when(allowed, F.col("rank"))).alias("allowed"), F.count("*").alias("ids")).first()
+    if edge["rank"] is None:
+        return None if cut else ScanPage([], None, ScanStats())
+    beyond_edge = lambda last: F.col("id") < last if request.reverse else F.col("id") > last
+    window = inside.where(~beyond_edge(edge["last"]))
+    hits = resolve.live(window).where(predicates.conjunction(list(request.predicates)))
+    wanted = [n for n, how in request.contents if how == "bytes"]
+    size = F.aggregate(F.filter("contents", lambda c: c["name"].isin(wanted)), F.lit(0).cast("long"), lambda a, c: a + c["len"]) if wanted else F.lit(0).cast("long")
+    rows = hits.withColumn("__bytes", size).orderBy(way("id")).limit(request.limit).collect()
+    control.check("scan")
+    taken, total, crossed = [], 0, False
+    for r in rows:
+        if taken and total + r["__bytes"] > request.max_reconstructed_bytes:
+            crossed = True
+            break
+        taken.append(r)
+        total += r["__bytes"]
+    full = len(taken) == request.limit or crossed
+    if cut and not full and edge["rank"] == edge["ids"]:
+        return None  # neither the limit nor a budget was met
+    last = taken[-1]["id"] if full else edge["last"]
+    work = groups.agg(
+        *(F.coalesce(F.sum(F.when(~beyond_edge(last), x)), F.lit(0)).alias(name) for name, x in (("rows", F.col("n")), ("dead", F.col("dead").cast("long")), ("ids", F.lit(1)))),
+        F.count_if(beyond_edge(last)).alias("beyond"),
+    ).first()
+    more = cut or work["beyond"] > 0
+    bodies: dict[tuple[str, str], bytes] = {}
+    if wanted and taken:
+        if fold is None:
+            raise InvalidArgument("this source has no content")
+        bodies = _bodies(window, [r["id"] for r in taken], wanted, fold, erased)
     page = [_record(r, request, bodies) for r in taken]
     stats = ScanStats(
-        duration_ns=time.monotonic_ns() - began,
         examined=work["ids"] - work["dead"],
         returned=len(page),
         duplicate_attr_occurrences=sum(len(r.attrs) - len({(n, v.tag) for n, v in r.attrs}) for r in page),
@@ -202,9 +257,8 @@ def scan(versions: DataFrame, fold: DataFrame | None, request: ScanRequest, eras
         physical_rows=work["rows"],
         superseded_rows=work["rows"] - work["ids"],
         tombstones=work["dead"],
-        resolution_budget_exhausted=bool(cut),
+        resolution_budget_exhausted=bool(edge["allowed"] == edge["rank"] and more and not full),
     )
-    control.check("scan")
     return ScanPage(page, encode_cursor(request, last) if more else None, stats)
 
 
@@ -235,10 +289,10 @@ def _record(r: Any, request: ScanRequest, bodies: dict[tuple[str, str], bytes])
     return Record(r["id"], attrs, contents)
 
 
-def pages(versions: DataFrame, fold: DataFrame | None, request: ScanRequest, erased: DataFrame | None = None):
+def pages(source: Any, fold: DataFrame | None, request: ScanRequest, erased: DataFrame | None = None):
     """All pages; an empty page with a cursor is legal progress."""
     while True:
-        page = scan(versions, fold, request, erased)
+        page = scan(source, fold, request, erased)
         yield page
         if page.next is None:
             return

@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import scratch
 from . import types as RT
 from .functions import dialect
 from .operators import content, introspect, predicates, resolve
@@ -73,11 +72,6 @@ def predicate_after_visibility(spark, d):
     return resolve.live(_versions(spark, d), "user_id", "event_id").where("event_type = 'click'").select("user_id", "event_id")
 
 
-@query("SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id < 5000 GROUP BY 1")
-def snapshot_at_commit(spark, d):
-    return resolve.newest(_t(spark, d, "events").where("event_id < 5000"), "user_id", "event_id").select("user_id", "event_id")
-
-
 @query(f"SELECT user_id AS id, event_type FROM ({_NEWEST}) WHERE rn = 1")
 def overlay_read_your_writes(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type")
@@ -87,12 +81,6 @@ def overlay_read_your_writes(spark, d):
     return resolve.newest(both).select("id", "event_type")
 
 
-@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS rows_in_bounds FROM events WHERE user_id >= 10 AND user_id < 60 GROUP BY 1")
-def explain_scope(spark, d):
-    e = _t(spark, d, "events").where("user_id >= 10 and user_id < 60").withColumn("part", F.to_date("ts").cast("string"))
-    return resolve.scope(e).withColumnRenamed("part", "day")
-
-
 # scans and paging
 
 
@@ -103,16 +91,6 @@ def _orders(spark, d):
 _OID = "printf('%012d', o_orderkey)"
 
 
-@query(f"SELECT {_OID} AS id, o_orderstatus FROM orders ORDER BY id LIMIT 100")
-def scan_forward(spark, d):
-    return _orders(spark, d).orderBy("id").limit(100).select("id", "o_orderstatus")
-
-
-@query(f"SELECT {_OID} AS id, o_orderstatus FROM orders WHERE {_OID} >= '000000000100' AND {_OID} < '000000009000' ORDER BY id DESC LIMIT 100")
-def scan_reverse(spark, d):
-    return resolve.bounded(_orders(spark, d), "000000000100", "000000009000").orderBy(F.desc("id")).limit(100).select("id", "o_orderstatus")
-
-
 @query("SELECT printf('conv/%08d/%04d', conv_id, turn) AS id, role FROM conversations WHERE printf('conv/%08d/%04d', conv_id, turn) LIKE 'conv/0000001%'")
 def scan_prefix(spark, d):
     c = _t(spark, d, "conversations").withColumn("id", F.format_string("conv/%08d/%04d", "conv_id", "turn"))
@@ -121,27 +99,6 @@ def scan_prefix(spark, d):
     return resolve.bounded(c, "conv/0000001", prefix_upper_bound("conv/0000001")).select("id", "role")
 
 
-@query(f"SELECT {_OID} AS id FROM orders WHERE {_OID} > (SELECT max(id) FROM (SELECT {_OID} AS id FROM orders ORDER BY id LIMIT 50)) ORDER BY id LIMIT 50")
-def page_second(spark, d):
-    o = _orders(spark, d).select("id")
-    last = o.orderBy("id").limit(50).agg(F.max("id").alias("last"))
-    return o.join(F.broadcast(last), F.col("id") > F.col("last")).select("id").orderBy("id").limit(50)
-
-
-@query("""SELECT id FROM (SELECT user_id AS id, sum(count(*)) OVER (ORDER BY user_id) AS run, row_number() OVER (ORDER BY user_id) AS k FROM events GROUP BY user_id) WHERE run <= 2000 OR k = 1""")
-def page_resolution_budget(spark, d):
-    g = _t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n")).orderBy("id").limit(2001)
-    w = Window.orderBy("id")
-    return g.select("id", F.sum("n").over(w).alias("run"), F.row_number().over(w).alias("k")).where("run <= 2000 or k = 1").select("id")
-
-
-@query("""SELECT doc_id FROM (SELECT doc_id, sum(octet_length(encode(text))) OVER (ORDER BY doc_id) AS run, row_number() OVER (ORDER BY doc_id) AS k FROM documents) WHERE (run <= 100000 OR k = 1) AND k <= 10000""")
-def page_byte_budget(spark, d):
-    w = Window.orderBy("doc_id")
-    page = _t(spark, d, "documents").select("doc_id", F.octet_length("text").alias("len")).orderBy("doc_id").limit(10_000)
-    return page.select("doc_id", F.sum("len").over(w).alias("run"), F.row_number().over(w).alias("k")).where("run <= 100000 or k = 1").select("doc_id")
-
-
 # predicates
 
 
@@ -170,10 +127,12 @@ def pred_conjunction(spark, d):
     return _order_records(spark, d).where(predicates.conjunction(p)).select("id")
 
 
-@query(f"SELECT {_OID} AS id FROM orders WHERE false")
+@query("SELECT 'float' AS literal, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'int', count(*) FROM orders WHERE o_custkey >= 5 UNION ALL SELECT 'uint', 0")
 def pred_no_coercion(spark, d):
-    """An integer attribute never matches a float literal, whatever its value."""
-    return _order_records(spark, d).where(predicates.Attr("o_custkey", "gte", Value.float(0.0)).column()).select("id")
+    """An integer attribute never matches a literal of another type, whatever its value."""
+    o = _order_records(spark, d)
+    literals = {"float": Value.float(5.0), "int": Value.int(5), "uint": Value.uint(5)}
+    return o.select(*(F.count_if(predicates.Attr("o_custkey", "gte", v).column()).alias(k) for k, v in literals.items())).unpivot([], list(literals), "literal", "n")
 
 
 @query("SELECT doc_id AS id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -347,102 +306,70 @@ def piece_anti_join(spark, d):
     return content.novel(made(docs), made(docs.where("doc_id % 2 = 0"))).select(F.lower(F.hex("piece")).alias("piece"))
 
 
-@query("SELECT DISTINCT sha256(text) AS piece FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
-def piece_semi_join(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("piece"))
-    return docs.join(docs.where("doc_id % 3 = 0").select("piece"), "piece", "left_semi").select("piece").distinct()
-
-
 # maintenance
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE CAST(ts AS DATE) >= (SELECT min(CAST(ts AS DATE)) FROM events) + 1 AND CAST(ts AS DATE) <= (SELECT min(CAST(ts AS DATE)) FROM events) + 3) WHERE rn = 1")
-def compact_merge(spark, d):
-    """A run of parts (days 1 to 3): superseded versions go, tombstones stay."""
-    e = _versions(spark, d).withColumn("day", F.to_date("ts"))
-    first = F.broadcast(e.agg(F.min("day").alias("first")))
-    run = e.join(first, how="cross").where("day >= date_add(first, 1) and day <= date_add(first, 3)")
-    return resolve.newest(run, "user_id", "event_id").select(*_EVENT)
-
-
-@query(f"SELECT user_id, event_id, event_type FROM ({_NEWEST}) WHERE rn = 1 AND event_type <> 'error'")
-def compact_total(spark, d):
-    return resolve.newest(_versions(spark, d), "user_id", "event_id").where("not tomb").select(*_EVENT)
-
+# importers, SQL
 
-@query()
-def plan_compaction(spark, d):
-    days = _t(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).orderBy("day").collect()
-    plan = introspect.plan_compaction([(r["n"], 64 * r["n"]) for r in days], 4, 1 << 40, 1 << 40)
-    return spark.createDataFrame([plan or (0, 0)], "first int, length int")
-
-
-@query("SELECT count(DISTINCT text) AS live_pieces FROM conversations WHERE conv_id % 3 <> 0")
-def refold_live_pieces(spark, d):
-    c = _t(spark, d, "conversations").withColumn("piece", F.sha2(F.encode("text", "UTF-8"), 256))
-    return c.where("conv_id % 3 <> 0").select("piece").distinct().agg(F.count("*").alias("live_pieces"))
-
-
-@query("""SELECT CAST(sum(CASE WHEN live THEN n END) AS BIGINT) AS live_bytes, CAST(sum(CASE WHEN NOT live THEN n END) AS BIGINT) AS dead_bytes, count(*) FILTER (live) AS live_pieces, count(*) FILTER (NOT live) AS dead_pieces
- FROM (SELECT text, strlen(text) AS n, bool_or(conv_id % 3 <> 0) AS live FROM conversations GROUP BY text)""")
-def liveness(spark, d):
-    c = _t(spark, d, "conversations").select("conv_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("piece"), F.octet_length("text").cast("long").alias("len"))
-    fold = c.groupBy("piece").agg(F.max("len").alias("len"))
-    live = c.where("conv_id % 3 <> 0").select("piece").distinct().withColumn("live", F.lit(True))
-    x = fold.join(live, "piece", "left")
-    return x.agg(
-        F.sum(F.when(F.col("live"), F.col("len"))).alias("live_bytes"),
-        F.sum(F.when(F.col("live").isNull(), F.col("len"))).alias("dead_bytes"),
-        F.count("live").alias("live_pieces"),
-        F.count_if(F.col("live").isNull()).alias("dead_pieces"),
-    )
 
+@query("SELECT printf('span/%032d/%020d/%016d', user_id, epoch_us(ts) * 1000, event_id) AS id FROM events")
+def otel_span_ids(spark, d):
+    e = _t(spark, d, "events")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return e.select(importers.span_id(F.format_string("%032d", "user_id"), start, F.format_string("%016d", "event_id")).alias("id"))
 
-@query(f"SELECT user_id, event_id FROM ({_NEWEST}) WHERE rn = 1 AND event_type <> 'error' AND user_id % 7 <> 0")
-def erase_ids(spark, d):
-    e = _versions(spark, d)
-    gone = e.where("user_id % 7 = 0").select("user_id").distinct()
-    return resolve.live(e.join(gone, "user_id", "left_anti"), "user_id", "event_id").select("user_id", "event_id")
 
+@query("SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bin, CAST(gcd(event_id, 360) AS BIGINT) AS g, CAST(lcm(event_id + 1, 12) AS BIGINT) AS l, CAST(lcm(event_id + 9007199254740993, 2) AS BIGINT) AS large FROM events")
+def dialect_functions(spark, d):
+    e = _t(spark, d, "events")
+    return e.select("event_id", dialect.date_bin(900_000_000, F.col("ts")).cast("timestamp_ntz").alias("bin"), dialect.gcd(F.col("event_id"), F.lit(360)).alias("g"), dialect.lcm(F.col("event_id") + 1, F.lit(12)).alias("l"), dialect.lcm(F.col("event_id") + (1 << 53) + 1, F.lit(2)).alias("large"))
 
-@query("SELECT 0 AS mismatches, count(*) AS checked FROM documents WHERE text IS NOT NULL")
-def verify_hash(spark, d):
-    """Pieces are written with their hashes, and the bytes read again are verified."""
-    b = _t(spark, d, "documents").where("text is not null").select(F.encode("text", "UTF-8").alias("bytes"))
-    p = scratch.written(b.withColumn("piece", content.digest(F.col("bytes"))), "pieces")
-    return p.agg(F.count_if(content.digest(F.col("bytes")) != F.col("piece")).cast("int").alias("mismatches"), F.count("*").alias("checked"))
 
+# functions and aggregates whose names or forms differ
 
-@query("SELECT min(n) AS least, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, max(n) AS most FROM (SELECT count(*) AS n FROM events GROUP BY CAST(ts AS DATE))")
-def part_distribution(spark, d):
-    n = _t(spark, d, "events").groupBy(F.to_date("ts")).agg(F.count("*").alias("n"))
-    return n.selectExpr("min(n) AS least", "cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY n) AS bigint) AS p50", "cast(percentile_disc(0.95) WITHIN GROUP (ORDER BY n) AS bigint) AS p95", "max(n) AS most")
 
+@query("SELECT l_returnflag, list_sort(array_agg(DISTINCT l_linestatus)) AS modes, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS states FROM lineitem GROUP BY 1")
+def agg_arrays(spark, d):
+    g = _t(spark, d, "lineitem").groupBy("l_returnflag")
+    return g.agg(F.sort_array(F.collect_set("l_linestatus")).alias("modes"), F.array_join(F.sort_array(F.collect_set("l_linestatus")), ",").alias("states"))
 
-# importers, SQL
 
+@query("SELECT event_type, true AS close_count, true AS close_median FROM events GROUP BY 1")
+def agg_approximate(spark, d):
+    """Within a tenth of the exact figure, and within two per cent of the exact rank."""
+    g = _t(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("b"), F.percentile_approx("value", 0.5, 1000).alias("m"), F.collect_list("value").alias("v"))
+    rank = F.size(F.filter("v", lambda x: x <= F.col("m"))) / F.size("v")
+    return g.select("event_type", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("close_count"), (F.abs(rank - 0.5) < 0.02).alias("close_median"))
 
-@query("SELECT printf('span/%032d/%020d/%016d', user_id, epoch_us(ts) * 1000, event_id) AS id FROM events")
-def otel_span_ids(spark, d):
-    e = _t(spark, d, "events")
-    start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    return e.select(importers.span_id(F.format_string("%032d", "user_id"), start, F.format_string("%016d", "event_id")).alias("id"))
 
+@query("SELECT doc_id, regexp_extract(source, '([a-z]+)([0-9]+)', 1) AS word, regexp_extract(source, '([a-z]+)([0-9]+)', 2) AS number, regexp_replace(lang, '[aeiou]', '_', 'g') AS masked, regexp_matches(source, '^src1') AS hit FROM documents")
+def functions_regex(spark, d):
+    m = dialect.regexp_match(F.col("source"), "([a-z]+)([0-9]+)")
+    x = _t(spark, d, "documents")
+    return x.select("doc_id", F.coalesce(m[0], F.lit("")).alias("word"), F.coalesce(m[1], F.lit("")).alias("number"), F.regexp_replace("lang", "[aeiou]", "_").alias("masked"), F.regexp_like("source", F.lit("^src1")).alias("hit"))
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 200000.0 AND o_orderstatus = 'O'")
-def sql_params(spark, d):
-    from .plans.sql import guard, rewrite
 
-    _t(spark, d, "orders").createOrReplaceTempView("__orders")
-    text = rewrite("SELECT o_orderkey, o_orderstatus FROM __orders WHERE o_totalprice > $1 AND o_orderstatus = $2", 2)
-    guard(spark, text)
-    return spark.sql(text, args={"p1": 200000.0, "p2": "O"})
+@query("""SELECT c_custkey, list_resize([c_custkey, c_nationkey], 3, -1) AS resized, list_contains([1, 2, 3], c_nationkey) AS has, CAST(list_position([5, 6, 7], c_nationkey) AS INTEGER) AS place,
+ list_sort(list_distinct([c_nationkey, 1, c_nationkey, 3])) AS distinct_sorted, [1, 2, 3, 4][2:3] AS part, len(string_split(c_name, '#')) AS pieces, CAST(list_sum([c_nationkey, 2]) AS BIGINT) AS total FROM customer""")
+def functions_nested(spark, d):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    c = _t(spark, d, "customer")
+    return c.select(
+        "c_custkey",
+        dialect.array_resize(F.array(k.cast("long"), n.cast("long")), 3, F.lit(-1).cast("long")).alias("resized"),
+        F.array_contains(F.array(*map(F.lit, (1, 2, 3))), n.cast("int")).alias("has"),
+        F.nullif(F.array_position(F.array(*map(F.lit, (5, 6, 7))), n.cast("int")), F.lit(0).cast("long")).cast("int").alias("place"),
+        F.sort_array(F.array_distinct(F.array(n.cast("long"), F.lit(1).cast("long"), n.cast("long"), F.lit(3).cast("long")))).alias("distinct_sorted"),
+        F.slice(F.array(*map(F.lit, (1, 2, 3, 4))), 2, 2).alias("part"),
+        F.size(dialect.string_to_array(F.col("c_name"), "#")).cast("long").alias("pieces"),
+        F.aggregate(F.array(n.cast("long"), F.lit(2).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x).alias("total"),
+    )
 
 
-@query("SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bin, CAST(gcd(event_id, 360) AS BIGINT) AS g, CAST(lcm(event_id + 1, 12) AS BIGINT) AS l, CAST(lcm(event_id + 9007199254740993, 2) AS BIGINT) AS large FROM events")
-def dialect_functions(spark, d):
-    e = _t(spark, d, "events")
-    return e.select("event_id", dialect.date_bin(900_000_000, F.col("ts")).cast("timestamp_ntz").alias("bin"), dialect.gcd(F.col("event_id"), F.lit(360)).alias("g"), dialect.lcm(F.col("event_id") + 1, F.lit(12)).alias("l"), dialect.lcm(F.col("event_id") + (1 << 53) + 1, F.lit(2)).alias("large"))
+@query("SELECT o_orderkey, CAST(to_hex(o_orderkey) AS VARCHAR) AS hex, starts_with(o_orderpriority, '1') AS first, CAST(strpos(o_orderpriority, '-') AS INTEGER) AS dash, trunc(o_totalprice) AS whole, isnan(o_totalprice) AS nan, o_totalprice = 0 AS zero FROM orders")
+def dialect_names(spark, d):
+    o = _t(spark, d, "orders")
+    return o.select("o_orderkey", F.upper(dialect.to_hex(F.col("o_orderkey"))).alias("hex"), dialect.starts_with(F.col("o_orderpriority"), F.lit("1")).alias("first"), dialect.strpos(F.col("o_orderpriority"), "-").alias("dash"), dialect.trunc_number(F.col("o_totalprice")).alias("whole"), F.isnan("o_totalprice").alias("nan"), dialect.is_zero(F.col("o_totalprice")).alias("zero"))
 
 
 # inherited SQL, in one dialect
@@ -488,6 +415,13 @@ _PLAIN = {
     "values_case": ("SELECT k, CASE WHEN k > 1 THEN coalesce(v, 'none') ELSE nullif(v, 'a') END AS v FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) t(k, v)", ""),
     "functions_string": ("SELECT doc_id, upper(lang) AS u, length(text) AS n, left(text, 5) AS l, replace(source, 'src', 's') AS r, lpad(lang, 4, '*') AS p, concat_ws('-', lang, source) AS c, md5(text) AS m, reverse(source) AS v, split_part(source, 'c', 2) AS s FROM documents", "documents"),
     "functions_math": ("SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) < 0.02 AS near, CAST(floor(l_quantity) AS BIGINT) AS f, round(sqrt(l_extendedprice), 4) AS s, round(power(l_discount, 2), 8) AS p, CAST(sign(l_tax) AS INT) AS g, l_orderkey % 7 AS m FROM lineitem", "lineitem"),
+    "agg_percentiles": ("SELECT l_returnflag, round(median(l_quantity), 6) AS med, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS q1, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS p90, mode() WITHIN GROUP (ORDER BY l_linestatus) AS m FROM lineitem GROUP BY l_returnflag", "lineitem"),
+    "agg_covariance": ("SELECT p_brand, round(covar_pop(p_size, p_retailprice), 3) AS cp, round(covar_samp(p_size, p_retailprice), 3) AS cs, round(var_pop(p_retailprice), 3) AS vp, round(var_samp(p_size), 6) AS vs, round(regr_intercept(p_retailprice, p_size), 3) AS ri, round(regr_r2(p_retailprice, p_size), 6) AS r2, regr_count(p_retailprice, p_size) AS rc FROM part GROUP BY p_brand", "part"),
+    "agg_first_last": ("SELECT user_id, max_by(event_type, event_id) AS newest, min_by(event_type, event_id) AS oldest, CAST(count_if(value > 50) AS BIGINT) AS big, any_value(user_id) AS u FROM events GROUP BY user_id", "events"),
+    "functions_text": ("SELECT p_partkey, trim(concat('  ', p_brand, ' ')) AS t, ltrim(concat(' ', p_brand)) AS lt, rtrim(concat(p_brand, ' ')) AS rt, substr(p_name, 2, 4) AS s, right(p_name, 3) AS r, repeat('ab', 2) AS rp, translate(p_brand, 'Bd', 'bD') AS tr, ascii(p_brand) AS a, chr(65 + p_size % 26) AS c, rpad(p_brand, 12, '.') AS pd, lower(p_name) AS lo, bit_length(p_brand) AS bl, position('#' IN p_brand) AS ps, levenshtein(p_brand, 'Brand') AS lv FROM part", "part"),
+    "functions_more_math": ("SELECT o_orderkey, round(ln(o_totalprice), 8) AS l, round(log10(o_totalprice), 8) AS l10, round(log2(o_totalprice), 8) AS l2, round(exp(o_custkey / 1000000.0), 8) AS e, round(sin(o_custkey), 8) AS sn, round(atan2(o_custkey, 3), 8) AS at, round(cbrt(o_totalprice), 6) AS cb, CAST(ceil(o_totalprice) AS BIGINT) AS ce, round(radians(o_custkey), 6) AS ra, CAST(factorial(CAST(o_custkey % 10 AS INT)) AS BIGINT) AS f, o_custkey & 12 AS b_and, o_custkey | 3 AS b_or FROM orders", "orders"),
+    "functions_conditional": ("SELECT c_custkey, greatest(c_acctbal, 0) AS g, least(c_nationkey, 7) AS l, nullif(c_mktsegment, 'BUILDING') AS n, coalesce(nullif(c_nationkey, 3), -1) AS c, if(c_acctbal < 0, 'owes', 'has') AS i FROM customer", "customer"),
+    "functions_dates": ("SELECT o_orderkey, last_day(CAST(o_orderdate AS DATE)) AS ld, make_date(2020, CAST(o_orderkey % 12 + 1 AS INT), 1) AS md, CAST(extract(doy FROM o_orderdate) AS INT) AS doy, CAST(extract(week FROM o_orderdate) AS INT) AS w, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS DATE) AS later FROM orders", "orders"),
     "functions_time": ("SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(quarter FROM o_orderdate) AS INT) AS q FROM orders", "orders"),
 }
 
@@ -507,6 +441,12 @@ def _register_plain() -> None:
 _register_plain()
 
 
+from . import stored  # noqa: E402 - it uses the tables above
+
+QUERIES |= stored.QUERIES
+SQL |= stored.SQL
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Live users by the type of their newest event."""
     return resolve_live_by_type(spark, d)

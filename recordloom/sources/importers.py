@@ -142,6 +142,32 @@ def span_record(span: Mapping[str, Any]) -> tuple[str, list[tuple[str, Value]],
     return f"span/{trace}/{start:020d}/{own}", attrs, contents
 
 
+def spans(lines: DataFrame) -> DataFrame:
+    """(id, attrs, contents) of a table of spans as JSON text (column value), for
+    ``Store.ingest``. A span that isn't valid raises."""
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("attrs", T.ArrayType(ATTR)), T.StructField("contents", T.MapType(T.StringType(), T.BinaryType()))])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [span_record(json.loads(x)) for x in b["value"]]
+            yield pd.DataFrame({"id": [i for i, _, _ in found], "attrs": [[v.row(n) for n, v in a] for _, a, _ in found], "contents": [c for _, _, c in found]})
+
+    return lines.select("value").mapInPandas(parse, schema)
+
+
+def calls(lines: DataFrame, prefix: str = "app") -> DataFrame:
+    """(id, attrs, body) of a table of calls as JSON text (column value): up to three
+    records of each."""
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("attrs", T.ArrayType(ATTR)), T.StructField("body", T.BinaryType())])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [r for x in b["value"] for r in call_records(json.loads(x), prefix)]
+            yield pd.DataFrame({"id": [i for i, _, _ in found], "attrs": [[v.row(n) for n, v in a] for _, a, _ in found], "body": [c for _, _, c in found]}, columns=["id", "attrs", "body"])
+
+    return lines.select("value").mapInPandas(parse, schema)
+
+
 def span_id(trace: Any, start_ns: Any, span: Any) -> Any:
     """The id of a span row, as a column expression."""
     return F.concat_ws("/", F.lit("span"), trace, F.format_string("%020d", start_ns), span)

@@ -1,14 +1,20 @@
 """The store: parts of record versions, a fold of pieces, and a chain of commits.
 
-    parts/<lo>-<hi>-<uid>/   Parquet, sorted by id; at most one version of an id
+    parts/<uid>/             Parquet, ids in ranges, sorted; at most one version of an id
+    stats/<uid>/             Parquet, one row a file of the part: ids, digest, zones
     fold/gen=<g>/<uid>/      Parquet, one row a piece
     _commits/<n>.json        what is visible at commit n, and the digest of n - 1
     _lock                    held by the one writer
 
 A commit file is written whole and renamed into place last; whatever no commit names
 is not there. Batches stage in the writer and reach a part at ``flush``; tables of
-any size go in through ``ingest`` without passing the driver. The driver holds file
-lists and staged batches, never table data.
+any size go in through ``ingest`` without passing the driver. The driver holds lists
+of parts and staged batches, never table data; files are digested and copied in
+executors. The folder may be on any file system that Hadoop knows.
+
+Reads take from a part only the files whose ids, or, in a store of one part, whose
+attribute values (zones) can matter, and a page of a scan only as many ids as its
+budgets can use (marks, every MARK-th id).
 """
 
 from __future__ import annotations
@@ -16,29 +22,30 @@ from __future__ import annotations
 import collections
 import hashlib
 import json
-import os
-import shutil
 import time
 import uuid
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from .. import types as RT
 from ..control import Control
 from ..errors import BudgetTooSmall, Cancelled, Contention, Corruption, Erased, InvalidArgument, IoFailure, NotFound, ResourceExhausted, classify
-from ..operators import content, introspect, resolve
+from ..operators import content, introspect, predicates, resolve
 from ..operators import scan as scanning
 from ..operators.content import Carve
 from ..types import Record, Value
+from .files import Files
 
 FORMAT = 1
 RETAINED = 4
 AUTO_COMPACT = 8
+#: Rows of a file between two marks.
+MARK = 4096
 
 
 @dataclass(frozen=True)
@@ -97,6 +104,17 @@ class Part:
     rows: int
     bytes: int
     digest: str
+    stats: str
+    files: int
+    first_id: str
+    last_id: str
+    #: Distinct (name, tag) of the attributes, and names of the contents.
+    attributes: tuple[tuple[str, int], ...]
+    contents: tuple[str, ...]
+
+    @staticmethod
+    def decode(x: dict[str, Any]) -> Part:
+        return Part(**{**x, "attributes": tuple((n, t) for n, t in x["attributes"]), "contents": tuple(x["contents"])})
 
 
 @dataclass(frozen=True)
@@ -108,6 +126,8 @@ class Commit:
     next_seq: int
     erased: tuple[str, ...] = ()
     previous: str = ""
+    #: The last micro-batch taken from each stream.
+    streams: tuple[tuple[str, int], ...] = ()
     hash: str = content.HASH
     format: int = FORMAT
 
@@ -119,37 +139,81 @@ class Commit:
         x = json.loads(raw)
         if x["format"] != FORMAT:
             raise Corruption(f"format {x['format']} is not known")
-        return Commit(**{**x, "parts": tuple(Part(**p) for p in x["parts"]), "folds": tuple(x["folds"]), "erased": tuple(x["erased"])})
+        return Commit(**{**x, "parts": tuple(map(Part.decode, x["parts"])), "folds": tuple(x["folds"]), "erased": tuple(x["erased"]), "streams": tuple((n, k) for n, k in x["streams"])})
+
+
+#: Tag of a content's name among a file's zones.
+CONTENT = -1
+STATS_COLUMNS = ["file", "rows", "bytes", "digest", "first_id", "last_id", "lo", "hi", "marks", "zones"]
+STATS = "file string, rows long, bytes long, digest string, first_id string, last_id string, lo long, hi long, marks array<string>, zones array<struct<name:string,tag:int,least_n:decimal(20,0),greatest_n:decimal(20,0),least_f:double,greatest_f:double,poisoned:boolean>>"
 
 
-def _digest_dir(path: Path) -> tuple[str, int]:
-    h, total = hashlib.sha256(), 0
-    for f in sorted(path.glob("*.parquet")):
-        h.update(f.name.encode())
-        with f.open("rb") as s:
-            for block in iter(lambda: s.read(1 << 20), b""):
-                h.update(block)
-                total += len(block)
-    return h.hexdigest(), total
+def _joined_digest(rows: list[tuple[str, str]]) -> str:
+    """Of a part, from its files' (name, digest)."""
+    h = hashlib.sha256()
+    for name, digest in sorted(rows):
+        h.update(name.encode() + bytes.fromhex(digest))
+    return h.hexdigest()
 
 
 class Snapshot:
     """An immutable committed cut; any number may be open beside the writer."""
 
-    def __init__(self, spark: SparkSession, root: str | Path, commit: Commit):
-        self.spark, self.root, self.commit = spark, Path(root), commit
+    def __init__(self, spark: SparkSession, root: Any, commit: Commit):
+        self.spark, self.files, self.commit = spark, Files(spark, root), commit
+        self.root = self.files.root
 
     # -- tables
 
-    def versions(self) -> DataFrame:
-        """All committed versions; with column part."""
-        if not self.commit.parts:
-            return self.spark.createDataFrame([], RT.RECORD).withColumn("part", F.lit(0))
+    def versions(self, start: str | None = None, end: str | None = None, tests: tuple[predicates.Predicate, ...] = ()) -> DataFrame:
+        """All committed versions, with column part; of ids in [start, end), if given.
+        With one part, files whose zones exclude ``tests`` are left out as well; with
+        several they aren't, as one of them might hide an older version."""
         out = None
+        zoned = tests if len(self.commit.parts) == 1 else ()
         for i, p in enumerate(self.commit.parts):
-            df = self.spark.read.schema(RT.RECORD).parquet(str(self.root / p.path)).withColumn("part", F.lit(i))
+            names = self._pruned(p, start, end, zoned)
+            if names == []:
+                continue
+            places = [self.files.at(p.path)] if names is None else [self.files.at(f"{p.path}/{n}") for n in names]
+            df = self.spark.read.schema(RT.RECORD).parquet(*places).withColumn("part", F.lit(i))
             out = df if out is None else out.unionByName(df)
-        return out
+        if out is None:
+            return self.spark.createDataFrame([], RT.RECORD).withColumn("part", F.lit(0))
+        return resolve.bounded(out, start, end)
+
+    def _stats(self, p: Part) -> DataFrame:
+        return self.spark.read.schema(STATS).parquet(self.files.at(p.stats))
+
+    def _pruned(self, p: Part, start: str | None, end: str | None, tests: tuple[predicates.Predicate, ...]) -> list[str] | None:
+        """The part's files that can matter; None for all of them."""
+        if not p.rows or (start is not None and p.last_id.encode() < start.encode()) or (end is not None and p.first_id.encode() >= end.encode()):
+            return []
+        zones = [z for z in map(predicates.zone, tests) if z is not None]
+        inside = (start is None or start.encode() <= p.first_id.encode()) and (end is None or p.last_id.encode() < end.encode())
+        if not zones and (inside or p.files == 1):
+            return None
+        stats = self._stats(p)
+        if start is not None:
+            stats = stats.where(F.col("last_id") >= start)
+        if end is not None:
+            stats = stats.where(F.col("first_id") < end)
+        for z in zones:
+            stats = stats.where(z)
+        return [r["file"] for r in stats.select("file").collect()]
+
+    def mark(self, start: str | None, end: str | None, reverse: bool, rows: int) -> str | None:
+        """An id by which about ``rows`` versions of [start, end) lie before it in the
+        direction of a scan; None if there aren't so many."""
+        most = -(-rows // MARK) + len(self.commit.parts)
+        found = None
+        for p in self.commit.parts:
+            own = resolve.bounded(self._stats(p).select(F.explode("marks").alias("id")), start, end)
+            found = own if found is None else found.unionByName(own)
+        if found is None or sum(p.rows for p in self.commit.parts) <= rows:
+            return None
+        ids = [r["id"] for r in found.orderBy(F.desc("id") if reverse else F.asc("id")).limit(most + 1).collect()]
+        return ids[-1] if len(ids) > most else None
 
     def records(self) -> DataFrame:
         """Live records. With one part ids are unique already, and no window is needed."""
@@ -158,7 +222,7 @@ class Snapshot:
         return resolve.live(self.versions())
 
     def fold(self) -> DataFrame:
-        paths = [str(self.root / f) for f in self.commit.folds]
+        paths = [self.files.at(f) for f in self.commit.folds]
         if not paths:
             return self.spark.createDataFrame([], RT.FOLD)
         fold = self.spark.read.schema(RT.FOLD).parquet(*paths)
@@ -167,26 +231,30 @@ class Snapshot:
 
     def erased(self) -> DataFrame | None:
         """Pieces destroyed on purpose, by this commit or a later one."""
-        live = read_commits(self.root)
+        live = _commits(self.files)
         names = set(self.commit.erased) | set(live[max(live)].erased if live else ())
-        paths = [str(self.root / n) for n in sorted(names) if (self.root / n).exists()]
+        paths = [self.files.at(n) for n in sorted(names) if self.files.exists(n)]
         return self.spark.read.schema("piece binary").parquet(*paths) if paths else None
 
     # -- reads
 
     def get(self, id: str) -> Record | None:
-        rows = resolve.live(self._view().where(F.col("id") == id)).collect()
+        rows = resolve.live(self._of(id)).collect()
         if not rows:
             return None
         r = rows[0]
         contents = {c["name"]: {"len": c["len"], "pieces": c["pieces"], "identity": bytes(c["identity"]).hex()} for c in r["contents"] or []}
         return Record(id, [(a["name"], Value.from_row(a)) for a in r["attrs"] or []], contents)
 
+    def _of(self, id: str) -> DataFrame:
+        """Versions of one id, from the files that may have it."""
+        return self._view(id, id + "\0").where(F.col("id") == id)
+
     def exists(self, id: str) -> bool:
-        return not resolve.live(self._view().where(F.col("id") == id)).isEmpty()
+        return not resolve.live(self._of(id)).isEmpty()
 
     def read_content(self, id: str, name: str = "body") -> bytes | None:
-        programs = resolve.live(self._view().where(F.col("id") == id)).select("id", F.explode("contents").alias("c")).where(F.col("c.name") == name)
+        programs = resolve.live(self._of(id)).select("id", F.explode("contents").alias("c")).where(F.col("c.name") == name)
         programs = programs.select("id", F.col("c.identity").alias("identity"), F.col("c.ops").alias("ops"))
         erased = self.erased()
         if erased is not None:
@@ -208,26 +276,40 @@ class Snapshot:
     def scan_ids(self, start: str | None = None, end: str | None = None, limit: int = 100, reverse: bool = False) -> list[str]:
         if start is not None and end is not None and start.encode() > end.encode():
             raise InvalidArgument("the id range is inverted")
-        live = resolve.live(resolve.bounded(self._view(), start, end)).select("id")
+        first = start
+        last = end
+        if (bound := self.mark(start, end, reverse, 4 * limit)) is not None:
+            # enough in all likelihood; else the rest is read too
+            first, last = (bound, end) if reverse else (start, bound)
+            ids = self._first_ids(first, last, limit, reverse)
+            if len(ids) == limit:
+                return ids
+        return self._first_ids(start, end, limit, reverse)
+
+    def _first_ids(self, start: str | None, end: str | None, limit: int, reverse: bool) -> list[str]:
+        live = resolve.live(self._view(start, end)).select("id")
         return [r["id"] for r in live.orderBy(F.desc("id") if reverse else F.asc("id")).limit(limit).collect()]
 
     def scan(self, request: scanning.ScanRequest) -> scanning.ScanPage:
         with _typed():
-            return scanning.scan(self._view(), self._fold(), request, self.erased())
+            return scanning.scan(self, self._fold(), request, self.erased())
 
     def explain_scan(self, request: scanning.ScanRequest) -> scanning.ScanExplanation:
-        return scanning.explain(self._view(), request, len(self.commit.parts))
+        return scanning.explain(self, request, len(self.commit.parts))
 
     def schema(self) -> introspect.Schema:
-        return introspect.discover(self.versions(), superset=len(self.commit.parts) > 0)
+        """From what the commit says of its parts; no table is read."""
+        pairs = {x for p in self.commit.parts for x in p.attributes}
+        names = {c for p in self.commit.parts for c in p.contents}
+        return introspect.schema_of(pairs, names, superset=len(self.commit.parts) > 0)
 
     def lens(self) -> DataFrame:
         from ..plans import lens
 
         return lens.flat(self.records(), self.schema(), self.contents)
 
-    def _view(self) -> DataFrame:
-        return self.versions()
+    def _view(self, start: str | None = None, end: str | None = None, tests: tuple[predicates.Predicate, ...] = ()) -> DataFrame:
+        return self.versions(start, end, tests)
 
     def _fold(self) -> DataFrame:
         return self.fold()
@@ -239,7 +321,7 @@ class Snapshot:
         content put together; raises Corruption at the first mismatch."""
         control = control or Control()
         control.check("verify")
-        chain = verify_chain(self.root)
+        chain = verify_chain(self.root, self.spark)
         bad = self.fold().where(content.digest(F.col("bytes")) != F.col("piece")).count()
         if bad:
             raise Corruption(f"{bad} pieces differ from their hash")
@@ -278,46 +360,64 @@ def _typed():
         raise
 
 
-def read_commits(root: str | Path) -> dict[int, Commit]:
-    at = Path(root) / "_commits"
+def _commits(files: Files) -> dict[int, Commit]:
     out = {}
-    for f in sorted(at.glob("[0-9]*.json")) if at.exists() else []:
+    for name in files.names("_commits/[0-9]*.json"):
         try:
-            out[int(f.stem)] = Commit.decode(f.read_bytes())
+            c = Commit.decode(files.read(name))
         except (ValueError, KeyError, TypeError):
             continue  # an unreadable retained commit pins nothing
+        out[_number(name)] = c
     return out
 
 
-def verify_chain(root: str | Path) -> dict[str, int]:
-    root = Path(root)
-    files = sorted((root / "_commits").glob("[0-9]*.json"))
-    previous, parts, seen = None, 0, set()
-    for f in files:
+def _number(name: str) -> int:
+    return int(name.rpartition("/")[2].partition(".")[0])
+
+
+def _files(root: Any, spark: SparkSession | None) -> Files:
+    return Files(spark or SparkSession.builder.getOrCreate(), root)
+
+
+def read_commits(root: Any, spark: SparkSession | None = None) -> dict[int, Commit]:
+    return _commits(_files(root, spark))
+
+
+def verify_chain(root: Any, spark: SparkSession | None = None) -> dict[str, int]:
+    """Every commit follows from the one before, and every part is what it was."""
+    files = _files(root, spark)
+    names = files.names("_commits/[0-9]*.json")
+    previous, seen = None, {}
+    for name in names:
+        raw = files.read(name)
         try:
-            c = Commit.decode(f.read_bytes())
+            c = Commit.decode(raw)
         except (ValueError, KeyError, TypeError) as e:
-            raise Corruption(f"commit {f.stem} can't be read") from e
+            raise Corruption(f"commit {_number(name)} can't be read") from e
         if previous is not None and c.previous != previous:
             raise Corruption(f"commit {c.number} doesn't follow the one before it")
-        previous = hashlib.sha256(f.read_bytes()).hexdigest()
+        previous = hashlib.sha256(raw).hexdigest()
         for p in c.parts:
-            if p.path in seen:
-                continue
-            seen.add(p.path)
-            parts += 1
             # parts that only retained commits name may have been erased since
-            if (root / p.path).exists():
-                if _digest_dir(root / p.path)[0] != p.digest:
-                    raise Corruption(f"part {p.path} differs from its digest")
-            elif f == files[-1]:
-                raise Corruption(f"part {p.path} is missing")
-    return {"commits": len(files), "parts": parts}
-
-
-def open_snapshot(spark: SparkSession, root: str | Path, commit: int | None = None) -> Snapshot:
+            if p.path not in seen and (files.exists(p.path) or name == names[-1]):
+                seen[p.path] = p
+    listed = {p: files.names(f"{p}/*.parquet") for p in seen}
+    found: dict[str, list[tuple[str, str]]] = {p: [] for p in seen}
+    every = [n for ns in listed.values() for n in ns]
+    for r in files.digests(every).collect() if every else []:  # a line a file
+        path, _, name = r["name"].rpartition("/")
+        found[path].append((name, r["digest"]))
+    for path, p in seen.items():
+        if not listed[path] and p.files:
+            raise Corruption(f"part {path} is missing")
+        if _joined_digest(found[path]) != p.digest:
+            raise Corruption(f"part {path} differs from its digest")
+    return {"commits": len(names), "parts": len(seen)}
+
+
+def open_snapshot(spark: SparkSession, root: Any, commit: int | None = None) -> Snapshot:
     """A committed cut: the newest, or a retained one."""
-    commits = read_commits(root)
+    commits = read_commits(root, spark)
     if not commits:
         raise NotFound(f"no store at {root}")
     number = max(commits) if commit is None else commit
@@ -326,38 +426,33 @@ def open_snapshot(spark: SparkSession, root: str | Path, commit: int | None = No
     return Snapshot(spark, root, commits[number])
 
 
-def retained_commits(root: str | Path) -> list[int]:
-    return sorted(read_commits(root))
+def retained_commits(root: Any, spark: SparkSession | None = None) -> list[int]:
+    return sorted(read_commits(root, spark))
 
 
-def recover_commit(root: str | Path, max_rollback: int = 0) -> int:
+def recover_commit(root: Any, max_rollback: int = 0, spark: SparkSession | None = None) -> int:
     """Drops unreadable newest commit files, at most ``max_rollback`` of them, so that
     the newest readable one is live. Returns its number."""
-    files = sorted((Path(root) / "_commits").glob("[0-9]*.json"))
-    good = read_commits(root)
-    bad = [f for f in files if int(f.stem) not in good and (not good or int(f.stem) > max(good))]
+    files = _files(root, spark)
+    good = _commits(files)
+    bad = [n for n in files.names("_commits/[0-9]*.json") if _number(n) not in good and (not good or _number(n) > max(good))]
     if not good:
         raise Corruption("no commit can be read")
     if len(bad) > max_rollback:
         raise ResourceExhausted(f"{len(bad)} commits would be rolled back", "max_rollback", len(bad), max_rollback)
-    for f in bad:
-        f.unlink()
+    for n in bad:
+        files.delete(n)
     return max(good)
 
 
 class Store(Snapshot):
     """The writer. Reads see staged operations too; SQL and lens see commits."""
 
-    def __init__(self, spark: SparkSession, root: str | Path, limits: WriteLimits = WriteLimits()):
-        root = Path(root)
-        (root / "_commits").mkdir(parents=True, exist_ok=True)
-        self._lock = root / "_lock"
-        try:
-            fd = os.open(self._lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError as e:
-            raise Contention("another writer has the store") from e
-        os.write(fd, str(os.getpid()).encode())
-        os.close(fd)
+    def __init__(self, spark: SparkSession, root: Any, limits: WriteLimits = WriteLimits()):
+        files = Files(spark, root)
+        files.mkdirs("_commits")
+        if not files.create("_lock", uuid.uuid4().hex.encode()):
+            raise Contention("another writer has the store")
         self.limits = limits
         self.events: collections.deque = collections.deque(maxlen=256)
         self._event = 0
@@ -366,7 +461,7 @@ class Store(Snapshot):
         self._staged: dict[str, tuple[int, Any]] = {}
         self._staged_bytes = 0
         self._closed = False
-        commits = read_commits(root)
+        commits = _commits(files)
         live = commits[max(commits)] if commits else Commit(0, (), 0, (), 0)
         super().__init__(spark, root, live)
         self._next_seq = live.next_seq
@@ -374,14 +469,14 @@ class Store(Snapshot):
             self._publish(live)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str | Path, limits: WriteLimits = WriteLimits()) -> Store:
+    def open(cls, spark: SparkSession, root: Any, limits: WriteLimits = WriteLimits()) -> Store:
         return cls(spark, root, limits)
 
     def close(self) -> None:
         if not self._closed:
             self.sync()
             self._closed = True
-            self._lock.unlink(missing_ok=True)
+            self.files.delete("_lock")
 
     def __enter__(self) -> Store:
         return self
@@ -483,10 +578,11 @@ class Store(Snapshot):
             records.append((id, seq, False, [v.row(n) for n, v in attrs], built))
         return self.spark.createDataFrame(records, RT.RECORD), self.spark.createDataFrame(list(found.values()), RT.FOLD)
 
-    def _view(self) -> DataFrame:
+    def _view(self, start: str | None = None, end: str | None = None, tests: tuple[predicates.Predicate, ...] = ()) -> DataFrame:
         if not self._staged:
-            return self.versions()
-        return self.versions().unionByName(self._staged_frames()[0].withColumn("part", F.lit(-1)))
+            return self.versions(start, end, tests)
+        # a staged version hides committed ones, whose zones then say nothing
+        return self.versions(start, end).unionByName(resolve.bounded(self._staged_frames()[0].withColumn("part", F.lit(-1)), start, end))
 
     def _fold(self) -> DataFrame:
         return self.fold() if not self._staged else self.fold().unionByName(self._staged_frames()[1])
@@ -494,21 +590,19 @@ class Store(Snapshot):
     def sync(self, control: Control | None = None) -> None:
         """Makes staged operations durable: a journal beside the commits."""
         with self._operation("sync", control):
-            at = self.root / "_staged.json"
             if not self._staged:
-                at.unlink(missing_ok=True)
+                self.files.delete("_staged.json")
                 return
             rows = [[id, seq, None if what is None else [[n, v.encode()] for n, v in what[1]], {} if what is None else {n: _spans(b, how) for n, (b, how) in what[2].items()}] for id, (seq, what) in self._staged.items()]
-            _write_whole(at, json.dumps({"after": self.commit.number, "rows": rows}).encode())
+            self.files.write("_staged.json", json.dumps({"after": self.commit.number, "rows": rows}).encode())
 
     def replay(self) -> int:
         """Stages again what a writer that never closed had made durable."""
         import base64
 
-        at = self.root / "_staged.json"
-        if not at.exists():
+        if not self.files.exists("_staged.json"):
             return 0
-        rows = json.loads(at.read_bytes())["rows"]
+        rows = json.loads(self.files.read("_staged.json"))["rows"]
         for id, seq, attrs, contents in rows:
             if seq < self.commit.next_seq:
                 continue
@@ -524,89 +618,126 @@ class Store(Snapshot):
             if not self._staged:
                 return None
             records, found = self._staged_frames()
-            part = self._append(records, found, control)
+            part = self._append(records.coalesce(1), found, control, ranged=False)  # a batch is small
             self._staged, self._staged_bytes = {}, 0
-            (self.root / "_staged.json").unlink(missing_ok=True)
+            self.files.delete("_staged.json")
             return part
 
-    def ingest(self, bodies: DataFrame, carve: Carve = Carve(), control: Control | None = None) -> Part | None:
+    def ingest(self, bodies: DataFrame, carve: Carve = Carve(), control: Control | None = None, mark: tuple[str, int] | None = None) -> Part | None:
         """A table of any size as one part: id, optional attrs (array of attribute
-        structs), body (binary or string; null: no content), optional tomb. Ids are
-        unique; sequence numbers follow id order within the part's range."""
-        with self._operation("ingest", control):
+        structs), body (binary or string; null: no content) or contents (a map of names
+        to binary, which costs a join by id), optional tomb. Ids are
+        unique; sequence numbers follow id order within the part's range. ``mark`` (a
+        stream and the number of its batch) is published in the same commit."""
+        with self._operation("ingest", control), scratch.scope(self.spark):
             self.flush()
-            n, distinct, empty = bodies.agg(F.count("*"), F.count_distinct("id"), F.count_if(F.coalesce(F.col("id"), F.lit("")) == "")).first()
+            lim = self.limits
+            attrs = F.col("attrs") if "attrs" in bodies.columns else RT.no_attrs()
+            named = "contents" in bodies.columns
+            bodies = bodies.withColumn("attrs", attrs)
+            if not named:
+                bodies = bodies.withColumn("contents", F.when(F.col("body").isNotNull(), F.create_map(F.lit("body"), F.col("body").cast("binary"))))
+            held = F.coalesce(F.map_entries("contents"), F.array().cast("array<struct<key:string,value:binary>>"))
+            # what _size says of a staged record
+            value = lambda a: F.coalesce(F.octet_length(a["s"]), F.octet_length(a["bin"]), F.lit(8))
+            size = F.aggregate("attrs", F.octet_length("id") + 64, lambda t, a: t + F.octet_length(a["name"]) + 16 + value(a))
+            size = F.aggregate(held, size, lambda t, c: t + F.octet_length(c["key"]) + F.octet_length(c["value"]) + 64)
+            lengths = (F.transform("attrs", lambda a: F.octet_length(a["name"])), F.transform(held, lambda c: F.octet_length(c["key"])))
+            longest = F.greatest(F.octet_length("id"), *(F.coalesce(F.array_max(x), F.lit(0)) for x in lengths))
+            n, distinct, empty, name, record = bodies.agg(F.count("*"), F.count_distinct("id"), F.count_if(F.coalesce(F.col("id"), F.lit("")) == ""), F.max(longest), F.max(size)).first()
             if empty:
                 raise InvalidArgument("an identifier is empty")
             if distinct < n:
                 raise InvalidArgument("ids must be unique in one ingest")
             if not n:
                 return None
-            lim = self.limits
-            long = bodies.agg(F.max(F.octet_length("id")), F.max(F.octet_length(F.col("body").cast("binary")))).first()
-            if long[0] > lim.max_identifier_bytes:
-                raise ResourceExhausted("an identifier is too long", "max_identifier_bytes", long[0], lim.max_identifier_bytes)
-            if (long[1] or 0) > lim.max_record_bytes:
-                raise ResourceExhausted("a record is too large", "max_record_bytes", long[1], lim.max_record_bytes)
+            if name > lim.max_identifier_bytes:
+                raise ResourceExhausted("an identifier is too long", "max_identifier_bytes", name, lim.max_identifier_bytes)
+            if record > lim.max_record_bytes:
+                raise ResourceExhausted("a record is too large", "max_record_bytes", record, lim.max_record_bytes)
             # one version an id, so a part's rows may share the sequence number
             seq, self._next_seq = self._next_seq, self._next_seq + 1
-            cut = content.carved(bodies.withColumn("body", F.col("body").cast("binary")).withColumn("seq", F.lit(seq)), carve)
-            one = content.contents_of(F.lit("body"), F.col("body"), F.col("spans"))
-            records = cut.select(
-                "id",
-                "seq",
-                (F.coalesce("tomb", F.lit(False)) if "tomb" in bodies.columns else F.lit(False)).alias("tomb"),
-                (F.col("attrs") if "attrs" in bodies.columns else RT.no_attrs()).alias("attrs"),
-                F.when(F.col("body").isNull(), RT.no_contents()).otherwise(F.array(one)).alias("contents"),
-            )
-            return self._append(records, content.pieces(cut).select("piece", "len", "bytes", F.col("seq").alias("first_seq")), control)
-
-    def _append(self, records: DataFrame, found: DataFrame, control: Control | None) -> Part:
+            tomb = F.coalesce("tomb", F.lit(False)) if "tomb" in bodies.columns else F.lit(False)
+            if named:
+                items = bodies.select("id", F.explode("contents").alias("name", "body"))
+                cut = scratch.written(content.carved(items.withColumn("seq", F.lit(seq)), carve), "carved")  # cut once, read several times
+                own = cut.groupBy("id").agg(F.sort_array(F.collect_list(content.contents_of(F.col("name"), F.col("body"), F.col("spans")))).alias("own"))
+                records = bodies.drop("contents").join(own, "id", "left").withColumn("contents", F.coalesce("own", RT.no_contents()))
+            else:
+                cut = scratch.written(content.carved(bodies.drop("contents").withColumn("body", F.col("body").cast("binary")).withColumn("seq", F.lit(seq)), carve), "carved")
+                one = content.contents_of(F.lit("body"), F.col("body"), F.col("spans"))
+                records = cut.withColumn("contents", F.when(F.col("body").isNull(), RT.no_contents()).otherwise(F.array(one)))
+            records = records.select("id", F.lit(seq).cast("long").alias("seq"), tomb.alias("tomb"), "attrs", "contents")
+            return self._append(records, content.pieces(cut).select("piece", "len", "bytes", F.col("seq").alias("first_seq")), control, mark)
+
+    def _append(self, records: DataFrame, found: DataFrame, control: Control | None, mark: tuple[str, int] | None = None, ranged: bool = True) -> Part:
         control = control or Control()
         metrics = content.dedup_metrics(found).first().asDict()
         fresh = content.novel(found.withColumnRenamed("first_seq", "seq"), self.fold() if self.commit.folds else None).select("piece", "len", "bytes", "first_seq")
-        fold = f"fold/gen={self.commit.fold_gen}/{uuid.uuid4().hex}"
-        fresh.write.option("compression", "zstd").parquet(str(self.root / fold))
-        part = self._write_part(records)
-        novel = self.spark.read.schema(RT.FOLD).parquet(str(self.root / fold)).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        fold, novel = self._write_fold(fresh, self.commit.fold_gen)
+        part = self._write_part(records, ranged)
         self.dedup["pieces"] += metrics["pieces"]
         self.dedup["dedup_hits"] += metrics["pieces"] - novel[0]
         self.dedup["logical_bytes"] += metrics["logical_bytes"]
         self.dedup["novel_bytes"] += novel[1]
         control.check("flush")  # the last moment before it is visible
         folds = (*self.commit.folds, fold) if novel[0] else self.commit.folds
-        self._publish(replace(self.commit, number=self.commit.number + 1, parts=(*self.commit.parts, part), folds=folds, next_seq=self._next_seq))
+        streams = tuple(sorted({**dict(self.commit.streams), mark[0]: mark[1]}.items())) if mark else self.commit.streams
+        self._publish(replace(self.commit, number=self.commit.number + 1, parts=(*self.commit.parts, part), folds=folds, next_seq=self._next_seq, streams=streams))
         return part
 
-    def _write_part(self, records: DataFrame) -> Part:
-        at = f"parts/{uuid.uuid4().hex}"
-        path = self.root / at
-        # ids in ranges and sorted, so footers prune; one file for small parts
-        records.select([f.name for f in RT.RECORD.fields]).sortWithinPartitions("id").write.option("compression", "zstd").parquet(str(path))
-        stats = self.spark.read.schema(RT.RECORD).parquet(str(path)).agg(F.count("*"), F.min("seq"), F.max("seq")).first()
-        digest, size = _digest_dir(path)
-        return Part(at, stats[1] if stats[1] is not None else 0, stats[2] if stats[2] is not None else 0, stats[0], size, digest)
+    def _write_fold(self, pieces: DataFrame, gen: int) -> tuple[str, tuple[int, int]]:
+        """Pieces as a table, with a Bloom filter on their hashes: its name, and how
+        many pieces and bytes it has."""
+        at = f"fold/gen={gen}/{uuid.uuid4().hex}"
+        rows = pieces.select([f.name for f in RT.FOLD.fields])
+        rows.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#piece", "true").parquet(self.files.at(at))
+        n, size = self.spark.read.schema(RT.FOLD).parquet(self.files.at(at)).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        return at, (n, size)
+
+    def _write_part(self, records: DataFrame, ranged: bool = True) -> Part:
+        """Ids in ranges, a file each, as many as the size asks for, with statistics."""
+        uid = uuid.uuid4().hex
+        at, stats = f"parts/{uid}", f"stats/{uid}"
+        place = self.files.at(at)
+        rows = records.select([f.name for f in RT.RECORD.fields])
+        (rows.repartitionByRange("id") if ranged else rows).sortWithinPartitions("id").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").parquet(place)
+        rows = self.spark.read.schema(RT.RECORD).parquet(place).withColumns({"file": F.col("_metadata.file_name"), "k": F.col("_metadata.row_index")})
+        per = rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sort_array(F.collect_list(F.when(F.col("k") % MARK == 0, F.col("id")))).alias("marks"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+        named = F.transform("contents", lambda c: F.struct(c["name"].alias("name"), F.lit(CONTENT).alias("tag"), F.lit(None).cast("decimal(20,0)").alias("n"), F.lit(None).cast("double").alias("f")))
+        entries = rows.select("file", F.explode(F.concat(introspect.zone_entries(), named)).alias("z"))
+        zones = introspect.zones_by(entries, "file").groupBy("file").agg(F.collect_list(F.struct("name", "tag", "least_n", "greatest_n", "least_f", "greatest_f", "poisoned")).alias("zones"))
+        digests = self.files.digests(self.files.names(f"{at}/*.parquet")).select(F.element_at(F.split("name", "/"), -1).alias("file"), "bytes", "digest")
+        every = per.join(zones, "file", "left").join(digests, "file").withColumn("zones", F.coalesce("zones", F.array().cast(STATS.rpartition(" ")[2])))
+        every.select(STATS_COLUMNS).coalesce(1).write.parquet(self.files.at(stats))
+        held = self.spark.read.schema(STATS).parquet(self.files.at(stats))
+        # a line a file
+        total = held.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.min("first_id"), F.max("last_id"), F.coalesce(F.min("lo"), F.lit(0)), F.coalesce(F.max("hi"), F.lit(0)), F.count("*"), F.collect_list(F.struct("file", "digest"))).first()
+        pairs = [(r["name"], r["tag"]) for r in held.select(F.explode("zones").alias("z")).select("z.name", "z.tag").distinct().collect()]
+        attributes = tuple(sorted(p for p in pairs if p[1] != CONTENT))
+        contents = tuple(sorted(n for n, t in pairs if t == CONTENT))
+        return Part(at, total[4], total[5], total[0], total[1], _joined_digest([tuple(x) for x in total[7]]), stats, total[6], total[2] or "", total[3] or "", attributes, contents)
 
     def _publish(self, commit: Commit) -> None:
-        at = self.root / "_commits"
-        old = at / f"{self.commit.number:08d}.json"
-        commit = replace(commit, previous=hashlib.sha256(old.read_bytes()).hexdigest() if old.exists() and commit.number != self.commit.number else "")
-        _write_whole(at / f"{commit.number:08d}.json", commit.encode())
+        name = f"_commits/{commit.number:08d}.json"
+        old = f"_commits/{self.commit.number:08d}.json"
+        previous = hashlib.sha256(self.files.read(old)).hexdigest() if commit.number != self.commit.number and self.files.exists(old) else ""
+        commit = replace(commit, previous=previous)
+        self.files.write(name, commit.encode())
         self.commit = commit
-        for f in sorted(at.glob("[0-9]*.json"))[:-RETAINED]:
-            f.unlink()
+        for gone in self.files.names("_commits/[0-9]*.json")[:-RETAINED]:
+            self.files.delete(gone)
         self.vacuum()
 
     def vacuum(self) -> list[str]:
         """Deletes directories that no retained commit names."""
-        commits = read_commits(self.root).values()
-        named = {p.path for c in commits for p in c.parts} | {f for c in commits for f in c.folds} | {e for c in commits for e in c.erased}
+        commits = _commits(self.files).values()
+        named = {x for c in commits for p in c.parts for x in (p.path, p.stats)} | {f for c in commits for f in c.folds} | {e for c in commits for e in c.erased}
         gone = []
-        for pattern in ("parts/*", "fold/gen=*/*", "erased/*"):
-            for d in self.root.glob(pattern):
-                name = str(d.relative_to(self.root))
+        for pattern in ("parts/*", "stats/*", "fold/gen=*/*", "erased/*"):
+            for name in self.files.names(pattern):
                 if name not in named:
-                    shutil.rmtree(d)
+                    self.files.delete(name)
                     gone.append(name)
         return gone
 
@@ -669,17 +800,15 @@ class Store(Snapshot):
             before = self.fold().agg(F.coalesce(F.sum("len"), F.lit(0)), F.count("*")).first()
             live = self.records()
             gen = self.commit.fold_gen + 1
-            at = f"fold/gen={gen}/{uuid.uuid4().hex}"
             kept = self.fold().join(content.live_pieces(live), "piece", "left_semi")
-            kept.select([f.name for f in RT.FOLD.fields]).sortWithinPartitions("first_seq").write.option("compression", "zstd").parquet(str(self.root / at))
+            at, (n, size) = self._write_fold(kept.sortWithinPartitions("first_seq"), gen)
             part = self._write_part(live.drop("part"))
-            after = self.spark.read.schema(RT.FOLD).parquet(str(self.root / at)).agg(F.coalesce(F.sum("len"), F.lit(0)), F.count("*")).first()
             (control or Control()).check("refold")
-            self._publish(replace(self.commit, number=self.commit.number + 1, parts=(part,) if part.rows else (), fold_gen=gen, folds=(at,) if after[1] else (), erased=()))
-            for f in sorted((self.root / "_commits").glob("[0-9]*.json"))[:-1]:
-                f.unlink()
+            self._publish(replace(self.commit, number=self.commit.number + 1, parts=(part,) if part.rows else (), fold_gen=gen, folds=(at,) if n else (), erased=()))
+            for name in self.files.names("_commits/[0-9]*.json")[:-1]:
+                self.files.delete(name)
             self.vacuum()
-            return {"pieces_before": before[1], "pieces_after": after[1], "bytes_reclaimed": before[0] - after[0]}
+            return {"pieces_before": before[1], "pieces_after": n, "bytes_reclaimed": before[0] - size}
 
     def punch_unreferenced(self, control: Control | None = None) -> dict[str, int]:
         """Destroys pieces no live record uses, in place of a refold: declared erased
@@ -689,91 +818,86 @@ class Store(Snapshot):
             fold = self.fold()
             dead = fold.join(content.live_pieces(self.records()), "piece", "left_anti")
             at = f"erased/{uuid.uuid4().hex}"
-            dead.select("piece").write.parquet(str(self.root / at))
+            dead.select("piece").write.parquet(self.files.at(at))
             n, size = dead.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
             if not n:
                 return {"pieces": 0, "bytes": 0}
-            kept = f"fold/gen={self.commit.fold_gen}/{uuid.uuid4().hex}"
-            fold.join(self.spark.read.parquet(str(self.root / at)), "piece", "left_anti").select([f.name for f in RT.FOLD.fields]).write.option("compression", "zstd").parquet(str(self.root / kept))
+            kept, _ = self._write_fold(fold.join(self.spark.read.schema("piece binary").parquet(self.files.at(at)), "piece", "left_anti"), self.commit.fold_gen)
             old = self.commit.folds
             (control or Control()).check("punch")
             self._publish(replace(self.commit, number=self.commit.number + 1, folds=(kept,), erased=(*self.commit.erased, at)))
-            for f in sorted((self.root / "_commits").glob("[0-9]*.json"))[:-1]:  # older commits now read the punched fold
-                c = Commit.decode(f.read_bytes())
+            for name in self.files.names("_commits/[0-9]*.json")[:-1]:  # older commits now read the punched fold
+                c = Commit.decode(self.files.read(name))
                 if set(c.folds) & set(old):
-                    _write_whole(f, replace(c, folds=(kept,)).encode())
+                    self.files.write(name, replace(c, folds=(kept,)).encode())
             self._rechain()
             self.vacuum()
             return {"pieces": n, "bytes": size}
 
     def _rechain(self) -> None:
         previous = None
-        for f in sorted((self.root / "_commits").glob("[0-9]*.json")):
-            c = Commit.decode(f.read_bytes())
+        for name in self.files.names("_commits/[0-9]*.json"):
+            c = Commit.decode(self.files.read(name))
             if previous is not None and c.previous != previous:
                 c = replace(c, previous=previous)
-                _write_whole(f, c.encode())
-            previous = hashlib.sha256(f.read_bytes()).hexdigest()
+                self.files.write(name, c.encode())
+            previous = hashlib.sha256(self.files.read(name)).hexdigest()
             if c.number == self.commit.number:
                 self.commit = c
 
-    def erase_ids(self, ids: list[str], control: Control | None = None) -> dict[str, int]:
-        """Deletes records and destroys what only they used. A repeated id counts as
-        absent after its first; with nothing to do the store stays untouched. Once
-        it has begun it runs to its end."""
-        with self._operation("erase", control):
-            wanted = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
-            present = {r["id"] for r in resolve.live(self._view().join(F.broadcast(wanted), "id", "left_semi")).select("id").collect()}
+    def erase_ids(self, ids: list[str] | DataFrame, control: Control | None = None) -> dict[str, int]:
+        """Deletes records and destroys what only they used; ``ids`` is a list or a
+        table (id) of any size. A repeated id counts as absent after its first; with
+        nothing to do the store stays untouched. Once it has begun it runs to its end."""
+        with self._operation("erase", control), scratch.scope(self.spark):
+            wanted = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
+            requested = wanted.count()
+            present = scratch.written(resolve.live(self._view()).join(wanted.select("id").distinct(), "id", "left_semi").select("id"), "to-erase")
+            n = present.count()
             (control or Control()).check("erase")
-            if present:
-                for chunk in _chunks(sorted(present), self.limits.max_batch_records):
-                    batch = Batch()
-                    for i in chunk:
-                        batch.delete(i)
-                    self.apply(batch)
+            if n:
                 self.flush()
+                seq, self._next_seq = self._next_seq, self._next_seq + 1
+                tombs = present.select("id", F.lit(seq).cast("long").alias("seq"), F.lit(True).alias("tomb"), RT.no_attrs().alias("attrs"), RT.no_contents().alias("contents"))
+                part = self._write_part(tombs)
+                self._publish(replace(self.commit, number=self.commit.number + 1, parts=(*self.commit.parts, part), next_seq=self._next_seq))
                 self.compact()
                 self.refold()
-            return {"requested": len(ids), "tombstoned": len(present), "absent": len(ids) - len(present), "remaining": self.records().count()}
+            return {"requested": requested, "tombstoned": n, "absent": requested - n, "remaining": self.records().count()}
 
     def erase_where(self, name: str, text: str) -> dict[str, int]:
         """Erases records with any attribute ``name`` whose value, written as text, is
         ``text``; binary values never match."""
         hit = F.exists("attrs", lambda a: (a["name"] == name) & F.coalesce(_as_text(a) == text, F.lit(False)))
-        return self.erase_ids([r["id"] for r in resolve.live(self._view()).where(hit).select("id").collect()])
+        return self.erase_ids(resolve.live(self._view()).where(hit).select("id"))
 
-    def backup(self, to: str | Path) -> dict[str, int]:
+    def backup(self, to: Any) -> dict[str, int]:
         """A settled, verified copy at a place that must not exist yet."""
-        to = Path(to)
-        if to.exists():
+        if Files(self.spark, to).exists():
             raise Contention(f"{to} exists")
         with self._operation("backup"):
             self.sync()
             self.flush()
-            draft = to.with_name(f".{to.name}-{uuid.uuid4().hex}")
-            shutil.copytree(self.root, draft, ignore=shutil.ignore_patterns("_lock", "_staged.json", ".*"))
-            report = open_snapshot(self.spark, draft).verify()
-            os.rename(draft, to)
-            return report
+            return _copied(self.spark, self.files, to)
 
     seal = backup
 
     # -- figures
 
     def space_usage(self) -> dict[str, int]:
-        live = {p.path for p in self.commit.parts} | set(self.commit.folds)
-        kept = {p.path for c in read_commits(self.root).values() for p in c.parts} | {f for c in read_commits(self.root).values() for f in c.folds}
+        live = {x for p in self.commit.parts for x in (p.path, p.stats)} | set(self.commit.folds)
+        commits = _commits(self.files).values()
+        kept = {x for c in commits for p in c.parts for x in (p.path, p.stats)} | {f for c in commits for f in c.folds}
         out = {"live": 0, "retained_only": 0, "unclassified": 0, "total": 0}
-        for f in self.root.rglob("*"):
-            if f.is_file():
-                size, home = f.stat().st_size, str(f.parent.relative_to(self.root))
-                out["total"] += size
-                out["live" if home in live else "retained_only" if home in kept else "unclassified"] += size
-        return out | {"filesystem_free": shutil.disk_usage(self.root).free}
+        for name, size in self.files.sizes():
+            home = name.rpartition("/")[0]
+            out["total"] += size
+            out["live" if home in live else "retained_only" if home in kept else "unclassified"] += size
+        return out | {"filesystem_free": self.files.free()}
 
     def health(self) -> dict[str, int]:
         c = self.commit
-        return {"commit": c.number, "parts": len(c.parts), "rows": sum(p.rows for p in c.parts), "part_bytes": sum(p.bytes for p in c.parts), "fold_gen": c.fold_gen, "fold_files": len(c.folds), "staged_records": len(self._staged), "staged_bytes": self._staged_bytes, "next_seq": self._next_seq, "retained_commits": len(read_commits(self.root)), "erased_sets": len(c.erased)} | self.dedup
+        return {"commit": c.number, "parts": len(c.parts), "rows": sum(p.rows for p in c.parts), "part_bytes": sum(p.bytes for p in c.parts), "fold_gen": c.fold_gen, "fold_files": len(c.folds), "staged_records": len(self._staged), "staged_bytes": self._staged_bytes, "next_seq": self._next_seq, "retained_commits": len(_commits(self.files)), "erased_sets": len(c.erased)} | self.dedup
 
     def metrics(self) -> dict[str, Any]:
         return {"operations": {k: dict(v) for k, v in self.counters.items()}, "dedup": dict(self.dedup)}
@@ -784,23 +908,30 @@ class Store(Snapshot):
         return {"events": rest[:limit], "gap": sequence + 1 < oldest and self._event > sequence, "latest": self._event}
 
 
-def restore(spark: SparkSession, source: str | Path, to: str | Path) -> dict[str, int]:
-    """A verified copy of a backup at a place that must not exist yet."""
-    to = Path(to)
-    if to.exists():
-        raise Contention(f"{to} exists")
-    draft = to.with_name(f".{to.name}-{uuid.uuid4().hex}")
+def _copied(spark: SparkSession, source: Files, to: Any) -> dict[str, int]:
+    """Copies a store to a draft beside ``to``, verifies it, and moves it there."""
+    target = Files(spark, to)
+    folder, _, last = target.root.rpartition("/")
+    draft = Files(spark, f"{folder}/.{last}-{uuid.uuid4().hex}")
+    names = [n for n, _ in source.sizes() if n not in ("_lock", "_staged.json") and not n.rpartition("/")[2].startswith(".")]
     try:
-        shutil.copytree(source, draft, ignore=shutil.ignore_patterns("_lock"))
-        report = open_snapshot(spark, draft).verify()
-        os.rename(draft, to)
+        source.copy(names, draft.root)
+        report = open_snapshot(spark, draft.root).verify()
+        draft.rename(target.root)
     except OSError as e:
         raise IoFailure(str(e)) from e
     finally:
-        shutil.rmtree(draft, ignore_errors=True)
+        draft.delete("")
     return report
 
 
+def restore(spark: SparkSession, source: Any, to: Any) -> dict[str, int]:
+    """A verified copy of a backup at a place that must not exist yet."""
+    if Files(spark, to).exists():
+        raise Contention(f"{to} exists")
+    return _copied(spark, Files(spark, source), to)
+
+
 def _as_text(a: Any) -> Any:
     return F.coalesce(a["s"], a["i"].cast("string"), a["b"].cast("string"), a["u"].cast("string"), a["ts_ns"].cast("string"), a["f"].cast("string"))
 
@@ -820,17 +951,4 @@ def _spans(body: bytes, how: Any) -> list:
     return [[f, base64.b64encode(x).decode()] for f, x in spans]
 
 
-def _write_whole(at: Path, raw: bytes) -> None:
-    draft = at.with_name(f".{at.name}-{uuid.uuid4().hex}")
-    with draft.open("wb") as f:
-        f.write(raw)
-        f.flush()
-        os.fsync(f.fileno())
-    os.rename(draft, at)
-
-
-def _chunks(x: list, n: int):
-    return (x[i : i + n] for i in range(0, len(x), n))
-
-
 __all__ = ["Batch", "BudgetTooSmall", "Commit", "Part", "Snapshot", "Store", "WriteLimits", "classify", "open_snapshot", "read_commits", "recover_commit", "restore", "retained_commits", "verify_chain"]

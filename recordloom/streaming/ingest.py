@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
@@ -17,20 +16,17 @@ from ..sources.store import Store
 def into(store: Store, stream: DataFrame, checkpoint: str, order: str = "ts", every: str = "5 seconds", carve: Carve = Carve(), once: bool = False) -> StreamingQuery:
     """Starts writing a stream of (id, body, optional attrs and tomb, ``order``).
     Within a batch the last of an id by ``order`` stands; between batches the later
-    batch does. A batch that was published before a restart isn't published again:
-    the store remembers the last one it has, by the stream's checkpoint."""
-    seen = Path(store.root) / f"_stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+    batch does. The commit that publishes a batch also names it, so after a restart
+    at any moment a batch is there once."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
-        if seen.exists() and int(seen.read_text()) >= number:
+        if dict(store.commit.streams).get(name, -1) >= number:
             return
         w = Window.partitionBy("id").orderBy(F.desc(order))
         last = batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", order)
         if not last.isEmpty():
-            store.ingest(last, carve)
-        draft = seen.with_suffix(".new")
-        draft.write_text(str(number))
-        draft.rename(seen)
+            store.ingest(last, carve, mark=(name, number))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -147,7 +147,7 @@ class Value:
     def from_row(r: Any) -> Value:
         tag = r["tag"]
         if tag == 2:
-            return Value(2, r["fbits"])
+            return Value(2, bits_of(r["f"]) if r["fbits"] is None else r["fbits"])
         if tag == 4:
             return Value(4, int(r["u"]))
         if tag == 5:
@@ -216,44 +216,12 @@ def attr(name: Column | str, tag: str, value: Column | None = None) -> Column:
     name = F.lit(name) if isinstance(name, str) else name
     slots = {f.name: F.lit(None).cast(f.dataType) for f in ATTR.fields[2:]}
     if tag == "float":
-        slots["f"] = value.cast("double")
-        # of the values computed here NaN is canonical, so its bits are a constant
-        slots["fbits"] = float_bits(slots["f"])
+        slots["f"] = value.cast("double")  # its bits follow from it: NaN is canonical here
     elif tag != "null":
         slots[SLOT[t]] = value.cast(ATTR[SLOT[t]].dataType)
     return F.struct(name.alias("name"), F.lit(t).cast("byte").alias("tag"), *(c.alias(k) for k, c in slots.items()))
 
 
-def float_bits(value: Column) -> Column:
-    """IEEE 754 bits of a double, from built-in arithmetic: whole-stage codegen, no
-    Python. Exact for every finite value, zeros of either sign, infinities and the
-    canonical NaN."""
-    zero = F.lit(0).cast("long")
-    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), F.lit(-(1 << 63))).otherwise(zero)
-    a = F.abs(value)
-    guess = F.floor(F.log2(a))
-    guess = F.greatest(F.least(guess, F.lit(1023)), F.lit(-1022)).cast("int")
-    # log2 may be off by one next to a power of two
-    exp = F.when(_scaled(a, guess) >= 2, guess + 1).when((_scaled(a, guess) < 1) & (guess > -1022), guess - 1).otherwise(guess)
-    unit = _scaled(a, exp)
-    fraction = (unit * F.lit(float(1 << 52))).cast("long")
-    biased = F.when(fraction >= F.lit(1 << 52), exp.cast("long") + 1023).otherwise(zero)
-    body = F.shiftleft(biased, 52).bitwiseOR(fraction.bitwiseAND(F.lit((1 << 52) - 1)))
-    return (
-        F.when(value.isNull(), F.lit(None).cast("long"))
-        .when(F.isnan(value), F.lit(0x7FF8000000000000))
-        .when(a == F.lit(float("inf")), sign.bitwiseOR(F.lit(0x7FF0000000000000)))
-        .when(a == 0, sign)
-        .otherwise(sign.bitwiseOR(body))
-    )
-
-
-def _scaled(a: Column, exp: Column) -> Column:
-    """a * 2^-exp in two exact steps, as 2^1022 and beyond overflow at once."""
-    half = F.floor(exp / 2).cast("int")
-    return a * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), -(exp - half))
-
-
 def no_attrs() -> Column:
     return F.array().cast(T.ArrayType(ATTR))
 

@@ -77,7 +77,7 @@ def test_scan_over_the_writer(both, name):
     rng = random.Random(name)
     for reverse in (False, True):
         request = ScanRequest(predicates=tests, reverse=reverse, limit=rng.randint(5, 9), max_examined=rng.randint(6, 12), max_resolution_entries=rng.randint(20, 40), contents=(("body", "bytes"), ("attachment", "metadata")), max_reconstructed_bytes=2500)
-        got = [r for page in pages(s._view(), s._fold(), request) for r in page.rows]
+        got = [r for page in pages(s, s._fold(), request) for r in page.rows]
         assert [r.id for r in got] == (want[::-1] if reverse else want)
         for r in got:
             attrs, contents = model[r.id]

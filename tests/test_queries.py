@@ -41,6 +41,14 @@ def test_cdc_covers_every_byte(spark):
     assert got == {r["doc_id"]: len(r["text"].encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"] is not None}
 
 
+def test_cdc_cuts_where_the_plain_loop_does(spark):
+    from .test_parts import slow_cuts
+
+    got = {r["doc_id"]: r["chunks"] for r in QUERIES["cdc_chunks"](spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"] is not None and len(r["text"]) < 20_000}
+    assert len(texts) > 50 and all(got[i] == len(slow_cuts(t.encode(), 1024)) for i, t in texts.items())
+
+
 def test_predicates_reach_the_scan_only_where_visibility_allows(spark):
     plan = lambda n: QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
     scan = [line for line in plan("predicate_after_visibility").splitlines() if "FileScan" in line][0]
@@ -56,14 +64,3 @@ def test_pushdown_changes_nothing(spark, pushed):
         assert QUERIES["pred_conjunction"](spark, SF).count() == QUERIES["pred_conjunction"](spark, SF).distinct().count() > 0
     finally:
         spark.conf.unset("spark.sql.parquet.filterPushdown")
-
-
-def test_verify_hash_finds_a_changed_piece(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    from recordloom import scratch
-
-    written = scratch.written
-    tampered = lambda df, what: written(df.withColumn("bytes", F.when(F.xxhash64("bytes") % 5 == 0, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("bytes"))), what)
-    monkeypatch.setattr(scratch, "written", tampered)
-    assert QUERIES["verify_hash"](spark, SF).first()["mismatches"] > 0
