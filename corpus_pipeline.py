@@ -28,18 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the smallest
-    doc_id. Documents without a doc_id stay. A row is known by its doc_id and its
-    text, so other texts of a repeated doc_id stay too."""
-    linked = textkit.written(ngram_join.rows(docs).where("n_similar > 0").select("doc_id", "text_key", "group_key"), "linked-rows")
-    first = linked.groupBy("group_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    fate = linked.groupBy("doc_id", "text_key", "group_key").count().join(first, "group_key")
-    fate = fate.withColumn("kept", F.struct("doc_id", "text_key") == F.col("first"))
-    fate = fate.withColumnRenamed("text_key", "__text_key")
-    row = ["doc_id", "__text_key"]
-    keyed = docs.withColumn("__text_key", ngram_join.text_key())
-    one_of = fate.where("kept and count > 1").select(*row)  # the same text again under the same doc_id
-    others = keyed.join(fate.where("not kept or count > 1").select(*row), row, "left_anti")
-    return others.select(*docs.columns).unionByName(keyed.join(one_of, row, "left_semi").dropDuplicates(row).select(*docs.columns))
+    doc_id. Documents without a doc_id stay, and so do other texts of a repeated one."""
+    return ngram_join.first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -259,10 +259,18 @@ def _files(total_bytes: int) -> int:
 
 
 def file_replies(sent: DataFrame, codec: Codec, width: int, done: int, cut: int, fan: int, total_bytes: int, what: str) -> tuple[str, int]:
-    """Writes the replies to units of documents into files of the shared folder;
-    returns what ``read_replies`` needs to find a unit's."""
+    """Writes the replies to units into files of the shared folder; returns what
+    ``read_replies`` needs to find a unit's."""
     spark = sent.sparkSession
-    root, n = scratch.fresh_dir(spark, what), _files(total_bytes)
+    place = scratch.fresh_dir(spark, what), _files(total_bytes)
+    with scratch.scope(spark):
+        file_rows(resolve(sent, codec, width, done, cut, fan), place)
+    return place
+
+
+def file_rows(rows: DataFrame, place: tuple[str, int]) -> None:
+    """Writes rows of REPLY into indexed files, those of a unit side by side."""
+    root, n = place
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = T.filesystem(root)
@@ -275,33 +283,31 @@ def file_replies(sent: DataFrame, codec: Codec, width: int, done: int, cut: int,
             sink.close()
             system.move(draft, f"{base}/{part}")
 
-        def put(unit: str, rows: list[tuple[int, bytes]]) -> None:
-            raw = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY).serialize()
+        def put(unit: str, held: list[tuple[int, bytes]]) -> None:
+            raw = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _REPLY)], schema=_REPLY).serialize()
             index[unit] = (sink.tell(), raw.size)
             sink.write(raw)
 
-        unit, rows = None, []
+        unit, held = None, []
         for batch in batches:
             for p, u, s, b in zip(*(batch.column(c).to_pylist() for c in ("part", "unit", "shard", "bits"))):
                 if u != unit or p != part:
-                    if rows:
-                        put(unit, rows)
-                    unit, rows = u, []
+                    if held:
+                        put(unit, held)
+                    unit, held = u, []
                 if p != part:
                     if sink is not None:
                         close()
                     part, index, draft = p, {}, f"{base}/.{uuid.uuid4().hex}"
                     sink = system.open_output_stream(draft)
-                rows.append((s, b))
-        if rows:
-            put(unit, rows)
+                held.append((s, b))
+        if held:
+            put(unit, held)
             close()
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
 
-    with scratch.scope(spark):
-        placed = resolve(sent, codec, width, done, cut, fan).withColumn("part", F.pmod(F.crc32(F.col("unit").cast("binary")), F.lit(n)))
-        placed.repartition("part").sortWithinPartitions("part", "unit", "shard").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
-    return root, n
+    placed = rows.withColumn("part", F.pmod(F.crc32(F.col("unit").cast("binary")), F.lit(n)))
+    placed.repartition("part").sortWithinPartitions("part", "unit", "shard").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
 
 
 def read_replies(place: tuple[str, int], unit: str) -> list[dict]:

@@ -89,16 +89,16 @@ def _measured(shape: S.Shape, place: tuple[str, int], size: int, percent: int):
         for unit, blocks in X.units(batches):
             sets = [_sets(t, size) for t in blocks]
             flags = S.repeated(shape, place, unit, np.concatenate([h for h, _ in sets]))
-            done = 0
+            done = rows = 0
             for t, (h, off) in zip(blocks, sets):
                 maybe = flags[done : done + len(h)]
-                done += len(h)
-                yield _documents(t, h, off, maybe, percent)
+                yield _documents(t, h, off, maybe, percent, unit, rows)
+                done, rows = done + len(h), rows + t.num_rows
 
     return run
 
 
-def _documents(t: pa.Table, h: np.ndarray, off: np.ndarray, maybe: np.ndarray, percent: int) -> pa.RecordBatch:
+def _documents(t: pa.Table, h: np.ndarray, off: np.ndarray, maybe: np.ndarray, percent: int, unit: str, first: int) -> pa.RecordBatch:
     n = np.diff(off)
     total = np.concatenate([[0], np.cumsum(maybe)])
     shared = total[off[1:]] - total[off[:-1]]
@@ -112,8 +112,8 @@ def _documents(t: pa.Table, h: np.ndarray, off: np.ndarray, maybe: np.ndarray, p
         sets.append(own.tobytes())
     spread = lambda v: [next(it) if ok else None for it in [iter(v)] for ok in alive.tolist()]
     return pa.RecordBatch.from_arrays(
-        [t.column("doc_id").cast(pa.int64()).combine_chunks(), t.column("text_key").combine_chunks(), pa.array(n, pa.int64()), pa.array(spread(k1), pa.int64()), pa.array(spread(k2), pa.int64()), pa.array(spread(sets), pa.binary())],
-        ["doc_id", "text_key", "n", "k1", "k2", "hashes"],
+        [t.column("doc_id").cast(pa.int64()).combine_chunks(), t.column("text_key").combine_chunks(), pa.array(n, pa.int64()), pa.array(spread(k1), pa.int64()), pa.array(spread(k2), pa.int64()), pa.array(spread(sets), pa.binary()), pa.array([unit] * len(n), pa.string()), pa.array(np.arange(first, first + len(n)))],
+        ["doc_id", "text_key", "n", "k1", "k2", "hashes", "unit", "place"],
     )
 
 
@@ -144,36 +144,74 @@ def _shingles(hashes: bytes) -> X.Entries:
     return np.unique(np.frombuffer(hashes, np.uint64), return_counts=True)
 
 
-def _ordered(percent: int, shift: int, place: tuple[str, int]):
-    """Per representative that may still have a partner: its shared shingles in the
-    global order (count, then hash), and how many of them are its prefix."""
+def _orders(row: dict, percent: int, shift: int, counts: tuple[str, int]) -> Iterator[tuple]:
+    """Of the representatives of a unit that may still have a partner: (rep, n, copies,
+    their shared shingles in the global order (count, then hash), counts, and how many
+    of them are the prefix)."""
+    every = np.frombuffer(row["hashes"], np.uint64)
+    e = _shingles(row["hashes"])
+    count = X.answers_of(counts, row["unit"], X.Count(), e, shift)[np.searchsorted(e[0], every)]
+    at = 0
+    for rep, n, copies in zip(row["reps"], row["ns"], row["copies"]):
+        h, c = every[at : at + n], count[at : at + n]
+        at += n
+        many = c > 1
+        h, c = h[many], c[many]
+        alone, spare = n - len(h), n - _need(n, percent)
+        if alone <= spare:
+            order = np.lexsort((h, c))
+            yield rep, n, copies, h[order], c[order], min(len(h), spare + 1 - alone)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
 
+def _prefixes(percent: int, shift: int, counts: tuple[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                every = np.frombuffer(row["hashes"], np.uint64)
-                e = _shingles(row["hashes"])
-                count = X.answers_of(place, row["unit"], X.Count(), e, shift)[np.searchsorted(e[0], every)]
-                rows, at = [], 0
-                for rep, n, copies in zip(row["reps"], row["ns"], row["copies"]):
-                    h, c = every[at : at + n], count[at : at + n]
-                    at += n
-                    many = c > 1
-                    h, c = h[many], c[many]
-                    alone, spare = n - len(h), n - _need(n, percent)
-                    if alone > spare:
-                        continue
-                    order = np.lexsort((h, c))
-                    prefix = min(len(h), spare + 1 - alone)
-                    rows.append((rep, n, copies, h[order].tobytes(), c[order].astype(np.int32).tobytes(), [int(x) for x in h[order][:prefix].view(np.int64)]))
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["rep", "n", "copies", "hashes", "counts", "prefix"])
+        for row in _rows_of(batches):
+            found = [(rep, h[:prefix].view(np.int64)) for rep, _, _, h, _, prefix in _orders(row, percent, shift, counts)]
+            reps = np.repeat(np.array([r for r, _ in found], np.int64), [len(h) for _, h in found])
+            yield pa.RecordBatch.from_arrays([pa.array([row["unit"]] * len(reps), pa.string()), pa.array(reps), pa.array(np.concatenate([np.zeros(0, np.int64), *(h for _, h in found)]))], ["unit", "rep", "token"])
 
     return run
 
 
+def _on_tiles(percent: int, shift: int, counts: tuple[str, int], places: tuple[str, int]):
+    """Sets of placed representatives, once for each of their tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            goes: dict[int, list[list[str]]] = {}
+            for x in X.read_replies(places, row["unit"]):
+                goes.setdefault(x["shard"], []).append(x["bits"].decode().split(","))
+            out, size = [], 0
+            for rep, n, copies, h, c, prefix in _orders(row, percent, shift, counts) if goes else ():
+                raw = h.tobytes(), c.astype(np.int32).tobytes()
+                for area, token, chunk, chunks in goes.get(rep, ()):
+                    own = int(chunk)
+                    for other in range(int(chunks)):
+                        out.append((int(area), int(token) if token else None, min(own, other), max(own, other), rep, n, copies, own, *raw, prefix))
+                        size += len(raw[0])
+                        if size > X.BATCH_BYTES:
+                            yield _tile_rows(out)
+                            out, size = [], 0
+            if out:
+                yield _tile_rows(out)
+
+    return run
+
+
+ON_TILES = "area long, token long, i long, j long, rep long, n long, copies long, chunk long, hashes binary, counts binary, prefix_n long"
+
+
+def _tile_rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary() if c.split()[1] == "binary" else pa.int64() for c in ON_TILES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split()[0] for c in ON_TILES.split(", ")])
+
+
 TILED = "rep long, degree long, other long"
 
 
@@ -302,8 +340,9 @@ def text_key():
 
 def rows(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key (``text_key()``), n_shingles, n_similar (other documents linked
-    directly), component_id (smallest doc_id reachable by links) and group_key (one of
-    each set of rows that links connect; null without any), for every row of ``docs``.
+    directly), component_id (smallest doc_id reachable by links), group_key (one of
+    each set of rows that links connect; null without any), and unit and place (where
+    the row is in ``docs``), for every row of ``docs``.
 
     Null text has no words; documents without words have an empty set and no
     links; with fewer than ``size`` words the whole sequence is the one shingle.
@@ -324,12 +363,12 @@ def _rows(known: DataFrame, size: int, percent: int) -> DataFrame:
     whole = S.total_bytes(known)
     shape = S.Shape.of(whole // 6, 1, per_hash=16)
     place = S.estimate(known, shape, lambda t: _sets(t, size)[0], whole, "shingles-estimated")
-    at = T.written(known.mapInArrow(_measured(shape, place, size, percent), "doc_id long, text_key long, n long, k1 long, k2 long, hashes binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    live = at.where("k1 is not null and doc_id is not null")
-    classes = T.written(live.groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "shingle-classes")
+    at = T.written(known.mapInArrow(_measured(shape, place, size, percent), "doc_id long, text_key long, n long, k1 long, k2 long, hashes binary, unit string, place long").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    # one set of each class, the copies of a task dropped before the shuffle
+    live = at.where("k1 is not null and doc_id is not null").groupBy("k1", "k2", "n")
+    classes = T.written(live.agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")), "shingle-classes")
     tokens = classes.agg(F.sum("n")).first()[0] or 0
-    reps = live.select(F.col("row").alias("rep"), "hashes").join(classes.select("rep", "n", "copies"), "rep")
-    units = T.written_wide(reps.mapInArrow(_united, UNIT), T.fresh_dir(spark, "shingle-units"))
+    units = T.written_wide(classes.select("rep", "n", "copies", "hashes").mapInArrow(_united, UNIT), T.fresh_dir(spark, "shingle-units"))
     cut = max(2, int(np.ceil(np.log2(max(1, tokens / SHARD)))))
     first = min(cut, X.FAN)
 
@@ -338,14 +377,18 @@ def _rows(known: DataFrame, size: int, percent: int) -> DataFrame:
         yield from X.messages(X.Count(), found, 64 - first)
 
     counts = X.file_replies(units.select("unit", "hashes").mapInArrow(send, X.SENT), X.Count(), 64, first, cut, X.FAN, 8 * tokens, "shingle-counts")
-    ordered = units.mapInArrow(_ordered(percent, 64 - first, counts), "rep long, n long, copies long, hashes binary, counts binary, prefix array<long>")
-    ordered = T.written(ordered, "shingle-orders")
-    tiled = T.written(_tiles(ordered).groupBy("area", "token", "i", "j").applyInArrow(_tile(percent), TILED), "shingle-links")
+    heads = T.written(units.mapInArrow(_prefixes(percent, 64 - first, counts), "unit string, rep long, token long"), "prefixes")
+    places = T.fresh_dir(spark, "tile-places"), X._files(8 * tokens)
+    placed = _places(heads)
+    bits = F.encode(F.concat_ws(",", F.col("area").cast("string"), F.coalesce(F.col("token").cast("string"), F.lit("")), F.col("chunk").cast("string"), F.col("chunks").cast("string")), "UTF-8")
+    X.file_rows(placed.select("unit", F.col("rep").alias("shard"), bits.alias("bits")), places)
+    tiles = units.mapInArrow(_on_tiles(percent, 64 - first, counts, places), ON_TILES)
+    tiled = T.written(tiles.groupBy("area", "token", "i", "j").applyInArrow(_tile(percent), TILED), "shingle-links")
     joined = components(tiled.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     degree = tiled.groupBy("rep").agg(F.sum("degree").alias("degree"))
     joined = joined.withColumnRenamed("node", "rep")
     least = joined.join(classes.select("rep", "first_id"), "rep").groupBy("component").agg(F.min("first_id").alias("least_id"))
-    group = classes.join(degree, "rep", "left").join(joined.join(least, "component"), "rep", "left")
+    group = classes.drop("hashes").join(degree, "rep", "left").join(joined.join(least, "component"), "rep", "left")
     group = group.select("k1", "k2", "n", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("component", "rep").alias("group_key"))
     return (
         at.drop("hashes")
@@ -357,21 +400,23 @@ def _rows(known: DataFrame, size: int, percent: int) -> DataFrame:
             F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_similar", F.lit(0))).cast("long").alias("n_similar"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
             F.when(F.col("doc_id").isNotNull(), F.col("group_key")).alias("group_key"),
+            "unit",
+            "place",
         )
     )
 
 
-def _tiles(ordered: DataFrame) -> DataFrame:
-    """Representatives placed on tiles (area, token, i, j), each at most TILE a side.
+def _places(heads: DataFrame) -> DataFrame:
+    """(unit, rep, area, token, chunk, chunks): the tiles that representatives go on,
+    those (area, token, i, j) of which ``chunk`` is i or j; at most TILE a side.
 
-    Prefix shingles connect representatives to areas. An area of m goes on tiles as a
-    whole (token null), each set copied to every chunk of its area, or its shingles
-    each get tiles of their own, each set copied to those of its prefix: whichever
-    copies less. So a large group of near-copies, all of whose pairs must be compared,
-    costs its square over TILE, and a long chain of documents that share a shingle or
-    two with their neighbours costs its length."""
+    Prefix shingles (``heads``: unit, rep, token) connect representatives to areas. An
+    area of m goes on tiles as a whole (token null), each set copied to every chunk of
+    its area, or its shingles each get tiles of their own, each set copied to those of
+    its prefix: whichever copies less. So a large group of near-copies, all of whose
+    pairs must be compared, costs its square over TILE, and a long chain of documents
+    that share a shingle or two with their neighbours costs its length."""
     chunks = lambda k: F.ceil(F.col(k) / TILE).cast("long")
-    heads = ordered.select("rep", F.explode("prefix").alias("token"))
     tokens = T.written(heads.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("k")).where("k > 1"), "prefix-shingles")
     star = heads.join(tokens, "token")
     near = T.written(components(star.select(F.col("rep").alias("a"), F.col("least").alias("b"))), "neighbourhoods")
@@ -379,17 +424,39 @@ def _tiles(ordered: DataFrame) -> DataFrame:
     sizes = near.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
     areas = sizes.join(costs, "component").select(F.col("component").alias("area"), "m", (F.col("by_token") < F.col("m") * chunks("m")).alias("split"))
     placed = near.select(F.col("node").alias("rep"), F.col("component").alias("area")).join(areas, "area")
-    whole = placed.where("not split").select("rep", "area", F.lit(None).cast("long").alias("token"), chunks("m").alias("chunks"))
-    single = star.join(placed.where("split").select("rep", "area"), "rep").select("rep", "area", "token", chunks("k").alias("chunks"))
-    return (
-        whole.unionByName(single)
-        .withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
-        .withColumn("with_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .withColumn("i", F.least("chunk", "with_chunk"))
-        .withColumn("j", F.greatest("chunk", "with_chunk"))
-        .join(ordered.withColumn("prefix_n", F.size("prefix").cast("long")).drop("prefix"), "rep")
-        .select("area", "token", "i", "j", "rep", "n", "copies", "chunk", "hashes", "counts", "prefix_n")
-    )
+    whole = heads.select("unit", "rep").distinct().join(placed.where("not split"), "rep").select("unit", "rep", "area", F.lit(None).cast("long").alias("token"), chunks("m").alias("chunks"))
+    single = star.join(placed.where("split").select("rep", "area"), "rep").select("unit", "rep", "area", "token", chunks("k").alias("chunks"))
+    return whole.unionByName(single).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
+
+
+def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each set of rows that links connect: the one with the
+    smallest doc_id (then hash of the text). Rows without a doc_id stay. ``docs`` must
+    be a table. Rows are told apart by their place in the table, whose text isn't
+    moved: each unit of it looks up which of its rows go."""
+    spark = docs.sparkSession
+    places = T.fresh_dir(spark, "near-copies"), X._files(S.total_bytes(docs))
+    with T.scope(spark):
+        every = T.written(rows(docs, size, percent), "linked")
+        row = F.struct("doc_id", "text_key", "unit", "place")
+        linked = every.where("n_similar > 0").withColumn("row", row)
+        first = linked.groupBy("group_key").agg(F.min("row").alias("first"))
+        gone = linked.join(first, "group_key").where("row <> first").select("unit", F.col("place").alias("shard"))
+        # every unit has an entry, so that one which has changed is noticed
+        known = every.select("unit").distinct().select("unit", F.lit(-1).cast("long").alias("shard"))
+        X.file_rows(gone.unionByName(known).withColumn("bits", F.lit(b"")), places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, blocks in X.units(batches):
+            places_gone = np.array([x["shard"] for x in X.read_replies(places, unit)], np.int64)
+            if not len(places_gone):
+                raise RuntimeError(f"documents have changed between two passes (unit {unit}); write them to a table first")
+            at = 0
+            for t in blocks:
+                yield from t.filter(pa.array(~np.isin(np.arange(at, at + t.num_rows), places_gone))).to_batches()
+                at += t.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

@@ -209,16 +209,17 @@ def test_chains_are_tiled_in_proportion(spark, tmp_path, monkeypatch):
     rows += [(5000 + j, " ".join(["hot", "passage", "of", "five", "words", *part[j][:j % 3], "hot"])) for j in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
     monkeypatch.setattr(ngram_join, "TILE", 4)
-    tiles, kinds = ngram_join._tiles, []
-    monkeypatch.setattr(ngram_join, "_tiles", lambda o: kinds.append(tiles(o)) or kinds[-1].cache())
+    places, split = ngram_join._places, []
+    monkeypatch.setattr(ngram_join, "_places", lambda h: split.append(places(h).where("token is not null").count()) or places(h))
     got = table(ngram_join.links(spark.read.parquet(str(tmp_path / "t"))))
     assert {i: (r["n_shingles"], r["n_similar"], r["component_id"]) for i, r in got.items()} == linked(rows)
+    assert split[0] > 0
     # a long chain: every set is copied for its prefix, not for its area
     n = 20_000
-    chain = spark.range(n).selectExpr("id AS rep", "400L AS n", "1L AS copies", "array(id, id + 1) AS prefix", "cast('' AS binary) AS hashes", "cast('' AS binary) AS counts")
+    chain = spark.range(n).selectExpr("'u' AS unit", "id AS rep", "explode(array(id, id + 1)) AS token")
     monkeypatch.setattr(ngram_join, "TILE", 64)
-    assert tiles(chain).count() <= 2 * n
-    assert tiles(chain.limit(50)).where("token is not null").isEmpty()
+    assert places(chain).agg(F.sum("chunks")).first()[0] <= 2 * n
+    assert places(chain.where("rep < 50")).where("token is not null").isEmpty()
 
 
 def encoded(name):
