@@ -142,4 +142,4 @@ def _uri(path: str) -> str:
 def _system(root: str) -> Any:
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root)
+    return fs.FileSystem.from_uri("s3" + root[3:] if root.startswith("s3a:") else root)  # one store, two schemes
