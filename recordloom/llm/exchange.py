@@ -140,7 +140,10 @@ def messages(codec: Codec, found: Iterator[tuple[str, Entries]], shift: int) ->
     for unit, e in found:
         groups, at = edges(e[0], shift)
         bodies = [codec.encode(tuple(x[a:b] for x in e)) for a, b in zip(at.tolist(), at[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array([unit] * len(groups), pa.string()), pa.array(groups), pa.array(np.diff(at)), pa.array(bodies, pa.binary())], ["unit", "shard", "n", "body"])
+        rows = pa.RecordBatch.from_arrays([pa.array([unit] * len(groups), pa.string()), pa.array(groups), pa.array(np.diff(at)), pa.array(bodies, pa.binary())], ["unit", "shard", "n", "body"])
+        del e, bodies
+        yield rows
+        T.release()
 
 
 def _final(codec: Codec) -> Callable[[pa.Table], pa.Table]:
@@ -148,7 +151,10 @@ def _final(codec: Codec) -> Callable[[pa.Table], pa.Table]:
         parts = [codec.decode(b, n) for b, n in zip(t.column("body").to_pylist(), t.column("n").to_pylist())]
         merged = codec.merge(parts)
         ready = codec.ready(merged, codec.final(merged))
-        return pa.table({"unit": t.column("unit"), "shard": t.column("shard"), "bits": pa.array([codec.pack(codec.back(ready, p)) for p in parts], pa.binary())})
+        bits = pa.array([codec.pack(codec.back(ready, p)) for p in parts], pa.binary())
+        del parts, merged, ready
+        T.release()
+        return pa.table({"unit": t.column("unit"), "shard": t.column("shard"), "bits": bits})
 
     return run
 

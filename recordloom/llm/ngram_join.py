@@ -175,6 +175,7 @@ def _prefixes(percent: int, shift: int, counts: tuple[str, int]):
             found = [(rep, h[:prefix].view(np.int64)) for rep, _, _, h, _, prefix in _orders(row, percent, shift, counts)]
             reps = np.repeat(np.array([r for r, _ in found], np.int64), [len(h) for _, h in found])
             yield pa.RecordBatch.from_arrays([pa.array([row["unit"]] * len(reps), pa.string()), pa.array(reps), pa.array(np.concatenate([np.zeros(0, np.int64), *(h for _, h in found)]))], ["unit", "rep", "token"])
+            T.release()
 
     return run
 
@@ -200,6 +201,7 @@ def _on_tiles(percent: int, shift: int, counts: tuple[str, int], places: tuple[s
                             out, size = [], 0
             if out:
                 yield _tile_rows(out)
+            T.release()
 
     return run
 

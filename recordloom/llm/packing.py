@@ -154,6 +154,7 @@ def _drawn(idf, bits: int):
             if batch.num_rows:
                 keys = _keys(idf.value, *_unpacked(batch, bits)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, keys.T), batch.column("n")], [*(f"k{i}" for i in range(LEVELS)), "n"])
+        T.release()
 
     return run
 
@@ -190,6 +191,7 @@ def _placed(idf, routes, bits: int):
             if batch.num_rows:
                 shard = routes.value.shard(_keys(idf.value, *_unpacked(batch, bits)), batch.column("salt").to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(shard), *(batch.column(c) for c in ("doc_id", "n", "packed"))], ["shard", "doc_id", "n", "packed"])
+        T.release()
 
     return run
 
@@ -310,6 +312,7 @@ def _packed(idf, mean: float, bits: int):
         t = t.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("packed", "ascending")]) if t.num_rows > 1 else t
         ids, off = _unpacked(t.combine_chunks(), bits)
         pieces = plan(ids, off, Index(ids, off, idf.value, mean))
+        T.release()  # the index
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces))
         ids4 = ids.astype("<u4")
         crc = [zlib.crc32(ids4[a : a + n]) for a, n in zip((off[doc] + start).tolist(), length.tolist())]

@@ -300,4 +300,6 @@ def filesystem(root: str):
     """pyarrow's view of the shared folder, for workers: file system and path."""
     from pyarrow import fs
 
+    if root.startswith("s3a:"):  # pyarrow calls it s3
+        root = "s3" + root[3:]
     return fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
