@@ -81,7 +81,7 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
     words = [f"plain{k} words{k % 97} here{k % 13}" for k in range(400)]
     long = " ".join(words * 3 + [f"only{k}" for k in range(40_000)])
     base = " ".join(words[:60])
-    rows = [(1, base), (1, base), (2, None), (None, base + " other end"), (None, None), (3, long), (4, ""), (5, " ".join(words[70:130]) + " password = abcdefghijklmnop"), (6, base.upper())]
+    rows = [(1, base), (1, base), (2, None), (None, base), (None, None), (3, long), (4, ""), (5, " ".join(words[70:130]) + " password = abcdefghijklmnop"), (6, base.upper())]
     table = [(i, t, "en", None, 7, "mine", 1, "k", 0) for i, t in rows]
     at = str(tmp_path / "documents.parquet")
     spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept int, text_key string, shard int").repartition(3).write.parquet(at)
