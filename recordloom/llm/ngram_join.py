@@ -439,7 +439,7 @@ def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     spark = docs.sparkSession
     places = T.fresh_dir(spark, "near-copies"), X._files(S.total_bytes(docs))
     with T.scope(spark):
-        every = T.written(rows(docs, size, percent), "linked")
+        every = rows(docs, size, percent)  # a table already, that lasts as long as this scope
         row = F.struct("doc_id", "text_key", "unit", "place")
         linked = every.where("n_similar > 0").withColumn("row", row)
         first = linked.groupBy("group_key").agg(F.min("row").alias("first"))

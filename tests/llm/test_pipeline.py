@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against plain Python on its own input."""
 
+import os
+
 import corpus_pipeline
 from recordloom.llm import ngram_join, quality, secrets, textkit, tokens
 from recordloom.llm import packing as P
@@ -76,6 +78,21 @@ def test_near_duplicates_of_repeated_ids(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in want)
 
 
+def test_linked_rows_are_written_once(spark, tmp_path, monkeypatch):
+    """No table is copied; what the stage writes in between is gone once it has its answer."""
+    tables, own = [], textkit.written
+    monkeypatch.setattr(textkit, "written", lambda df, what, at=None: tables.append(what) or own(df, what, at))
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    at = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, a), (2, a + " end"), (3, b), (3, a), (None, a)], "doc_id long, text string").repartition(2).write.parquet(at)
+    shared = textkit.shared_dir(spark).removeprefix("file://")
+    before = {*os.listdir(shared)}
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(at), str(tmp_path))
+    assert [t for t in tables if t.startswith("linked")] == ["linked-documents"]
+    assert not [p for p in {*os.listdir(shared)} - before if p.startswith(("linked", "shingle"))]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, a), (1, a), (3, b)]
+
+
 def test_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
     """Every stage takes them, and all but the last give back the columns they got."""
     words = [f"plain{k} words{k % 97} here{k % 13}" for k in range(400)]
