@@ -1,9 +1,14 @@
 """What a query costs follows its input: no pass too many, no single task for all."""
 
 
+import json
+import os
+
 from recordloom import stored
 from recordloom.operators import resolve
+from recordloom.sources import importers
 from recordloom.sources.store import Store
+from recordloom.types import Value, attr_arrays
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +32,53 @@ def test_candidates_keep_every_newest(spark):
     assert of(kept) == of(table)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_json_lines_keep_their_places_over_files_and_splits(spark, tmp_path):
+    """In a folder whose files are read the largest first, in several splits each."""
+    want, line, place = [], 0, 0
+    for name, n in (("a", 40), ("b", 900), ("c", 3), ("d", 400)):
+        with open(tmp_path / f"{name}.jsonl", "w") as f:
+            for k in range(n):
+                good = k % 7 != 3
+                f.write(json.dumps({"body": f"{name}{k}"}) if good else "{}")
+                f.write("\n\n" if k % 11 == 0 else "\n")
+                want.append((line, f"import:{place:09d}" if good else None, f"{name}{k}" if good else None, not good))
+                line, place = line + 1, place + good
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = importers.jsonl(spark, str(tmp_path))
+        assert sorted((r["line"], r["id"], r["body"], r["skipped"]) for r in rows.collect()) == want
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "Window" not in plan and "Pandas" not in plan
+
+
+def test_json_lines_are_written_by_more_than_one_task(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(importers, "jsonl", lambda spark, at, own=importers.jsonl: seen.append(at) or own(spark, at))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert stored.import_jsonl(spark, SF).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in os.listdir(seen[0].removeprefix("file://")) if f.startswith("part-")]) > 1
+
+
+def test_attributes_as_columns(spark):
+    """The same structs as one by one."""
+    from recordloom.types import ATTR
+
+    values = [Value.str("x"), Value.int(-5), Value.float(-0.0), Value.float(float("nan")), Value.bits(0x7FF8000000000001), Value.bool(True), Value.uint((1 << 64) - 1), Value.binary(b"\0"), Value.timestamp_ns(7), Value.null()]
+    records = [[(f"a{i}", v) for i, v in enumerate(values)], None, [], [("b", Value.int(1)), ("b", Value.int(2))]]
+    plain = spark.createDataFrame([(None if r is None else [v.row(n) for n, v in r],) for r in records], f"attrs {_ddl(ATTR)}").collect()
+    assert repr([r["attrs"].as_py() for r in _rows(attr_arrays(records))]) == repr([None if r["attrs"] is None else [{k: bytes(x) if isinstance(x, bytearray) else x for k, x in a.asDict().items()} for a in r["attrs"]] for r in plain])
+
+
+def _ddl(struct):
+    return f"array<{struct.simpleString()}>"
+
+
+def _rows(array):
+    return [{"attrs": x} for x in array]
