@@ -4,10 +4,13 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from recordloom import stored
-from recordloom.operators import resolve
+from recordloom.operators import content, resolve
+from recordloom.operators.content import Carve
 from recordloom.sources import importers
-from recordloom.sources.store import Store
+from recordloom.sources.store import Store, open_snapshot
 from recordloom.types import Value, attr_arrays
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +85,41 @@ def _ddl(struct):
 
 def _rows(array):
     return [{"attrs": x} for x in array]
+
+
+def test_an_ingest_asks_for_its_table_once(spark, tmp_path, monkeypatch):
+    """However many contents; and no piece's bytes are sorted or shuffled for the fold."""
+    bodies = {f"r{i:03d}": {"a": b"[1, 22, %d]" % i, "b": b"", "c": bytes([255, i]) * 9} for i in range(120)}
+    asked, plans = spark.sparkContext.accumulator(0), []
+
+    def told(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    table = spark.createDataFrame([(i, {n: bytearray(x) for n, x in c.items()}) for i, c in bodies.items()], "id string, contents map<string,binary>")
+    write = Store._write_fold
+    monkeypatch.setattr(Store, "_write_fold", lambda self, pieces, gen: plans.append(pieces._jdf.queryExecution().executedPlan().toString()) or write(self, pieces, gen))
+    with Store.open(spark, tmp_path / "s") as s:
+        s.ingest(table.mapInArrow(told, table.schema))
+        assert asked.value == len(bodies)
+        s.ingest(table.select(F.concat(F.lit("again-"), "id").alias("id"), "contents"))
+        assert len(s.commit.folds) == 1 and s.dedup["dedup_hits"] == s.dedup["pieces"] - s.fold().count()
+        got = {n: {r["id"]: bytes(r["body"]) for r in s.contents(n).collect()} for n in "abc"}
+    assert got == {n: {p + i: c[n] for p in ("", "again-") for i, c in bodies.items()} for n in "abc"}
+    assert not any("SortAggregate" in p for p in plans)
+    assert open_snapshot(spark, s.root).verify()["contents"] == 6 * len(bodies)
+
+
+def test_bodies_of_one_piece_are_not_put_together(spark):
+    """Only those of several are grouped; what comes out is the same."""
+    texts = [b"", b"x" * 40, "à".encode() * 3, bytes(range(256)), None]
+    table = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in enumerate(texts)], "id int, body binary")
+    for how in (Carve("whole"), Carve("inline"), Carve("cdc", 64)):
+        cut = content.carved(table.withColumn("seq", F.col("id")), how).localCheckpoint()
+        fold = content.novel(content.pieces(cut), None)
+        made = cut.where("body is not null").select("id", content.digest(F.col("body")).alias("identity"), content.ops(F.col("body"), F.col("spans")).alias("ops"))
+        built = content.reconstruct(made, fold, ["id"])
+        assert {r["id"]: bytes(r["body"]) for r in built.collect()} == {i: t for i, t in enumerate(texts) if t is not None}
+    plan = content.reconstruct(made, fold, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Union") >= 1 and "hex(" not in [line for line in plan.splitlines() if "collect_list" in line][-1].partition("unhex")[0]
