@@ -5,10 +5,9 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import resolve
 from ..operators.content import Carve
 from ..sources.store import Store
 
@@ -23,10 +22,10 @@ def into(store: Store, stream: DataFrame, checkpoint: str, order: str = "ts", ev
     def write(batch: DataFrame, number: int) -> None:
         if dict(store.commit.streams).get(name, -1) >= number:
             return
-        w = Window.partitionBy("id").orderBy(F.desc(order))
-        last = batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", order)
-        if not last.isEmpty():
-            store.ingest(last, carve, mark=(name, number))
+        if not batch.isEmpty():
+            # rows that can't stand go before any is sorted: a batch may be a whole backlog
+            last = resolve.newest(resolve.candidates(batch, "id", order), "id", order)
+            store.ingest(last.drop(order), carve, mark=(name, number))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
